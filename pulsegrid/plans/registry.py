@@ -6,7 +6,7 @@ import importlib
 
 from pulsegrid.plans.base import QUERIES, Query
 
-MODULES = ("metrics",)
+MODULES = ("metrics", "labels", "logs")
 
 
 def registered() -> dict[str, Query]:

@@ -130,8 +130,8 @@ def read_log_json(spark: SparkSession, path: str) -> DataFrame:
     return canonical_lines(records)
 
 
-def canonical_lines(records: DataFrame) -> DataFrame:
-    """One canonical line (``value``) per record, whichever of the alternative names it uses."""
+def canonical_lines(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One canonical line (``value``) per record, whichever of the alternative names it uses; ``keep`` adds columns."""
 
     def pick(name: str) -> Column:
         keys, default = LOG_KEYS[name]
@@ -144,7 +144,7 @@ def canonical_lines(records: DataFrame) -> DataFrame:
         number.isNotNull(), F.timestamp_micros(F.when(number > 1e10, number * 1000).otherwise(number * 1_000_000).cast("long"))
     ).otherwise(parse_iso(stamp))
     text = F.coalesce(iso_millis(moment), stamp)
-    return records.select(log_line(text, pick("level"), pick("pid"), pick("thread"), pick("logger"), pick("message")).alias("value"))
+    return records.select(*keep, log_line(text, pick("level"), pick("pid"), pick("thread"), pick("logger"), pick("message")).alias("value"))
 
 
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
