@@ -111,6 +111,7 @@ def alerts(
             return group
         return emit(group, int(start["active0"].iloc[0]), int(start["cooldown0"].iloc[0]))
 
+    starts = starts.select(*[F.col(c).alias(c) for c in starts.columns])
     return rows.groupBy(*by).cogroup(starts.groupBy(*by)).applyInPandas(from_start, schema).drop("crossed", RUN)
 
 

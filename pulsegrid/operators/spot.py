@@ -151,7 +151,12 @@ def detect(
         )
         return group[columns].assign(status=names[status], threshold=threshold)
 
-    return rows.groupBy(*pairing).cogroup(states.groupBy(*pairing)).applyInPandas(judge, result)
+    return rows.groupBy(*pairing).cogroup(_renewed(states).groupBy(*pairing)).applyInPandas(judge, result)
+
+
+def _renewed(df: DataFrame) -> DataFrame:
+    """The same columns under new identities, for cogroups of tables with a common origin."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
 def _settle(
@@ -221,8 +226,8 @@ def _settle(
         counted.join(states, list(keys)).withColumn("accepted", F.col("_before")).select(*settled_schema.names), "states"
     )
     while True:
-        made = runs.groupBy(*by_run).cogroup(assumed.groupBy(*by_run)).applyInPandas(changes, change)
-        true = durable(made.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInPandas(chain, settled_schema), "states")
+        made = runs.groupBy(*by_run).cogroup(_renewed(assumed).groupBy(*by_run)).applyInPandas(changes, change)
+        true = durable(made.groupBy(*keys).cogroup(_renewed(states).groupBy(*keys)).applyInPandas(chain, settled_schema), "states")
         compared = true.alias("t").join(assumed.alias("a"), by_run)
         fields = ["scale", "accepted", "total", "peaks", "sum_excess", "logs", "invs", "recent"]
         same = F.lit(True)
