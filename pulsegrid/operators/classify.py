@@ -22,6 +22,7 @@ from pulsegrid.operators.evaluate import f1
 from pulsegrid.operators.ordered import attach, order_statistic
 from pulsegrid.operators.reconstruct import standardise_array
 from pulsegrid.operators.splits import plain_folds, shuffle_key, stratified_folds
+from pulsegrid.storage import durable
 
 SEED = 32
 FOLDS = 10
@@ -69,9 +70,9 @@ def models(features: int, classes: int) -> dict[str, tuple[Estimator, str]]:
     }
 
 
-def prepare(train: DataFrame, df: DataFrame, array: str, length: int) -> DataFrame:
+def prepare(train: DataFrame, df: DataFrame, array: str) -> DataFrame:
     """Feature columns of ``df``; scaling and shift come from the training rows."""
-    scaled = standardise_array(df, train, array, length, "_scaled")
+    scaled = standardise_array(df, train, array, "_scaled")
     lowest = train.select(F.min(F.array_min(array).cast("double"))).scalar()
     numbers = F.transform(F.col(array), lambda x: x.cast("double"))
     positive = F.transform(numbers, lambda x: F.greatest(x - F.col("_low"), F.lit(0.0)))
@@ -88,12 +89,13 @@ def cross_predictions(
     group_rows: int | None = None,
 ) -> DataFrame:
     """Out-of-fold predictions (model, fold, ids, label, prediction) of the named models."""
-    folded = stratified_folds(df, ids, "label", folds, SEED, group_rows).persist()
+    folded = durable(stratified_folds(df, ids, "label", folds, SEED, group_rows), "folds")
     out = None
     for fold in range(folds):
         train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
-        train_rows = balanced_weights(prepare(train, train, array, length)).persist()
-        test_rows = prepare(train, test, array, length)
+        # Written before fitting: an estimator starts many small jobs, and each would ship the whole plan.
+        train_rows = durable(balanced_weights(prepare(train, train, array)), "train").persist()
+        test_rows = prepare(train, test, array)
         for name in names:
             estimator, _ = models(length, classes)[name]
             rows = stratified_sample(train_rows, ids, "label", SVM_SAMPLE) if name == "sampled_svc" else train_rows

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators.evaluate import segment_metrics
 from pulsegrid.operators.splits import shuffle_key
-from pulsegrid.operators.threshold import classify, fit_thresholds
+from pulsegrid.operators.threshold import alarm_level, fit_thresholds
+from pulsegrid.storage import durable
 
 LEDGER_SCHEMA = (
     "experiment string, run string, parent string, params map<string,string>, metrics map<string,double>, error string, ts timestamp"
@@ -56,26 +57,21 @@ def threshold_trials(
     all risks of a quantile share one pass over the baseline. Rows are repeated per trial by an array
     of the few thresholds of their key, not by a join with the grid.
     """
+    baseline = durable(baseline.select(*keys, score), "scores")
     fitted = reduce(DataFrame.unionByName, [_fit_risks(baseline, keys, score, q, risks, group_rows) for q in quantiles])
     listed = fitted.groupBy(*keys).agg(F.collect_list(F.struct("quantile", "risk", "threshold")).alias("_t"))
     rows = stream.join(listed, list(keys)).withColumn("_t", F.explode("_t")).select(*stream.columns, "_t.*")
     judged = rows.withColumn("alarm", (F.col(score) > F.col("threshold")).cast("int"))
-    trials = None if group_rows is None else group_rows
-    return segment_metrics(judged, [*keys, "quantile", "risk"], idx, label, "alarm", group_rows=trials)
+    return segment_metrics(judged, [*keys, "quantile", "risk"], idx, label, "alarm", group_rows=group_rows)
 
 
-def _fit_risks(baseline, keys, score, quantile, risks, group_rows) -> DataFrame:
-    from pulsegrid.operators.threshold import capped, quantile_offset
-
-    fit = fit_thresholds(baseline, keys, score, quantile, float(risks[0]), group_rows=group_rows).drop("risk", "threshold")
+def _fit_risks(
+    baseline: DataFrame, keys: Sequence[str], score: str, quantile: float, risks: Sequence[float], group_rows: int | None
+) -> DataFrame:
+    """Thresholds of all risks from one fit of the tail."""
+    fit = fit_thresholds(baseline, keys, score, quantile, group_rows=group_rows, written=True).drop("risk", "threshold")
     each = fit.withColumn("risk", F.explode(F.array(*[F.lit(float(r)) for r in risks])))
-    level = capped(
-        F.col("init") + quantile_offset(F.col("gamma"), F.col("sigma"), F.col("n"), F.col("peaks"), F.col("risk")), F.col("init")
-    )
-    return each.select(
-        *keys, F.lit(float(quantile)).alias("quantile"), "risk",
-        F.when(F.col("peaks") > 0, level).otherwise(F.col("init")).alias("threshold"),
-    )
+    return each.select(*keys, F.lit(float(quantile)).alias("quantile"), "risk", alarm_level(F.col("risk")).alias("threshold"))
 
 
 def best_trial(trials: DataFrame, objective: str, params: Sequence[str], keys: Sequence[str] = (), lowest: bool = False) -> DataFrame:

@@ -41,13 +41,16 @@ def apply_standard(df: DataFrame, fitted: DataFrame, columns: Sequence[str]) ->
     return with_stats.withColumns({c: scaled(c) for c in columns}).drop("_fit")
 
 
-def standardise_array(df: DataFrame, train: DataFrame, array: str, length: int, out: str = "scaled") -> DataFrame:
+def standardise_array(df: DataFrame, train: DataFrame, array: str, out: str = "scaled") -> DataFrame:
     """The same for an array column of fixed length."""
-    stats = train.agg(
-        F.array(*[F.avg(F.col(array)[i].cast("double")) for i in range(length)]).alias("mean"),
-        F.array(*[F.stddev_pop(F.col(array)[i].cast("double")) for i in range(length)]).alias("std"),
-    )
-    fit = stats.select(F.struct("mean", "std")).scalar()
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    moments = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(F.col(array)))
+    summary = train.select(moments.alias("m"))
+    shrink = (F.col("m.count") - 1) / F.col("m.count")
+    std = F.transform(vector_to_array("m.variance"), lambda v: F.sqrt(v * shrink))
+    fit = summary.select(F.struct(vector_to_array("m.mean").alias("mean"), std.alias("std"))).scalar()
     centred = F.zip_with(F.col(array), F.col("_fit.mean"), lambda x, m: x.cast("double") - m)
     scaled = F.zip_with(centred, F.col("_fit.std"), lambda x, s: x / F.when(s > 0, s).otherwise(1.0))
     return df.withColumn("_fit", fit).withColumn(out, scaled).drop("_fit")

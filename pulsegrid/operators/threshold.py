@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.ordered import attach, order_statistic
+from pulsegrid.storage import durable
 
 # The grid of theta, in units of 1 / (mean excess of the fit): geometric on both sides of 0.
 GRID_NEGATIVE, GRID_POSITIVE = 90, 96
@@ -70,15 +71,20 @@ def excess_sums(peaks: DataFrame, keys: Sequence[str], excess: str = "y", scale:
         F.count(inside).alias("_ok"),
         F.sum(F.ln(inside)).alias("_log"),
         F.sum(1 / inside).alias("_inv"),
+        F.max("sum_excess").alias("sum_excess"),
+        F.max(scale).alias(scale),
     ).select(
-        *keys, "k", F.col("_c").alias("peaks"),
+        *keys, "k", "sum_excess", scale, F.col("_c").alias("peaks"),
         F.when(F.col("_ok") == F.col("_c"), F.col("_log")).alias("log_sum"),
         F.when(F.col("_ok") == F.col("_c"), F.col("_inv")).alias("inv_sum"),
     )
 
 
-def stationary_points(sums: DataFrame, keys: Sequence[str], scale: str = "scale") -> DataFrame:
-    """(gamma, sigma, fit) between neighbouring grid points with a sign change; larger fit is likelier."""
+def with_stationary_point(sums: DataFrame, keys: Sequence[str], scale: str = "scale") -> DataFrame:
+    """Adds ``point`` (fit, gamma, sigma) where the condition changes sign before the next grid point.
+
+    A larger fit is likelier. The window holds one row per grid point, so it is as small as the grid.
+    """
     w = Window.partitionBy(*keys).orderBy("k")
     mean_log, mean_inv = F.col("log_sum") / F.col("peaks"), F.col("inv_sum") / F.col("peaks")
     prepared = sums.withColumns(
@@ -89,10 +95,10 @@ def stationary_points(sums: DataFrame, keys: Sequence[str], scale: str = "scale"
     share = F.col("_w0") / (F.col("_w0") - F.col("_w1"))
     gamma = F.col("_l0") + share * (F.col("_l1") - F.col("_l0"))
     theta = F.col("_t0") + share * (F.col("_t1") - F.col("_t0"))
-    return (
-        paired.where(crossing)
-        .select(*keys, gamma.alias("gamma"), (gamma / theta).alias("sigma"))
-        .withColumn("fit", -F.ln("sigma") - F.col("gamma"))
+    point = F.struct((-F.ln("_s") - F.col("_g")).alias("fit"), F.col("_g").alias("gamma"), F.col("_s").alias("sigma"))
+    shaped = paired.withColumns({"_g": F.when(crossing, gamma), "_s": F.when(crossing, gamma / theta)})
+    return shaped.withColumn("point", F.when(F.col("_s").isNotNull(), point)).drop(
+        "_g", "_s", *[f"_{n}{i}" for n in ("l", "w", "t") for i in (0, 1)]
     )
 
 
@@ -101,48 +107,53 @@ def fit_thresholds(
     keys: Sequence[str],
     score: str = "score",
     quantile: float = 0.98,
-    risk: float | str = 1e-3,
+    risk: float = 1e-3,
     tail: str = "upper",
     group_rows: int | None = None,
+    written: bool = False,
 ) -> DataFrame:
     """One row per key: n, init, peaks, gamma, sigma, threshold, and the sums a stream starts from.
 
-    ``risk`` is a number, or the name of a key column that holds it. Without peaks the threshold is
-    the initial one.
+    Without peaks the threshold is the initial one. Scores are read several times, so their narrow
+    columns are written once first, unless they are a written table already; so are the few peaks.
     """
     sign = tail_sign(tail)
-    start = initial_threshold(scores, keys, score, quantile, tail, group_rows)
+    scores = scores.select(*keys, score)
+    if not written:
+        scores = durable(scores, "scores")
+    start = durable(initial_threshold(scores, keys, score, quantile, tail, group_rows), "start")
     y = sign * (F.col(score) - F.col("init"))
-    peaks = attach(scores.select(*keys, score), start, keys, ["init"]).select(*keys, y.alias("y")).where("y > 0")
-    basics = peaks.groupBy(*keys).agg(
-        F.count("y").alias("peaks"), F.sum("y").alias("sum_excess"), F.avg("y").alias("scale")
-    )
-    sums = excess_sums(attach(peaks, basics, keys, ["scale"]), keys)
-    arrays = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "log_sum", "inv_sum"))).alias("_s"))
-    best = (
-        stationary_points(attach(sums, basics, keys, ["scale"]), keys)
-        .groupBy(*keys)
-        .agg(F.max(F.struct("fit", "gamma", "sigma")).alias("_best"))
+    peaks = durable(attach(scores, start, keys, ["init"]).select(*keys, y.alias("y")).where("y > 0"), "peaks")
+    basics = peaks.groupBy(*keys).agg(F.sum("y").alias("sum_excess"), F.avg("y").alias("scale"))
+    sums = excess_sums(attach(peaks, basics, keys, ["sum_excess", "scale"]), keys)
+    tails = with_stationary_point(sums, keys).groupBy(*keys).agg(
+        F.max("peaks").alias("peaks"), F.max("sum_excess").alias("sum_excess"), F.max("scale").alias("scale"),
+        F.max("point").alias("_best"), F.array_sort(F.collect_list(F.struct("k", "log_sum", "inv_sum"))).alias("_s"),
     )
-    fitted = attach(attach(attach(start, basics, keys, ["peaks", "sum_excess", "scale"]), arrays, keys, ["_s"]), best, keys, ["_best"])
+    fitted = attach(start, tails, keys, ["peaks", "sum_excess", "scale", "_best", "_s"])
     pareto = F.col("_best").isNotNull() & (F.col("_best.fit") > -F.ln("scale"))
     gamma = F.when(pareto, F.greatest(F.lit(-SHAPE_LIMIT), F.least(F.lit(SHAPE_LIMIT), F.col("_best.gamma")))).when(
         F.col("peaks") > 0, F.lit(0.0)
     )
     sigma = F.when(pareto, F.col("_best.sigma")).otherwise(F.col("scale"))
-    risk_value = F.col(risk) if isinstance(risk, str) else F.lit(risk)
-    out = fitted.withColumns({"gamma": gamma, "sigma": sigma, "peaks": F.coalesce("peaks", F.lit(0)), "risk": risk_value})
-    offset = quantile_offset(F.col("gamma"), F.col("sigma"), F.col("n"), F.col("peaks"), F.col("risk"))
-    level = capped(F.col("init") + offset, F.col("init")) if sign > 0 else F.col("init") - offset
-    out = out.withColumn("threshold", F.when(F.col("peaks") > 0, level).otherwise(F.col("init")))
-    risk_column = [] if isinstance(risk, str) and risk in keys else ["risk"]
-    return out.select(
-        *keys, "n", "init", "peaks", "gamma", "sigma", "threshold", *risk_column, "sum_excess", "scale",
+    out = fitted.withColumns(
+        {"gamma": gamma, "sigma": sigma, "peaks": F.coalesce("peaks", F.lit(0)), "risk": F.lit(float(risk))}
+    )
+    return out.withColumn("threshold", alarm_level(F.col("risk"), sign)).select(
+        *keys, "n", "init", "peaks", "gamma", "sigma", "threshold", "risk", "sum_excess", "scale",
         F.transform("_s", lambda p: p["log_sum"]).alias("log_sums"),
         F.transform("_s", lambda p: p["inv_sum"]).alias("inv_sums"),
     )
 
 
+def alarm_level(risk: Column, sign: int = 1) -> Column:
+    """Alarm threshold of a fit (n, init, peaks, gamma, sigma) at a risk."""
+    offset = quantile_offset(F.col("gamma"), F.col("sigma"), F.col("n"), F.col("peaks"), risk)
+    init = F.col("init")
+    level = capped(init + offset, init) if sign > 0 else init - offset
+    return F.when(F.col("peaks") > 0, level).otherwise(init)
+
+
 def classify(
     scores: DataFrame, fitted: DataFrame, keys: Sequence[str], score: str = "score", tail: str = "upper", out: str = "alarm"
 ) -> DataFrame:

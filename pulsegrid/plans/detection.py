@@ -16,6 +16,7 @@ from pulsegrid.plans.base import (
     rows_in, sql, table,
 )
 from pulsegrid.plans.labels import labelled_marks
+from pulsegrid.storage import durable
 
 DEPTH = 10
 
@@ -154,8 +155,8 @@ def threshold_fit_lower(spark, sf):
     sql(EV, SCORES, GRID_SQL, fit_sql("scores"), body="SELECT event_id, metric, CASE WHEN score > threshold THEN 1 ELSE 0 END AS alarm FROM scores JOIN fit USING (metric)"),
 )
 def static_alarms(spark, sf):
-    scores = event_scores(spark, sf)
-    fitted = T.fit_thresholds(scores, ["metric"], "score", QUANTILE, RISK, group_rows=rows_in(spark, sf, "events"))
+    scores = durable(event_scores(spark, sf), "scores")
+    fitted = T.fit_thresholds(scores, ["metric"], "score", QUANTILE, RISK, group_rows=rows_in(spark, sf, "events"), written=True)
     return T.classify(scores, fitted, ["metric"]).select("event_id", "metric", "alarm")
 
 
@@ -246,7 +247,7 @@ DRIFT_SQL = recursive_sql(
 
 
 def _trace(spark, sf, depth):
-    scores, rows = event_scores(spark, sf), rows_in(spark, sf, "events")
+    scores, rows = durable(event_scores(spark, sf), "scores"), rows_in(spark, sf, "events")
     half = day(HALF_DAYS)
     keys, order = ["metric"], ["ts", "event_id"]
     states = spot.start_states(scores.where(F.col("ts") < half), keys, order, "score", QUANTILE, RISK, depth=depth, group_rows=rows)
@@ -310,7 +311,8 @@ SEGMENT_SQL = [
 def alarm_sequence(spark, sf):
     """Hour marks with label and alarm, numbered in time order."""
     rows = rows_in(spark, sf, "events")
-    per_hour = event_scores(spark, sf).groupBy(floor_time(F.col("ts"), "1 hour").alias("ts")).agg(F.max("score").alias("score"))
+    hour = floor_time(F.col("ts"), "1 hour").alias("ts")
+    per_hour = durable(event_scores(spark, sf).groupBy(hour).agg(F.max("score").alias("score")), "scores")
     fitted = T.fit_thresholds(per_hour.withColumn("metric", F.lit("all")), ["metric"], "score", 0.7, 0.1, group_rows=rows)
     limit = fitted.select("threshold").scalar()
     marks = labelled_marks(spark, sf).join(per_hour, "ts", "left")

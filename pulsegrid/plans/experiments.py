@@ -9,6 +9,7 @@ from pulsegrid.operators.labels import label_points
 from pulsegrid.operators.ordered import positions
 from pulsegrid.plans.base import EV, HALF_DAYS, INTERVALS, SCORES, day, event_scores, intervals, query, r6, rows_in, sql, table
 from pulsegrid.plans.detection import GRID_SQL, fit_sql
+from pulsegrid.storage import durable
 
 QUANTILES, RISKS = (0.9, 0.95, 0.98), (1e-2, 1e-3)
 PARAMS = ["quantile", "risk"]
@@ -53,7 +54,7 @@ TRIAL_SQL = [EV, INTERVALS, SCORES, STREAM, GRID_SQL, _fits(), TRIALS]
 
 def _trials(spark, sf, quantiles=QUANTILES, risks=RISKS):
     rows = rows_in(spark, sf, "events")
-    scores = event_scores(spark, sf)
+    scores = durable(event_scores(spark, sf), "scores")
     stream = label_points(scores.where(F.col("ts") >= day(HALF_DAYS)), intervals(spark, sf), group_rows=rows)
     placed = positions(stream, ["metric"], ["ts", "event_id"], "idx", rows)
     out = X.threshold_trials(scores.where(F.col("ts") < day(HALF_DAYS)), placed, quantiles, risks, ["metric"], group_rows=rows)

@@ -13,6 +13,7 @@ from pulsegrid.plans.base import (
     EV, INTERVALS, MARKS, WINDOW, events, hourly, query, r6, rows_in, sql, table,
 )
 from pulsegrid.plans.labels import WINDOW_LABELS, labelled_windows
+from pulsegrid.storage import durable
 
 DIMENSIONS, SEED = 64, 32
 FOLDS, SUITE_FOLDS = 10, 2
@@ -25,7 +26,7 @@ def _vectors(spark, sf):
 
 def _scaled(spark, sf):
     vectors = _vectors(spark, sf)
-    return R.standardise_array(vectors, vectors.where("label = 0"), "embedding", DIMENSIONS)
+    return R.standardise_array(vectors, vectors.where("label = 0"), "embedding")
 
 
 @query(
@@ -45,7 +46,7 @@ def standard_scaling(spark, sf):
 @query("reconstruct_errors")
 def reconstruct_errors(spark, sf):
     """Vectors projected on four components of the normal ones; alarm above the 99 % quantile of their error."""
-    scaled = _scaled(spark, sf)
+    scaled = durable(_scaled(spark, sf).select("vec_id", "label", "scaled"), "scaled")
     normal = scaled.where("label = 0")
     model = R.fit_components(normal)
     threshold = R.quantile_threshold(R.reconstruction_errors(normal, model), group_rows=rows_in(spark, sf, "embeddings"))
@@ -61,7 +62,8 @@ def window_reconstruct_errors(spark, sf):
     windows = sliding_windows(
         hourly(spark, sf), ["metric"], ["ts"], {"steps": ("list", F.col("value"))}, WINDOW, 1, rows_in(spark, sf, "events")
     )
-    scaled = R.standardise_array(windows, windows, "steps", WINDOW)
+    windows = durable(windows.select("metric", "win_id", "steps"), "windows")
+    scaled = R.standardise_array(windows, windows, "steps")
     errors = R.reconstruction_errors(scaled, R.fit_components(scaled))
     return S.error_summary(errors, "mse").select("n", *[F.round(c, 6).alias(c) for c in ("mean_error", "std_error", "threshold")], "anomalies")
 
@@ -70,6 +72,7 @@ def window_reconstruct_errors(spark, sf):
 def lag_regression(spark, sf):
     """Next hourly value from the nine before it by linear regression; squared error per metric."""
     features = S.lag_features(hourly(spark, sf), ["metric"], ["ts"], "value", WINDOW, rows_in(spark, sf, "events"))
+    features = durable(features, "features")
     predicted = S.predict_lag_regression(S.fit_lag_regression(features, "value", WINDOW), features, WINDOW)
     return S.group_loss(predicted, "metric", "value", "value_pred").withColumn("mse", F.round("mse", 4))
 
@@ -129,7 +132,7 @@ def one_class_boundary(spark, sf):
 def boosted_grid(spark, sf):
     """Boosted trees chosen over two depths with two folds; the default grid of the operator is larger."""
     vectors = _vectors(spark, sf)
-    rows = C.prepare(vectors, vectors, "embedding", DIMENSIONS).select("raw", "label").persist()
+    rows = durable(C.prepare(vectors, vectors, "embedding").select("raw", "label"), "train").persist()
     fitted = C.boosted_grid(rows, depths=(3, 5), steps=(0.1,), shares=(0.7,), folds=2, rounds=5)
     results = C.grid_results(fitted)
     rows.unpersist()
