@@ -40,7 +40,7 @@ def balanced_weights(df: DataFrame, label: str = "label", out: str = "weight") -
     """Row weights that give every class the same total."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     n, classes = df.agg(F.count(F.lit(1))).scalar(), sizes.agg(F.count(F.lit(1))).scalar()
-    weights = sizes.withColumn(out, n / (classes * F.col("_n")))
+    weights = durable(sizes.withColumn(out, n / (classes * F.col("_n"))), "weights")
     return attach(df, weights, [label], [out])
 
 
@@ -129,7 +129,7 @@ def one_class(
     mean = F.col("s") / F.col("n")
     moments = moments.select("fold", "at", mean.alias("m"), F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0))).alias("sd"))
     listed = F.array_sort(F.collect_list(F.struct("at", "m", "sd")))
-    centres = moments.groupBy("fold").agg(listed.alias("centre"))
+    centres = durable(moments.groupBy("fold").agg(listed.alias("centre")), "centres")
 
     rows = df.where(~is_normal).select(*ids, F.lit(None).cast("int").alias("own"), array).unionByName(
         folded.select(*ids, F.col("fold").alias("own"), array)
@@ -140,10 +140,10 @@ def one_class(
         lambda x, c: F.when(c["sd"] > 0, F.pow((x - c["m"]) / c["sd"], 2.0)).otherwise(0.0),
     )
     distance = F.sqrt(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x))
-    scored = spread.select(*ids, "own", "fold", F.round(distance, 9).alias("distance"))
+    scored = durable(spread.select(*ids, "own", "fold", F.round(distance, 9).alias("distance")), "distances")
     train = scored.where("own is not null and own <> fold")
     limits = order_statistic(train, ["fold"], "distance", 1 - outliers, "boundary", interpolate=True, group_rows=group_rows)
-    tested = attach(scored.where("own is null or own = fold"), limits, ["fold"], ["boundary"])
+    tested = attach(scored.where("own is null or own = fold"), durable(limits, "limits"), ["fold"], ["boundary"])
     actual, flagged = F.col("own").isNull(), F.col("distance") > F.col("boundary")
     counts = tested.groupBy("fold").agg(
         F.count_if(actual & flagged).alias("tp"), F.count_if(~actual & flagged).alias("fp"),

@@ -55,12 +55,12 @@ def split_runs(
     return durable(ranged.withColumn(RUN, F.spark_partition_id()), "runs")
 
 
-def same_group(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
-
-
 def attach(rows: DataFrame, small: DataFrame, names: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Left join on ``names`` that keeps rows with null keys and adds ``columns``."""
+    """Left join on ``names`` that keeps rows with null keys and adds ``columns``.
+
+    Whether ``small`` is broadcast is left to its size. Callers write a small aggregate first
+    (``durable``), since a written table tells the planner its size before the rows are shuffled.
+    """
     side = small.select(*[F.col(n).alias(f"_on_{n}") for n in names], *columns)
     match = reduce(lambda a, b: a & b, [rows[n].eqNullSafe(side[f"_on_{n}"]) for n in names])
     return rows.join(side, match, "left").drop(*[f"_on_{n}" for n in names])
@@ -69,7 +69,7 @@ def attach(rows: DataFrame, small: DataFrame, names: Sequence[str], columns: Seq
 def _totals_of_earlier_runs(runs: DataFrame, keys: Sequence[str], totals: dict[str, Column]) -> DataFrame:
     per_run = runs.groupBy(*keys, RUN).agg(*[c.alias(n) for n, c in totals.items()])
     earlier = Window.partitionBy(*keys).orderBy(RUN).rowsBetween(Window.unboundedPreceding, -1)
-    return per_run.select(*keys, RUN, *[F.sum(n).over(earlier).alias(n) for n in totals])
+    return durable(per_run.select(*keys, RUN, *[F.sum(n).over(earlier).alias(n) for n in totals]), "offsets")
 
 
 def positions(
@@ -143,6 +143,7 @@ def last_known(
     carried = per_run.select(
         *keys, RUN, *[F.last(f"_carry_{n}", True).over(earlier).alias(f"_carry_{n}") for n in values]
     )
+    carried = durable(carried, "carried")
     local = runs.withColumns({n: F.last(c, True).over(upto) for n, c in values.items()})
     joined = attach(local, carried, [*keys, RUN], [f"_carry_{n}" for n in values])
     return joined.withColumns({n: F.coalesce(n, f"_carry_{n}") for n in values}).drop(

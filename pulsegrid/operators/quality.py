@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.statistics import sample_kurtosis, sample_skewness
 from pulsegrid.operators.ordered import attach
 from pulsegrid.operators.timegrid import time_gaps
+from pulsegrid.storage import durable
 
 
 def metric_quality(
@@ -28,6 +29,7 @@ def metric_quality(
         sample_skewness(v).alias("skewness"),
         sample_kurtosis(v).alias("kurtosis"),
     )
+    stats = durable(stats, "stats")
     scored = attach(df.select(*keys, value), stats, keys, ["mean_value", "std_value"])
     beyond = (F.col("std_value") > 0) & (F.abs((v - F.col("mean_value")) / F.col("std_value")) > 3)
     outliers = scored.groupBy(*keys).agg(F.count_if(beyond).alias("outliers"))

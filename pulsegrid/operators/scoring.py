@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.ordered import OrderKey, attach, row_frames
+from pulsegrid.storage import durable
 
 
 def detrend(
@@ -24,9 +25,9 @@ def detrend(
         return rows.withColumns({"_back": F.count(F.lit(1)).over(back), "_mean": F.avg(value).over(back)})
 
     framed = row_frames(df, keys, order, depth, 0, frame, group_rows)
-    sizes = framed.groupBy(*keys).agg((F.count(F.lit(1)) <= depth).alias("_short"))
+    sizes = df.groupBy(*keys).agg((F.count(F.lit(1)) <= depth).alias("_short"))
     if keys:
-        framed = attach(framed, sizes, keys, ["_short"])
+        framed = attach(framed, durable(sizes, "sizes"), keys, ["_short"])
     else:
         framed = framed.withColumn("_short", sizes.scalar())
     full = F.col("_back") == depth

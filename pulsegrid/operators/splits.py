@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators.labels import ANOMALOUS, NORMAL
 from pulsegrid.operators.ordered import attach, positions
+from pulsegrid.storage import durable
 
 
 def shuffle_key(seed: int | str, *ids: str) -> Column:
@@ -64,7 +65,7 @@ def supervised_split(
     sizes = usable.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_size")).withColumn("_train", train_size)
     sizes = sizes.withColumn("_pool", F.col("_size") - F.col("_train"))
     pools = sizes.where("_pool > 0").groupBy(*by).agg(F.sum("_pool").alias("_pools"), F.min("_pool").alias("_least"))
-    sizes = attach(sizes, pools, by, ["_pools", "_least"])
+    sizes = durable(attach(sizes, pools, by, ["_pools", "_least"]), "sizes")
 
     marked = attach(ranked, sizes, [*by, label], ["_train", "_pool", "_pools", "_least"])
     place = F.col("_rank") - F.col("_train")

@@ -11,6 +11,7 @@ from pulsegrid.operators.labels import collapse_labels
 from pulsegrid.plans.base import (
     EV, HOURLY, METRICS, TRAIN_DAYS, day, events, hourly, query, r6, rows_in, sql,
 )
+from pulsegrid.storage import durable
 
 CATALOGUE = (
     M.MetricSpec("load", "error_value", "error", "value"),
@@ -120,7 +121,7 @@ FROM ev LEFT JOIN stats USING (metric)"""),
 def zscore_by_metric(spark, sf):
     ev = events(spark, sf)
     stats = M.fit_scaler(ev.where((F.col("metric") != "signup") & (F.col("ts") < day(TRAIN_DAYS))))
-    return M.apply_scaler(ev, stats).select("event_id", "metric", r6("z").alias("z"))
+    return M.apply_scaler(ev, durable(stats, "stats")).select("event_id", "metric", r6("z").alias("z"))
 
 
 FILL_SQL = sql(
@@ -299,6 +300,6 @@ def counter_gauge_repair(spark, sf):
     clean = M.clip_negative(raw)
     last = clean.agg(F.max("event_id")).scalar()
     mapping = M.value_column_map(clean.where(F.col("_measurement").isin(*METRICS) & (F.col("event_id") < last)))
-    return M.one_value_column(clean, mapping).select(
+    return M.one_value_column(clean, durable(mapping, "mapping")).select(
         "event_id", "_measurement", r6("counter").alias("counter"), r6("gauge").alias("gauge")
     )
