@@ -76,7 +76,8 @@ def mine_templates(messages: DataFrame, message: str = "message", similarity: fl
 
 def with_template(messages: DataFrame, mined: DataFrame, message: str = "message") -> DataFrame:
     """Messages with the template that their form belongs to."""
-    return messages.withColumn("form", mask_variables(F.col(message))).join(mined.select("form", "template"), "form", "left")
+    mined = durable(mined.select("form", "template"), "templates")
+    return messages.withColumn("form", mask_variables(F.col(message))).join(mined, "form", "left")
 
 
 def template_counts(df: DataFrame, template: str = "template", order: Sequence[str] = ("ts",)) -> DataFrame:

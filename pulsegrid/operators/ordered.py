@@ -196,10 +196,14 @@ def order_statistic(
     ``q * (n - 1)``. An approximate quantile first narrows the range, so that only the values
     near the wanted rank are grouped and ranked; the others are merely counted.
     """
-    pad, accuracy = 0.002, 10_000
+    pad, accuracy, few = 0.002, 10_000, 1_000
     known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     bounds = F.percentile_approx("_v", [max(q - pad, 0.0), min(q + pad, 1.0)], accuracy)
-    span = known.groupBy(*keys).agg(F.count("_v").alias("n"), bounds.alias("_b"))
+    # For few values the padding is less than a rank or two, so their whole range is the bracket.
+    bracket = F.when(F.count("_v") < few, F.array(F.min("_v"), F.max("_v"))).otherwise(bounds)
+    span = known.groupBy(*keys).agg(F.count("_v").alias("n"), bracket.alias("_b"))
+    if keys:
+        span = durable(span, "span")
     if keys:
         near = attach(known, span, keys, ["n", "_b"])
     else:

@@ -157,7 +157,7 @@ def threshold_fit_lower(spark, sf):
 def static_alarms(spark, sf):
     scores = durable(event_scores(spark, sf), "scores")
     fitted = T.fit_thresholds(scores, ["metric"], "score", QUANTILE, RISK, group_rows=rows_in(spark, sf, "events"), written=True)
-    return T.classify(scores, fitted, ["metric"]).select("event_id", "metric", "alarm")
+    return T.classify(scores, durable(fitted.select("metric", "threshold"), "thresholds"), ["metric"]).select("event_id", "metric", "alarm")
 
 
 # --- sequential detection: calibrated on the first half, run over the second ---------------------------

@@ -14,6 +14,7 @@ from pulsegrid.plans.base import (
     EV, LINES, LOG_RE, MASK_RE, METRICS, PARSED, TEMPLATED, event_lines, events, query, r6, rows_in, sql, table,
 )
 from pulsegrid.sources.readers import canonical_lines
+from pulsegrid.storage import durable
 
 
 @query(
@@ -94,9 +95,16 @@ def log_template_merge(spark, sf):
 
 
 def _numbered(spark, sf):
-    masked = _messages(spark, sf).withColumn("template", mask_variables(F.col("message")))
+    """Messages with the rarity number of their template, and the numbers.
+
+    Both are written first: parsing is not repeated, and the size of the number table is known, so the
+    few templates do not become the keys of a shuffle of all messages.
+    """
+    masked = _messages(spark, sf).select("event_id", "ts", mask_variables(F.col("message")).alias("template"))
+    masked = durable(masked, "messages")
     counts = G.template_counts(masked, order=["ts", "event_id"])
     numbers = G.rarity_numbers(counts, group_rows=rows_in(spark, sf, "events")).select("template", "n", "number")
+    numbers = durable(numbers, "numbers")
     return masked.join(numbers, "template"), numbers
 
 
@@ -193,7 +201,7 @@ def _dictionary(spark, sf):
     trace = _trace(spark, sf)
     known = trace.select("system_call").where("system_call < 'f'").distinct()
     base = positions(known, [], ["system_call"], "id", rows).withColumn("id", F.col("id") + 1)
-    return T.extend_dictionary(trace, base, ["ts", "event_id"], group_rows=rows)
+    return durable(T.extend_dictionary(trace, base, ["ts", "event_id"], group_rows=rows), "dictionary")
 
 
 @query("call_dictionary", sql(EV, TRACE, body="SELECT id, system_call FROM dict"))

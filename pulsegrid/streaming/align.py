@@ -35,14 +35,20 @@ def deduplicated(stream: DataFrame, ids: Sequence[str], ts: str = "ts", watermar
     return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(ids))
 
 
-def unlabelled_periods(stream: DataFrame, gap: str = "1 second", ts: str = "ts", label: str = "label", watermark: str = WATERMARK) -> DataFrame:
-    """Periods of unlabelled rows at most ``gap`` apart, as sessions; the end is that of the last row."""
+def unlabelled_periods(
+    stream: DataFrame, keys: Sequence[str] = ("label",), gap: str = "1 second", ts: str = "ts", label: str = "label", watermark: str = WATERMARK
+) -> DataFrame:
+    """Periods of unlabelled rows at most ``gap`` apart per key, as sessions; the end is that of the last row.
+
+    A stream needs a key for sessions. Without a series, the label serves as one.
+    """
     sessions = (
         stream.where(F.col(label) == -1)
         .withWatermark(ts, watermark)
-        .groupBy(F.session_window(ts, gap).alias("s"))
+        .groupBy(*keys, F.session_window(ts, gap).alias("s"))
         .agg(F.count(F.lit(1)).alias("instants"))
     )
+    kept = [k for k in keys if k != label]
     return sessions.select(
-        F.col("s.start").alias("start_ts"), (F.col("s.end") - F.expr(f"interval {gap}")).alias("end_ts"), "instants"
+        *kept, F.col("s.start").alias("start_ts"), (F.col("s.end") - F.expr(f"interval {gap}")).alias("end_ts"), "instants"
     )

@@ -21,6 +21,6 @@ def folder():
 @pytest.fixture
 def small_groups(spark):
     """Makes nearly every key count as large."""
-    spark.conf.set("spark.pulsegrid.maxGroupRows", "7")
+    spark.conf.set("spark.pulsegrid.maxGroupRows", "40")
     yield
     spark.conf.unset("spark.pulsegrid.maxGroupRows")
