@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: one log record per line, `<ISO ms Z> <LEVEL> <pid> --- [<thread>] <logger> : <message>`.
-LOG_LINE = r"(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z)\s+(\w+)\s+(\d+)\s+---\s+\[(.*?)\]\s+(.*?)\s+:\s+(.*)"
+LOG_LINE = r"(?s)(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z)\s+(\w+)\s+(\d+)\s+---\s+\[(.*?)\]\s+(.*?)\s+:\s+(.*)"
 LOG_FIELDS = ("timestamp", "log_level", "process_id", "thread", "logger", "message")
 ISO_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
@@ -15,12 +15,24 @@ VARIABLE_PARTS = r"\b\d{1,3}(?:\.\d{1,3}){3}\b|\b0x[0-9a-fA-F]+\b|\b\d+(?:\.\d+)
 WILDCARD = "<*>"
 
 
+_ANCHORED = LOG_LINE.replace("(?s)", "(?s)^")
+_MARK = "\u0001"
+
+
 def is_log_line(line: Column) -> Column:
-    return line.rlike("^" + LOG_LINE)
+    return line.rlike(_ANCHORED)
+
 
+def log_fields(line: Column) -> Column:
+    """All fields of a log line as an array, in the order of ``LOG_FIELDS``.
 
-def log_field(line: Column, name: str) -> Column:
-    return F.regexp_extract(line, "^" + LOG_LINE, LOG_FIELDS.index(name) + 1)
+    One match puts a mark between the fields, and the line is split there. Lines that contain the
+    mark themselves are matched field by field.
+    """
+    count = len(LOG_FIELDS)
+    marked = F.regexp_replace(line, _ANCHORED, _MARK.join(f"${i + 1}" for i in range(count)))
+    one_by_one = F.array(*[F.regexp_extract(line, _ANCHORED, i + 1) for i in range(count)])
+    return F.when(line.contains(_MARK), one_by_one).otherwise(F.split(marked, _MARK, count))
 
 
 def iso_millis(ts: Column) -> Column:

@@ -82,15 +82,13 @@ def _label_by_broadcast(points: DataFrame, bins: DataFrame, width: int, ts: str)
 def _label_by_sweep(points: DataFrame, intervals: DataFrame, ts: str, group_rows: int | None) -> DataFrame:
     columns = points.columns
     probes = points.withColumns({"_at": F.col(ts), "_turn": F.lit(1), "_kind": F.lit(None).cast("int"), "_step": F.lit(0)})
-
-    def edges(column: str, turn: int, step: int) -> DataFrame:
-        return intervals.where("start_ts <= end_ts").select(
-            F.col(column).alias("_at"), F.lit(turn).alias("_turn"), F.col("label").alias("_kind"), F.lit(step).alias("_step")
-        )
-
-    line = probes.unionByName(edges("start_ts", 0, 1), allowMissingColumns=True).unionByName(
-        edges("end_ts", 2, -1), allowMissingColumns=True
+    edge = lambda column, turn, step: F.struct(F.col(column).alias("_at"), F.lit(turn).alias("_turn"), F.lit(step).alias("_step"))
+    edges = (
+        intervals.where("start_ts <= end_ts")
+        .select(F.col("label").alias("_kind"), F.explode(F.array(edge("start_ts", 0, 1), edge("end_ts", 2, -1))).alias("_e"))
+        .select("_kind", "_e.*")
     )
+    line = probes.unionByName(edges, allowMissingColumns=True)
     swept = running_sums(
         line,
         [],
@@ -215,23 +213,17 @@ def overlap_counts(windows: DataFrame, intervals: DataFrame, group_rows: int | N
     window starts, so the count is (starts up to the window's end) - (ends before its start). One
     sweep over all edges in time order gives both; no window meets an interval row by row.
     """
-    usable = intervals.where("start_ts <= end_ts")
-
-    def edge(column: str, turn: int) -> DataFrame:
-        return usable.select(
-            F.col(column).alias("at"), F.lit(turn).alias("turn"), F.lit(None).cast(windows.schema["window_id"].dataType).alias("window_id"),
-            F.lit(0).alias("side"),
-            (F.col("label") == ANOMALOUS).cast("int").alias("fault"), (F.col("label") == NORMAL).cast("int").alias("normal"),
-        )
-
-    def probe(column: str, side: int) -> DataFrame:
-        return windows.select(
-            F.col(column).alias("at"), F.lit(1).alias("turn"), "window_id", F.lit(side).alias("side"),
-            F.lit(0).alias("fault"), F.lit(0).alias("normal"),
-        )
-
-    line = edge("start_ts", 0).unionByName(probe("window_start", 1)).unionByName(probe("window_end", 2)).unionByName(edge("end_ts", 2))
-    opened, closed = F.col("turn") == 0, F.col("turn") == 2
+    mark = lambda column, turn, side: F.struct(F.col(column).alias("at"), F.lit(turn).alias("turn"), F.lit(side).alias("side"))
+    edges = (
+        intervals.where("start_ts <= end_ts")
+        .select("label", F.explode(F.array(mark("start_ts", 0, 0), mark("end_ts", 2, 0))).alias("e"))
+        .select("e.*", (F.col("label") == ANOMALOUS).cast("int").alias("fault"), (F.col("label") == NORMAL).cast("int").alias("normal"))
+    )
+    probes = windows.select(
+        "window_id", F.explode(F.array(mark("window_start", 1, 1), mark("window_end", 2, 2))).alias("e")
+    ).select("window_id", "e.*", F.lit(0).alias("fault"), F.lit(0).alias("normal"))
+    line = probes.unionByName(edges, allowMissingColumns=True)
+    opened, closed = F.col("side") + F.col("turn") == 0, (F.col("side") == 0) & (F.col("turn") == 2)
     swept = running_sums(
         line,
         [],

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.logtext import LOG_FIELDS, WILDCARD, is_log_line, log_field, mask_variables
+from pulsegrid.functions.logtext import LOG_FIELDS, WILDCARD, is_log_line, log_fields, mask_variables
 from pulsegrid.operators.ordered import positions
 from pulsegrid.operators.timegrid import floor_time
 from pulsegrid.operators.windows import pad_list, sliding_windows
@@ -19,8 +19,9 @@ SIMILARITY = 0.5
 def parse_logs(lines: DataFrame, line: str = "value") -> DataFrame:
     """Fields of every line in log format; other lines are dropped."""
     text = F.col(line)
-    parsed = lines.where(is_log_line(text)).withColumns({name: log_field(text, name) for name in LOG_FIELDS})
-    return parsed.withColumn("ts", F.col("timestamp").try_cast("timestamp"))
+    parsed = lines.where(is_log_line(text)).withColumn("_fields", log_fields(text))
+    named = parsed.withColumns({name: F.col("_fields")[i] for i, name in enumerate(LOG_FIELDS)})
+    return named.withColumn("ts", F.col("timestamp").try_cast("timestamp")).drop("_fields")
 
 
 def conformance(lines: DataFrame, line: str = "value") -> DataFrame:

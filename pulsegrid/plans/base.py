@@ -151,7 +151,7 @@ LINES = rf"""lines AS (
               ' --- [worker-' || (user_id % 8) || '] app.' || metric || ' : ' || {MESSAGE_SQL} END AS line
   FROM ev)"""
 
-LOG_RE = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z)\s+(\w+)\s+(\d+)\s+---\s+\[(.*?)\]\s+(.*?)\s+:\s+(.*)"
+LOG_RE = r"(?s)^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z)\s+(\w+)\s+(\d+)\s+---\s+\[(.*?)\]\s+(.*?)\s+:\s+(.*)"
 MASK_RE = r"\b\d{1,3}(?:\.\d{1,3}){3}\b|\b0x[0-9a-fA-F]+\b|\b\d+(?:\.\d+)?\b"
 
 PARSED = rf"""parsed AS (

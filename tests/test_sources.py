@@ -30,6 +30,12 @@ def test_log_files(spark, folder):
     assert readers.read_logs(spark, f"{folder}/LOGS_a.txt").count() == 1
 
 
+def test_line_with_the_field_mark(spark):
+    odd = LINE.replace("GET", "G\u0001ET").replace("app.web", "app\u0001web")
+    r = logs.parse_logs(spark.createDataFrame([(odd,), ("plain",)], "value string")).first()
+    assert (r["thread"], r["logger"], r["message"]) == ("io-1010-exec-10", "app\u0001web", "G\u0001ET /items 200")
+
+
 @pytest.mark.parametrize("wrap", [lambda r: r, lambda r: {"logs": r}, lambda r: {"data": r}])
 def test_log_json(spark, folder, wrap):
     records = [
