@@ -35,20 +35,27 @@ def max_group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(MAX_GROUP_ROWS, str(DEFAULT_MAX_GROUP_ROWS)))
 
 
+def key_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows of the table and of its largest key."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
+    return total or 0, largest or 0
+
+
 def split_runs(
-    df: DataFrame, keys: Sequence[str], order: Sequence[OrderKey], group_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[OrderKey], group_rows: int | None = None,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame | None:
     """``df`` with a run number that splits large keys in order; None if no key is large.
 
     Runs are numbered in the order of (keys, order). ``group_rows`` is an upper bound on the
-    rows of one key, if the caller knows one.
+    rows of one key, if the caller knows one; ``sizes`` are those of ``key_sizes``, if already taken.
     """
     limit = max_group_rows(df.sparkSession)
     if group_rows is not None and group_rows <= limit:
         return None
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
-    if (largest or 0) <= limit:
+    total, largest = sizes or key_sizes(df, keys)
+    if largest <= limit:
         return None
     runs = max(2, math.ceil(2 * total / limit))
     ranged = df.repartitionByRange(runs, *[F.col(k) for k in keys], *order)
@@ -78,9 +85,10 @@ def positions(
     order: Sequence[OrderKey],
     name: str = "pos",
     group_rows: int | None = None,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """0-based position of every row in its key."""
-    runs = split_runs(df, keys, order, group_rows)
+    runs = split_runs(df, keys, order, group_rows, sizes)
     if runs is None:
         number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         return df.withColumn(name, (number - 1).cast("long"))
@@ -128,27 +136,45 @@ def last_known(
     group_rows: int | None = None,
 ) -> DataFrame:
     """Last non-null value at or before the row (``backward``: first one at or after it)."""
+    return known_around(df, keys, order, {} if backward else values, values if backward else {}, group_rows)
+
+
+def known_around(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    before: dict[str, Column],
+    after: dict[str, Column],
+    group_rows: int | None = None,
+) -> DataFrame:
+    """Last non-null values at or before the row and first ones at or after it, from one layout."""
     runs = split_runs(df, keys, order, group_rows)
-    direction = [F.col(c).desc() if backward else F.col(c).asc() for c in order]
+    split = [] if runs is None else [RUN]
+    rows = df if runs is None else runs
+
+    def frame(backward: bool) -> WindowSpec:
+        direction = [F.col(c).desc() if backward else F.col(c).asc() for c in order]
+        return Window.partitionBy(*keys, *split).orderBy(*direction).rowsBetween(Window.unboundedPreceding, 0)
+
+    sides = [(n, c, False) for n, c in before.items()] + [(n, c, True) for n, c in after.items()]
+    local = rows.withColumns({n: F.last(c, True).over(frame(b)) for n, c, b in sides})
     if runs is None:
-        upto = Window.partitionBy(*keys).orderBy(*direction).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({n: F.last(c, True).over(upto) for n, c in values.items()})
-    upto = Window.partitionBy(*keys, RUN).orderBy(*direction).rowsBetween(Window.unboundedPreceding, 0)
-    nearest = F.min_by if backward else F.max_by
-    per_run = runs.groupBy(*keys, RUN).agg(
-        *[nearest(c, F.when(c.isNotNull(), F.struct(*order))).alias(f"_carry_{n}") for n, c in values.items()]
-    )
-    run_order = F.col(RUN).desc() if backward else F.col(RUN).asc()
-    earlier = Window.partitionBy(*keys).orderBy(run_order).rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_run.select(
-        *keys, RUN, *[F.last(f"_carry_{n}", True).over(earlier).alias(f"_carry_{n}") for n in values]
-    )
-    carried = durable(carried, "carried")
-    local = runs.withColumns({n: F.last(c, True).over(upto) for n, c in values.items()})
-    joined = attach(local, carried, [*keys, RUN], [f"_carry_{n}" for n in values])
-    return joined.withColumns({n: F.coalesce(n, f"_carry_{n}") for n in values}).drop(
-        RUN, *[f"_carry_{n}" for n in values]
-    )
+        return local
+
+    def outermost(c: Column, backward: bool) -> Column:
+        nearest = F.min_by if backward else F.max_by
+        return nearest(c, F.when(c.isNotNull(), F.struct(*order)))
+
+    def from_other_runs(name: str, backward: bool) -> Column:
+        run_order = F.col(RUN).desc() if backward else F.col(RUN).asc()
+        earlier = Window.partitionBy(*keys).orderBy(run_order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.last(name, True).over(earlier).alias(name)
+
+    carry = {n: f"_carry_{n}" for n, _, _ in sides}
+    per_run = runs.groupBy(*keys, RUN).agg(*[outermost(c, b).alias(carry[n]) for n, c, b in sides])
+    carried = durable(per_run.select(*keys, RUN, *[from_other_runs(carry[n], b) for n, _, b in sides]), "carried")
+    joined = attach(local, carried, [*keys, RUN], list(carry.values()))
+    return joined.withColumns({n: F.coalesce(n, c) for n, c in carry.items()}).drop(RUN, *carry.values())
 
 
 def row_frames(
@@ -168,11 +194,11 @@ def row_frames(
     limit = max_group_rows(df.sparkSession)
     if group_rows is not None and group_rows <= limit:
         return compute(df, Window.partitionBy(*keys).orderBy(*order))
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if (largest or 0) <= limit:
+    sizes = key_sizes(df, keys)
+    if sizes[1] <= limit:
         return compute(df, Window.partitionBy(*keys).orderBy(*order))
     block = max(limit // 2, before + after + 1)
-    placed = positions(df, keys, order, "_at", group_rows)
+    placed = positions(df, keys, order, "_at", group_rows, sizes)
     home = F.floor(F.col("_at") / block)
     first = F.greatest(F.floor((F.col("_at") - after) / block), F.lit(0))
     last = F.floor((F.col("_at") + before) / block)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.ordered import last_known, positions, row_frames
+from pulsegrid.operators.ordered import known_around, positions, row_frames
 
 
 def floor_time(ts: Column, every: str) -> Column:
@@ -116,8 +116,7 @@ def fill_gaps(
     """
     placed = positions(df, keys, [ts], "_p", group_rows)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col("_p").alias("p"), F.col(value).alias("v")))
-    seen = last_known(placed, keys, ["_p"], {"_a": known}, group_rows=group_rows)
-    seen = last_known(seen, keys, ["_p"], {"_b": known}, backward=True, group_rows=group_rows)
+    seen = known_around(placed, keys, ["_p"], {"_a": known}, {"_b": known}, group_rows)
 
     p, a, b = F.col("_p"), F.col("_a"), F.col("_b")
     has_a, has_b = a.isNotNull(), b.isNotNull()

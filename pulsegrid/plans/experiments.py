@@ -8,7 +8,10 @@ from pulsegrid.operators import experiments as X
 from pulsegrid.operators.labels import label_points
 from pulsegrid.operators.ordered import positions
 from pulsegrid.plans.base import EV, HALF_DAYS, INTERVALS, SCORES, day, event_scores, intervals, query, r6, rows_in, sql, table
+from pulsegrid.operators.splits import supervised_split
+from pulsegrid.plans.base import MARKS
 from pulsegrid.plans.detection import GRID_SQL, fit_sql
+from pulsegrid.plans.labels import WINDOW_LABELS, labelled_windows
 from pulsegrid.storage import durable
 
 QUANTILES, RISKS = (0.9, 0.95, 0.98), (1e-2, 1e-3)
@@ -124,3 +127,39 @@ def latest_version(spark, sf):
         F.col("o_custkey").alias("model"), F.col("o_orderkey").alias("version"), F.col("o_totalprice").alias("price")
     )
     return X.latest_version(rows)
+
+
+SWEEP_CONFIGS = (("wide", 0.9, 1e-2, 0.8), ("narrow", 0.98, 1e-3, 0.6), ("broken", 1.5, 1e-3, 0.8))
+SWEEP_SEEDS = (1, 2)
+
+
+@query(
+    "config_sweep",
+    sql(EV, INTERVALS, MARKS, WINDOW_LABELS, f"""jobs(config, seed, train_ratio) AS (SELECT c, s, r FROM (VALUES ('wide', 0.8::DOUBLE), ('narrow', 0.6::DOUBLE)) a(c, r), (VALUES (1), (2)) b(s)),
+u AS (SELECT config, seed, label, train_ratio, row_number() OVER (PARTITION BY config, seed, label ORDER BY md5(seed || ':' || win_id), win_id) - 1 AS r,
+  count(*) OVER (PARTITION BY config, seed, label) AS n, win_id FROM win, jobs WHERE label IN (0, 1)),
+v AS (SELECT *, CASE WHEN label = 0 THEN floor(n * train_ratio) ELSE 0 END AS train FROM u),
+w AS (SELECT config, seed, win_id, CASE WHEN r < train THEN 'train' WHEN r - train < floor((n - train) * 0.2::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM v)""",
+        body="""SELECT config, seed, count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'val') AS val,
+  count(*) FILTER (WHERE split = 'test') AS test, CAST(sum(win_id) FILTER (WHERE split = 'val') AS BIGINT) AS val_ids, NULL AS error FROM w GROUP BY 1, 2
+UNION ALL SELECT 'broken', s, NULL, NULL, NULL, NULL, 'quantile outside 0..1' FROM (VALUES (1), (2)) b(s)"""),
+)
+def config_sweep(spark, sf):
+    """Every (config, seed) splits the labelled windows in one job; an invalid config is recorded."""
+    windows = durable(labelled_windows(spark, sf).select("win_id", "label"), "windows")
+    configs = X.check_configs(spark.createDataFrame(list(SWEEP_CONFIGS), "config string, quantile double, risk double, train_ratio double"))
+
+    def run(rows):
+        parts = None
+        for ratio in sorted({c[3] for c in SWEEP_CONFIGS if c[0] != "broken"}):
+            part = supervised_split(
+                rows.where(F.col("train_ratio") == ratio), ["win_id"], train_ratio=ratio, seed="seed", keys=["config", "seed"],
+                group_rows=rows_in(spark, sf, "events"),
+            )
+            parts = part if parts is None else parts.unionByName(part)
+        count = lambda name: F.count_if(F.col("split") == name).alias(name)
+        return parts.groupBy("config", "seed").agg(
+            count("train"), count("val"), count("test"), F.sum(F.when(F.col("split") == "val", F.col("win_id"))).alias("val_ids")
+        )
+
+    return X.sweep(windows, configs, SWEEP_SEEDS, run)

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import classify as C
 from pulsegrid.operators import evaluate as E
+from pulsegrid.operators import quality as Q
 from pulsegrid.operators import reconstruct as R
 from pulsegrid.operators import scoring as S
 from pulsegrid.operators import splits as P
+from pulsegrid.operators.metrics import finite_or_zero
+from pulsegrid.operators.windows import sliding_windows
 from pulsegrid.plans.base import (
-    EV, INTERVALS, MARKS, WINDOW, events, hourly, query, r6, rows_in, sql, table,
+    EV, HOURLY, INTERVALS, MARKS, WINDOW, events, hourly, query, r6, rows_in, sql, table,
 )
 from pulsegrid.plans.labels import WINDOW_LABELS, labelled_windows
 from pulsegrid.storage import durable
@@ -57,8 +60,6 @@ def reconstruct_errors(spark, sf):
 @query("window_reconstruct_errors")
 def window_reconstruct_errors(spark, sf):
     """Windows of the hourly series rebuilt from components; summary with threshold mean + 2 deviations."""
-    from pulsegrid.operators.windows import sliding_windows
-
     windows = sliding_windows(
         hourly(spark, sf), ["metric"], ["ts"], {"steps": ("list", F.col("value"))}, WINDOW, 1, rows_in(spark, sf, "events")
     )
@@ -217,3 +218,37 @@ INTERSECT SELECT value FROM ev JOIN shuffled USING (event_id) WHERE split = 'tes
 def shared_values(spark, sf):
     rows = P.shuffled_split(events(spark, sf).select("event_id", "value"), ["event_id"], group_rows=rows_in(spark, sf, "events"))
     return P.shared_values(rows.where("split = 'train'"), rows.where("split = 'test'"), "value")
+
+
+@query(
+    "window_structure",
+    sql(EV, HOURLY, f"""g AS (SELECT CASE WHEN metric IN ('error', 'view') THEN 'load' ELSE 'traffic' END AS "group", metric, count(*) AS n FROM hourly GROUP BY metric),
+w AS (SELECT "group", CAST(sum(greatest(n - {WINDOW} + 1, 0)) AS BIGINT) AS windows FROM g GROUP BY 1)""",
+        body=f"""SELECT "group", windows, {WINDOW} AS shortest, {WINDOW} AS longest, (SELECT count(DISTINCT windows) = 1 FROM w) AS ok FROM w"""),
+)
+def window_structure(spark, sf):
+    windows = sliding_windows(
+        hourly(spark, sf), ["metric"], ["ts"], {"steps": ("list", F.col("value"))}, WINDOW, 1, rows_in(spark, sf, "events")
+    )
+    grouped = durable(windows.withColumn("group", F.when(F.col("metric").isin("error", "view"), "load").otherwise("traffic")), "windows")
+    return Q.window_structure(grouped, WINDOW)
+
+
+@query(
+    "aligned_labels",
+    sql(EV, INTERVALS, MARKS, WINDOW_LABELS, body="SELECT win_id, CASE WHEN label = 1 THEN 1 ELSE 0 END AS label FROM win"),
+)
+def aligned_labels(spark, sf):
+    """Windows with the label of the usable ones; unlabelled windows count as normal."""
+    windows = durable(labelled_windows(spark, sf), "windows")
+    return E.align_labels(windows.select("win_id"), windows.where("label <> -1"), require=False).select("win_id", "label")
+
+
+@query(
+    "finite_values",
+    sql(EV, body="SELECT event_id, CASE WHEN k % 10 < 3 THEN 0.0 ELSE value END AS value FROM ev"),
+)
+def finite_values(spark, sf):
+    kind = F.col("k") % 10
+    dirty = F.when(kind == 0, float("inf")).when(kind == 1, float("nan")).when(kind == 2, None).otherwise(F.col("value"))
+    return events(spark, sf).select("event_id", finite_or_zero(dirty).alias("value"))
