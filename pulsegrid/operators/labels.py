@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.ordered import last_known, positions, row_frames, running_sums
-from pulsegrid.storage import fits
+from pulsegrid.storage import durable, fits
 
 ANOMALOUS, NORMAL, UNLABELLED = 1, 0, -1
 
@@ -37,8 +37,11 @@ def _micros(name: str):
 
 
 def _binned_cover(intervals: DataFrame) -> tuple[DataFrame, int] | None:
-    """Disjoint intervals spread over equal bins, and the bin width; None if one bin holds too many."""
-    cover = merge_intervals(intervals).withColumns({"_s": _micros("start_ts"), "_e": _micros("end_ts")}).cache()
+    """Disjoint intervals spread over equal bins, and the bin width; None if one bin holds too many.
+
+    A bin is at least as wide as the mean interval, so n intervals give no more than 2n rows.
+    """
+    cover = durable(merge_intervals(intervals).select("label", _micros("start_ts").alias("_s"), _micros("end_ts").alias("_e")), "cover")
     mean = cover.agg(F.avg(F.col("_e") - F.col("_s"))).first()[0]
     width = max(1_000_000, int(mean or 0))
     bins = cover.withColumn(
