@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import prefix_bpe
+from pulsegrid.llm import prefix_bpe, toxicity
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -38,3 +38,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op10_prefix_bpe(spark, sf_dir):
     """Every document's ids by prefix dynamic programming, and the text they decode to, as digests."""
     return prefix_bpe.encoding_digests(_table(spark, sf_dir, "documents"))
+
+
+@_query("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    """Every document's toxicity by subword embeddings fitted on labels outside the held-out fifth."""
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
