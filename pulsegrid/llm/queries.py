@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import prefix_bpe, toxicity
+from pulsegrid.llm import prefix_bpe, quality, toxicity
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -44,3 +44,10 @@ def op10_prefix_bpe(spark, sf_dir):
 def op2_toxicity(spark, sf_dir):
     """Every document's toxicity by subword embeddings fitted on labels outside the held-out fifth."""
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op9_quality")
+def op9_quality(spark, sf_dir):
+    """Every document's base counts and the verdict of the n-gram regression."""
+    judged = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
