@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import prefix_bpe, quality, toxicity
+from pulsegrid.llm import credentials, prefix_bpe, quality, toxicity, trie_counts
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -51,3 +51,15 @@ def op9_quality(spark, sf_dir):
     """Every document's base counts and the verdict of the n-gram regression."""
     judged = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
+
+
+@_query("op6_credentials")
+def op6_credentials(spark, sf_dir):
+    """Secrets of every document: base spans as counts and digest, and all spans with the linked weak parts."""
+    return credentials.digests(_table(spark, sf_dir, "documents"))
+
+
+@_query("op5_trie_counts")
+def op5_trie_counts(spark, sf_dir):
+    """Every document's number of unigram tokens, from forward scores on a trie of its pre-tokens."""
+    return trie_counts.token_counts(_table(spark, sf_dir, "documents"))
