@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import credentials, prefix_bpe, quality, toxicity, trie_counts
+from pulsegrid.llm import credentials, html_paths, prefix_bpe, quality, toxicity, trie_counts
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -63,3 +63,9 @@ def op6_credentials(spark, sf_dir):
 def op5_trie_counts(spark, sf_dir):
     """Every document's number of unigram tokens, from forward scores on a trie of its pre-tokens."""
     return trie_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
+@_query("op1_html_paths")
+def op1_html_paths(spark, sf_dir):
+    """The main text of every page by tag-path ratios."""
+    return html_paths.main_texts(_table(spark, sf_dir, "pages"))

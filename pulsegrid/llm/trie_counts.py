@@ -29,7 +29,7 @@ from pulsegrid.llm.textbatch import per_batch
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A cost and a count in one integer, so that the smaller sum is the cheaper segmentation and, of equals, the shorter one.
-ONE_TOKEN, COST = 1, 1 << 40
+ONE_TOKEN, COST = 1, 1 << 32
 
 
 class Trie:
