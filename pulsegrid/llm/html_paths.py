@@ -55,6 +55,8 @@ _PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 
 KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 SPREAD = 0.25
+#: Elements nested deeper than this become siblings, as in browsers.
+DEEPEST = 500
 MOST = 0.9
 
 
@@ -64,7 +66,7 @@ class Node:
 
     tag: str
     parent: Node | None
-    path: str
+    path: int
     out: bool = False
     hinted: bool = False
     article: bool = False
@@ -102,7 +104,8 @@ class Page:
     """The elements and text nodes of a page in order."""
 
     def __init__(self, source: str):
-        self.root = Node("#", None, "")
+        self.root = Node("#", None, 0)
+        self.paths: dict[tuple[int, str], int] = {}
         self.open = [self.root]
         self.leaves: list[Leaf] = []
         self.block = 0
@@ -158,10 +161,13 @@ class Page:
             self._text(" ")
         if name in VOID:
             return
+        if len(self.open) > DEEPEST:
+            self.open.pop()
         parent = self.open[-1]
         attributes = _attributes(raw) if raw.strip(" /") else {}
         first = attributes.get("class", "").split()[:1]
-        node = Node(name, parent, f"{parent.path}/{name}{'.' + first[0] if first else ''}")
+        path = self.paths.setdefault((parent.path, ".".join([name, *first])), len(self.paths) + 1)
+        node = Node(name, parent, path)
         node.article = parent.article or name in ("article", "main")
         node.out = name in NEVER or name == "header" and not parent.article or name not in ROOTS and _hidden(attributes)
         node.hinted = name not in ROOTS and not node.out and _hinted(attributes)
@@ -242,7 +248,7 @@ def _content_root(page: Page, leaves: list[Leaf], chosen: list[Leaf]) -> Node:
     if found is not None:
         return found
     parent = root.parent
-    if parent is not None and parent.tag not in ("html", "#") and any(_is_in(leaf.node, parent) and leaf.node.path.rsplit("/", 1)[-1].startswith(("h1", "h2")) for leaf in leaves):
+    if parent is not None and parent.tag not in ("html", "#") and any(_is_in(leaf.node, parent) and leaf.node.tag in ("h1", "h2") for leaf in leaves):
         extra = sum(len(leaf.text.strip()) for leaf in leaves if _is_in(leaf.node, parent) and not _is_in(leaf.node, root))
         if extra <= 400:
             return parent
