@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import credentials, html_paths, prefix_bpe, quality, toxicity, trie_counts
+from pulsegrid.llm import credentials, html_paths, prefix_bpe, quality, toxicity, trie_counts, warc
+from pulsegrid.storage import new_table_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -69,3 +70,18 @@ def op5_trie_counts(spark, sf_dir):
 def op1_html_paths(spark, sf_dir):
     """The main text of every page by tag-path ratios."""
     return html_paths.main_texts(_table(spark, sf_dir, "pages"))
+
+
+_WARC_SQL = """WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f"""
+
+
+@_query("op7_warc_members", _WARC_SQL)
+def op7_warc_members(spark, sf_dir):
+    """Every page through whole-file archives, their normalised form, and reads by offset."""
+    return warc.roundtrip(_table(spark, sf_dir, "pages"), new_table_path(spark, "warc"))
