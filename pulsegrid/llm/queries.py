@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import credentials, html_paths, prefix_bpe, quality, toxicity, trie_counts, warc
+from pulsegrid.llm import bagminhash, credentials, html_paths, prefix_bpe, quality, toxicity, trie_counts, warc
 from pulsegrid.storage import new_table_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,26 @@ FROM f"""
 def op7_warc_members(spark, sf_dir):
     """Every page through whole-file archives, their normalised form, and reads by offset."""
     return warc.roundtrip(_table(spark, sf_dir, "pages"), new_table_path(spark, "warc"))
+
+
+WORD_SQL = r"regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+')"
+_NEAR_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {WORD_SQL} AS ws FROM documents),
+k AS (SELECT ws, min(doc_id) AS node, count(*) AS copies FROM w GROUP BY ws),
+s AS (SELECT node, s, count(*) AS n FROM (
+  SELECT node, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) ELSE [array_to_string(ws, ' ')] END) AS s
+  FROM k WHERE len(ws) > 0) GROUP BY node, s),
+t AS (SELECT node, sum(n) AS total FROM s GROUP BY node),
+o AS (SELECT a.node AS a, b.node AS b, sum(least(a.n, b.n)) AS shared FROM s a JOIN s b ON a.s = b.s AND a.node < b.node GROUP BY a.node, b.node),
+e AS (SELECT a, b FROM o JOIN t x ON x.node = a JOIN t y ON y.node = b WHERE shared >= 0.8 * (x.total + y.total - shared)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT node, node AS label FROM k UNION SELECT b.b, r.label FROM reach r JOIN both_ways b ON b.a = r.node),
+c AS (SELECT node, min(label) AS class_id FROM reach GROUP BY node),
+z AS (SELECT class_id, sum(copies) AS class_size FROM c JOIN k USING (node) GROUP BY class_id)
+SELECT w.doc_id, c.class_id, CAST(z.class_size AS BIGINT) AS class_size
+FROM w JOIN k ON w.ws = k.ws JOIN c USING (node) JOIN z USING (class_id)"""
+
+
+@_query("op3_bagminhash", _NEAR_SQL)
+def op3_bagminhash(spark, sf_dir):
+    """Every document's class of near-duplicates by weighted Jaccard similarity of five-word shingles."""
+    return bagminhash.classes(_table(spark, sf_dir, "documents"))
