@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import bagminhash, credentials, html_paths, prefix_bpe, quality, toxicity, trie_counts, warc
+from pulsegrid.llm import bagminhash, credentials, decontaminate, html_paths, prefix_bpe, quality, toxicity, trie_counts, warc
 from pulsegrid.storage import new_table_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,20 @@ FROM w JOIN k ON w.ws = k.ws JOIN c USING (node) JOIN z USING (class_id)"""
 def op3_bagminhash(spark, sf_dir):
     """Every document's class of near-duplicates by weighted Jaccard similarity of five-word shingles."""
     return bagminhash.classes(_table(spark, sf_dir, "documents"))
+
+
+_LEAK_SQL = f"""WITH w AS (SELECT doc_id, {WORD_SQL} AS ws FROM documents), v AS (SELECT item_id, {WORD_SQL} AS ws FROM benchmark),
+d AS (SELECT DISTINCT doc_id, unnest({{shingles}}) AS s FROM w WHERE len(ws) > 0),
+i AS (SELECT DISTINCT item_id, unnest({{shingles}}) AS s FROM v WHERE len(ws) > 0),
+n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id),
+o AS (SELECT doc_id, item_id, count(*) AS n_shared FROM i JOIN d USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment FROM o JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_shingles""".replace(
+    "{shingles}",
+    "CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) ELSE [array_to_string(ws, ' ')] END",
+)
+
+
+@_query("op4_decontamination", _LEAK_SQL)
+def op4_decontamination(spark, sf_dir):
+    """Every benchmark item that a document contains."""
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
