@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import bagminhash, credentials, decontaminate, html_paths, prefix_bpe, quality, toxicity, trie_counts, warc
+from pulsegrid.llm import bagminhash, credentials, decontaminate, html_paths, prefix_bpe, quality, toxicity, training_order, trie_counts, warc
 from pulsegrid.storage import new_table_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,9 @@ SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containme
 def op4_decontamination(spark, sf_dir):
     """Every benchmark item that a document contains."""
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op8_training_order")
+def op8_training_order(spark, sf_dir):
+    """Every sequence of every document's ids at its slot in fixed-stride shards, as read back from them."""
+    return training_order.placed_sequences(spark, _table(spark, sf_dir, "documents"), new_table_path(spark, "order"))
