@@ -107,21 +107,22 @@ def _keys(pairs: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``row_id`` (doc_id, or the least long for null), ``key`` of the words, and ``bands`` (null without a word)."""
-    types = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_id bigint, key binary, bands array<bigint>"
+    """``doc_id``, ``row_id`` and ``text_hash`` (the row's identity), ``key`` of the words, and ``bands`` (none without a word)."""
+    types = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_id bigint, text_hash bigint, key binary, bands array<bigint>"
 
     def step(batch: pa.RecordBatch):
-        for texts in pieces(lowered(batch.column(2))):
+        for texts in pieces(lowered(batch.column(3))):
             keys, row, shingle, count = bags(texts)
             times = registers(texts.n, row, shingle, count)
             values = pa.array(bands(times).view(np.int64).reshape(-1))
             ends = np.concatenate([[0], np.cumsum(np.where(np.isfinite(times[:, 0]), BANDS, 0))])
             values = values.filter(pa.array(np.repeat(np.isfinite(times[:, 0]), BANDS)))
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
-            ids = [batch.column(i).slice(texts.first, texts.n) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*ids, _keys(keys), lists], names=["doc_id", "row_id", "key", "bands"])
+            ids = [batch.column(i).slice(texts.first, texts.n) for i in (0, 1, 2)]
+            yield pa.RecordBatch.from_arrays([*ids, _keys(keys), lists], names=["doc_id", "row_id", "text_hash", "key", "bands"])
 
-    return per_batch(docs.select("doc_id", _row_id().alias("row_id"), "text"), ["doc_id", "row_id", "text"], types, step)
+    names = ["doc_id", "row_id", "text_hash", "text"]
+    return per_batch(docs.select("doc_id", *_identity(), "text"), names, types, step)
 
 
 def _bag_table(docs: DataFrame) -> DataFrame:
@@ -218,7 +219,7 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     member = durable(member.select("bucket", "id").join(pivot, "bucket"), "members")
 
     active = durable(nodes.join(central.select("id"), "id", "left_semi").select("id", "key", "row_id"), "active")
-    texts = docs.select("text", _row_id().alias("row_id")).join(active.select("row_id"), "row_id", "left_semi")
+    texts = docs.select("text", *_identity()).select("text", "row_id").join(active.select("row_id"), "row_id", "left_semi")
     found = _bag_table(texts).join(active.select("id", "key"), "key")
     bag_table = durable(found.groupBy("id").agg(F.first("bag").alias("bag")), "bags")
 
@@ -229,18 +230,40 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return durable(edges.unionByName(rest.where(F.col("similar") >= SIMILAR).select("a", "b")), "links")
 
 
-def _row_id():
-    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
+def _identity():
+    """A row's id (the least long for null) and a hash of its text: rows that share both are the same row repeated."""
+    return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("row_id"), F.xxhash64("text").alias("text_hash")]
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``class_id`` (the least doc_id of its class; null if all are null), ``class_size`` in rows."""
+def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and per node ``key`` its class ``label`` and its aggregates."""
     rows = durable(signatures(docs), "signatures")
-    nodes = rows.groupBy("key").agg(F.min("row_id").alias("row_id"), F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "row_id", "text_hash")).alias("first")
+    nodes = rows.groupBy("key").agg(F.min("row_id").alias("row_id"), first, F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands"))
     nodes = durable(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     labels = components(_links(nodes, docs))
-    named = nodes.select("id", "key", "least", "n").join(labels, F.col("id") == F.col("node"), "left").select("key", "least", "n", F.coalesce("label", "id").alias("label"))
-    named = durable(named, "named")
+    named = nodes.join(labels, F.col("id") == F.col("node"), "left").select("key", "first", "least", "n", F.coalesce("label", "id").alias("label"))
+    return rows, durable(named, "named")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``class_id`` (the least doc_id of its class; null if all are null), ``class_size`` in rows."""
+    rows, named = _labelled(docs)
     sums = named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
     of_key = named.select("key", "label").join(sums, "label").select("key", "class_id", "class_size")
     return rows.select("doc_id", "key").join(of_key, "key").select("doc_id", "class_id", "class_size")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of every class with all columns as they are: the one of the least doc_id (null ids last), and of its texts the least hash."""
+    rows, named = _labelled(docs)
+    firsts = named.groupBy("label").agg(F.min("first").alias("first")).select("first.row_id", "first.text_hash")
+    copies = rows.join(firsts, ["row_id", "text_hash"], "left_semi").groupBy("row_id", "text_hash").agg(F.count("*").alias("n"))
+    copies = durable(copies, "kept")
+    names = ["_row_id", "_text_hash"]
+    marked = docs.withColumns(dict(zip(names, _identity())))
+    once, more = (copies.where(c).select(F.col("row_id").alias("_row_id"), F.col("text_hash").alias("_text_hash")) for c in ("n = 1", "n > 1"))
+    kept = marked.join(once, names, "left_semi")
+    if not more.isEmpty():
+        kept = kept.unionByName(marked.join(more, names, "left_semi").dropDuplicates(names))
+    return kept.select(*docs.columns)

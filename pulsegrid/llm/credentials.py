@@ -19,8 +19,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pulsegrid.llm.textbatch import filled, per_batch, pieces
+from pulsegrid.llm.textbatch import each, filled, per_batch, pieces
 
 REACH = 300
 MIN_ASSIGNED, MIN_ACCESS, MIN_HEX, MIN_WEAK = 12, 18, 16, 4
@@ -168,17 +169,20 @@ def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     return per_batch(docs.select(*keep, docs[text].alias("_text")), [*keep, "_text"], schema, step)
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every reported span of ``text`` replaced by its kind; null texts stay null."""
+def redact(docs: DataFrame) -> DataFrame:
+    """``docs`` with every reported span of ``text`` replaced by its kind; null texts stay null. ``n_chars``, if there is one, follows."""
+    at = docs.columns.index("text")
 
     def step(batch: pa.RecordBatch):
-        at = batch.schema.get_field_index(text)
         column = batch.column(at)
         cleaned = [redacted(t, spans) if t is not None else None for t, _, spans in _scan(column)]
-        values = pc.coalesce(pa.array(cleaned, column.type), column)
-        yield batch.set_column(at, batch.schema.field(at), values)
+        yield batch.set_column(at, batch.schema.field(at), pc.coalesce(pa.array(cleaned, column.type), column))
 
-    return per_batch(docs, docs.columns, docs.schema, step)
+    found = docs.mapInArrow(each(step), docs.schema)
+    if "n_chars" not in docs.columns:
+        return found
+    kind = docs.schema["n_chars"].dataType
+    return found.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
 
 
 def digests(docs: DataFrame) -> DataFrame:

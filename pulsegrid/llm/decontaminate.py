@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.textbatch import lowered, per_batch, pieces, shingles, word_hashes
+from pulsegrid.llm.textbatch import each, lowered, per_batch, pieces, shingles, word_hashes
 
 SHINGLE = 5
 CONTAINED = 0.8
@@ -166,3 +166,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         part = of_block(rows)
         found = part if found is None else found.unionByName(part)
     return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that contain no item, all columns as they are."""
+    at_text = docs.columns.index("text")
+
+    def of_block(docs: DataFrame, rows: list) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(_read_items(rows))
+
+        def step(batch: pa.RecordBatch):
+            items, clean = shared.value, np.ones(batch.num_rows, dtype=bool)
+            for texts in pieces(lowered(batch.column(at_text))):
+                words, hashes = word_hashes(texts)
+                row, shingle = shingles(words, hashes, SHINGLE, texts.n)
+                at = np.searchsorted(row, np.arange(texts.n + 1))
+                for i in np.unique(row[items.known(shingle)]).tolist():
+                    clean[texts.first + i] = not contained_in(items, shingle[at[i] : at[i + 1]])
+            yield batch.filter(pa.array(clean))
+
+        return docs.mapInArrow(each(step), docs.schema)
+
+    for rows in _blocks(benchmark):
+        docs = of_block(docs, rows)
+    return docs

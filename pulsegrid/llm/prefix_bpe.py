@@ -230,23 +230,26 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFram
     return per_batch(df, [*keep, ids], schema, step)
 
 
-def encoding_digests(df: DataFrame, id_column: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """Per row its id, the number of ids, and SHA-256 of the ids (little-endian, 32 bits) and of the bytes they decode to."""
+def encoding_digests(df: DataFrame, id_column: str = "doc_id", text: str = "text", path: str | None = None, ids: bool = False) -> DataFrame:
+    """Per row its id, the number of ids, SHA-256 of the ids (little-endian, 32 bits) and of the bytes they decode to; if asked for, the ids."""
     path = path or public_tokenizers.path(VOCABULARY)
-    schema = f"{id_column} {df.schema[id_column].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    names = [id_column, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])]
+    schema = f"{id_column} {df.schema[id_column].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{', ids array<int>' if ids else ''}"
+
+    def digests(whole: bytes, cuts: list[int]) -> pa.Array:
+        return pa.array([hashlib.sha256(whole[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:])], pa.string())
 
     def step(batch: pa.RecordBatch):
         v = vocabulary(path)
         for found in pretokens(batch.column(1)):
-            ids, at = encoded(v, found)
-            text_bytes = decoded(v, ids).tobytes()
-            text_at = np.concatenate([[0], np.cumsum(v.lengths[ids])])[at]
-            raw = ids.astype("<u4").tobytes()
-            digest = lambda whole, cuts: [hashlib.sha256(whole[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:])]
+            flat, at = encoded(v, found)
+            text_at = np.concatenate([[0], np.cumsum(v.lengths[flat])])[at]
             columns = [
                 batch.column(0).slice(found.texts.first, found.texts.n), pa.array(np.diff(at)),
-                pa.array(digest(raw, (4 * at).tolist())), pa.array(digest(text_bytes, text_at.tolist())),
+                digests(flat.astype("<u4").tobytes(), (4 * at).tolist()), digests(decoded(v, flat).tobytes(), text_at.tolist()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
+            if ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return per_batch(df, [id_column, text], schema, step)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pulsegrid.llm.hashed import BITS, Adam, bucket, byte_grams, labelled_sample, sigmoid
-from pulsegrid.llm.textbatch import NOT_BLANK, Texts, Words, filled, per_batch, pieces, runs, shingles, span_hashes
+from pulsegrid.llm.textbatch import NOT_BLANK, Texts, Words, each, filled, per_batch, pieces, runs, shingles, span_hashes
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -164,24 +164,42 @@ def base_counts(texts: Texts, words: Words) -> dict[str, np.ndarray]:
     }
 
 
-def judge(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns of ``docs`` to keep, the base counts, ``base_failed``, the calibrated ``probability`` and ``kept``."""
+def _fitted(docs: DataFrame, labels: DataFrame):
     model = fit(labelled_sample(docs, labels, "quality", rows=FIT_ROWS))
-    shared = docs.sparkSession.sparkContext.broadcast((model.words, model.grams, model.slope, model.offset))
+    return docs.sparkSession.sparkContext.broadcast((model.words, model.grams, model.slope, model.offset))
+
+
+def _verdicts(column: pa.Array, model: Model) -> Iterator[tuple[Texts, dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+    """(piece of texts, base counts, probability, kept) of a column of texts."""
+    for texts in pieces(filled(column)):
+        words, features = _features(texts)
+        base = base_counts(texts, words)
+        p = probabilities(model, features, texts.n)
+        yield texts, base, p, ~base["base_failed"] & (p >= MIN_PROBABILITY)
+
+
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per row of ``docs`` its doc_id, the base counts, ``base_failed``, the calibrated ``probability`` and ``kept``."""
+    shared = _fitted(docs, labels)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    names = [*keep, *counts, "base_failed", "probability", "kept"]
-    schema = ", ".join(
-        [*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} bigint" for c in counts), "base_failed boolean, probability double, kept boolean"]
-    )
+    names = ["doc_id", *counts, "base_failed", "probability", "kept"]
+    types = [f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"{c} bigint" for c in counts), "base_failed boolean, probability double, kept boolean"]
+
+    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for texts, base, p, kept in _verdicts(batch.column(1), Model(*shared.value)):
+            ids = batch.column(0).slice(texts.first, texts.n)
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, [*base.values(), p, kept])], names=names)
+
+    return per_batch(docs, ["doc_id", "text"], ", ".join(types), step)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns as they are."""
+    shared = _fitted(docs, labels)
+    at = docs.columns.index("text")
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = Model(*shared.value)
-        for texts in pieces(filled(batch.column(len(keep)))):
-            words, features = _features(texts)
-            base = base_counts(texts, words)
-            p = probabilities(found, features, texts.n)
-            rows = batch.slice(texts.first, texts.n)
-            values = [*base.values(), p, ~base["base_failed"] & (p >= MIN_PROBABILITY)]
-            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], *map(pa.array, values)], names=names)
-
-    return per_batch(docs.select(*keep, docs["text"].alias("_text")), [*keep, "_text"], schema, step)
+        kept = [kept for *_, kept in _verdicts(batch.column(at), Model(*shared.value))]
+        yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return docs.mapInArrow(each(step), docs.schema)

@@ -50,7 +50,7 @@ def op2_toxicity(spark, sf_dir):
 @_query("op9_quality")
 def op9_quality(spark, sf_dir):
     """Every document's base counts and the verdict of the n-gram regression."""
-    judged = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ["doc_id"])
+    judged = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
 
 

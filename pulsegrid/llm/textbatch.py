@@ -149,12 +149,17 @@ def word_hashes(texts: Texts, table: np.ndarray = WORD) -> tuple[Words, np.ndarr
     return found, span_hashes(texts.data, found.begin, found.end)
 
 
-def per_batch(df: DataFrame, columns: list[str], schema: str, step: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) -> DataFrame:
-    """``step`` over the Arrow batches of some columns of ``df``: no shuffle, one pass, a batch at a time."""
+def each(step: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]):
+    """``step`` for every batch of a partition that has rows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield from step(batch)
 
-    return df.select(*columns).mapInArrow(work, schema)
+    return work
+
+
+def per_batch(df: DataFrame, columns: list[str], schema: str, step: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) -> DataFrame:
+    """``step`` over the Arrow batches of some columns of ``df``: no shuffle, one pass, a batch at a time."""
+    return df.select(*columns).mapInArrow(each(step), schema)
