@@ -14,9 +14,9 @@ points per shingle.
 **Candidates.** Texts with the same words in order are one node from the start. Registers are taken in bands of four; nodes that agree on a
 band share a bucket. In each bucket all others are compared with one pivot, the node whose buckets are largest. What that leaves
 unconnected is compared between classes (not within them), apart from pairs that two bounds rule out. One minus this similarity is a
-metric, so two texts whose distances to the pivot differ by more than 0.2 are no link. And what a bag has of shingles that no other open bag
-has cannot overlap, which bounds the similarity of all its pairs: a copy that was edited too much to be near the pivot is nearly always out
-by that bound, for its edits are its own. Copies are not expanded into all pairs, and a bucket loses no link. A link of similarity 0.8
+metric, so two texts whose distances to the pivot differ by more than 0.2 are no link. And what a bag has of shingles that no other class has
+cannot overlap outside of its class; the rest is counted in cells of the hash space, and the sum of the lesser counts bounds the overlap. A
+copy that was edited too much to be near the pivot is nearly always out by that bound, for its edits are its own. Copies are not expanded into all pairs, and a bucket loses no link. A link of similarity 0.8
 shares no bucket with a probability of 4e-6.
 
 **Verification** is exact on the bags, up to collisions of 64-bit shingle hashes. Null, empty and wordless texts are one class, by equal words.
@@ -39,6 +39,8 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
+#: Cells of the counts that bound an overlap.
+CELLS = 128
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -167,24 +169,29 @@ def similarities(pairs: DataFrame, bag_table: DataFrame) -> DataFrame:
 
 
 def _own_shingles(bag_table: DataFrame) -> DataFrame:
-    """``id, total, own``: a bag's size, and how much of it are shingles that no other bag of the table has."""
+    """``id, total, others, sketch`` of bags with their class ``label``: a bag's size, how much of it are shingles that another class has too,
+    and how that part falls into ``CELLS`` cells of the hash space.
+    """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                values, count = np.unique(np.frombuffer(batch.column(1)[i].as_buffer(), dtype=np.uint64), return_counts=True)
-                ids = np.full(len(values), batch.column(0)[i].as_py(), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(values.view(np.int64)), pa.array(count)], names=["id", "shingle", "n"])
+                values, count = np.unique(np.frombuffer(batch.column(2)[i].as_buffer(), dtype=np.uint64), return_counts=True)
+                ids, labels = (np.full(len(values), batch.column(k)[i].as_py(), dtype=np.int64) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (ids, labels, values.view(np.int64), count))], names=["id", "label", "shingle", "n"])
 
-    rows = bag_table.select("id", "bag").mapInArrow(step, "id bigint, shingle bigint, n bigint")
-    alone = rows.groupBy("shingle").agg(F.count("*").alias("bags"), F.min("id").alias("id"), F.sum("n").alias("n")).where("bags = 1")
-    own = alone.groupBy("id").agg(F.sum("n").alias("own"))
-    return bag_table.select("id", (F.octet_length("bag") / 8).alias("total")).join(own, "id", "left").select("id", "total", F.coalesce("own", F.lit(0)).alias("own"))
+    rows = bag_table.select("id", "label", "bag").mapInArrow(step, "id bigint, label bigint, shingle bigint, n bigint")
+    shared = rows.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
+    cell = F.pmod("shingle", F.lit(CELLS)).cast("int").alias("cell")
+    cells = rows.join(shared, "shingle", "left_semi").groupBy("id", cell).agg(F.sum("n").alias("n"))
+    filled = F.map_from_entries(F.collect_list(F.struct("cell", F.col("n").cast("int"))))
+    sketch = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda k: F.coalesce(F.try_element_at("cells", k), F.lit(0)))
+    found = cells.groupBy("id").agg(filled.alias("cells"), F.sum("n").alias("others")).select("id", "others", sketch.alias("sketch"))
+    return bag_table.select("id", (F.octet_length("bag") / 8).alias("total")).join(found, "id")
 
 
-def _between_classes(member: DataFrame, near: DataFrame, edges: DataFrame, bag_table: DataFrame) -> DataFrame:
+def _between_classes(member: DataFrame, near: DataFrame, labels: DataFrame, bag_table: DataFrame) -> DataFrame:
     """Pairs of one bucket and two classes that the comparison with the pivot has left open and that may be links."""
-    labels = components(edges)
     known = member.join(labels, member["id"] == labels["node"], "left").select("bucket", "id", "pivot", F.coalesce("label", "id").alias("label"))
     known = known.join(near.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "similar"), ["id", "pivot"], "left")
     known = durable(known.withColumn("far", 1 - F.coalesce("similar", F.lit(1.0))), "known")
@@ -192,25 +199,27 @@ def _between_classes(member: DataFrame, near: DataFrame, edges: DataFrame, bag_t
     main = per_class.groupBy("bucket").agg(F.count("*").alias("classes"), F.max_by("label", F.struct("n", "label")).alias("main"))
     rows = durable(known.where("id <> pivot").join(main.where("classes > 1"), "bucket").select("bucket", "id", "label", "main", "far"), "open")
 
-    sizes = _own_shingles(bag_table.join(rows.select("id").distinct(), "id", "left_semi"))
-    possible = sizes.where(F.col("total") - F.col("own") >= SIMILAR * F.col("total"))
+    sizes = _own_shingles(bag_table.join(rows.select("id", "label").distinct(), "id"))
+    possible = sizes.where(F.col("others") >= SIMILAR * F.col("total"))
     rows = durable(rows.join(possible, "id"), "possible")
     width = 1 - SIMILAR
-    few = rows.where("label <> main").select(*(F.col(c).alias(f"{c}_a") for c in ("id", "label", "far", "total", "own")), "bucket")
+    few = rows.where("label <> main").select(*(F.col(c).alias(f"{c}_a") for c in ("id", "label", "far", "total", "others", "sketch")), "bucket")
     few = few.withColumn("step", F.explode(F.array(*(F.floor(F.col("far_a") / width).cast("int") + k for k in (-1, 0, 1)))))
     every = rows.withColumn("step", F.floor(F.col("far") / width).cast("int"))
-    most = F.least(F.col("total_a") - F.col("own_a"), F.col("total") - F.col("own"))
+    most = F.least("others_a", "others")
+    closer = F.aggregate(F.zip_with("sketch_a", "sketch", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
     crossed = few.join(every, ["bucket", "step"]).where(
         (F.col("label_a") != F.col("label"))
         & (F.abs(F.col("far_a") - F.col("far")) <= width + 1e-9)
         & ((F.col("label") == F.col("main")) | (F.col("id_a") < F.col("id")))
         & (most >= SIMILAR * (F.col("total_a") + F.col("total") - most))
+        & (closer >= SIMILAR * (F.col("total_a") + F.col("total") - closer))
     )
     return crossed.select(F.col("id_a").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Edges ``a, b`` between nodes that connect what similar texts connect."""
+def _classes_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, label`` of the nodes that have a link: what similar texts connect has one label."""
     member = nodes.where("size(bands) > 0").select("id", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     member = durable(member.join(shared, "bucket"), "buckets")
@@ -225,9 +234,19 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     starred = member.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     near = durable(similarities(starred, bag_table), "similar")
-    edges = near.where(F.col("similar") >= SIMILAR).select("a", "b")
-    rest = similarities(_between_classes(member, near, edges, bag_table), bag_table)
-    return durable(edges.unionByName(rest.where(F.col("similar") >= SIMILAR).select("a", "b")), "links")
+    labels = durable(components(near.where(F.col("similar") >= SIMILAR)), "labels")
+
+    rest = similarities(_between_classes(member, near, labels, bag_table), bag_table).where(F.col("similar") >= SIMILAR)
+    rest = durable(rest.select("a", "b"), "links")
+    if rest.isEmpty():
+        return labels
+    class_of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"class_{c}"))
+    joined = rest.join(class_of("a"), "a", "left").join(class_of("b"), "b", "left")
+    ends = joined.select("a", "b", F.coalesce("class_a", "a").alias("class_a"), F.coalesce("class_b", "b").alias("class_b"))
+    merged = components(ends.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("merged"))
+    lone = [ends.select(F.col(c).alias("node"), F.col(f"class_{c}").alias("label")) for c in ("a", "b")]
+    every = labels.unionByName(lone[0]).unionByName(lone[1]).distinct()
+    return every.join(merged, "label", "left").select("node", F.coalesce("merged", "label").alias("label"))
 
 
 def _identity():
@@ -241,7 +260,7 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "row_id", "text_hash")).alias("first")
     nodes = rows.groupBy("key").agg(F.min("row_id").alias("row_id"), first, F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands"))
     nodes = durable(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
-    labels = components(_links(nodes, docs))
+    labels = _classes_of(nodes, docs)
     named = nodes.join(labels, F.col("id") == F.col("node"), "left").select("key", "first", "least", "n", F.coalesce("label", "id").alias("label"))
     return rows, durable(named, "named")
 

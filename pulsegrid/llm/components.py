@@ -1,4 +1,4 @@
-"""Connected components of a table of edges, by rounds of joins; nothing is collected but one count per round."""
+"""Connected components of a table of edges, by contraction; nothing is collected but one count per round."""
 
 from __future__ import annotations
 
@@ -9,24 +9,29 @@ from pulsegrid.storage import durable
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, label``: for every node of ``edges`` (columns a, b) the least node that it is connected with.
+    """``node, label``: for every node of ``edges`` (longs a, b; none of them null) one node of its component, the same for all of it.
 
-    Each round replaces an edge by edges to the least node of its neighbourhood (larger nodes first, then smaller ones), so that chains
-    halve and stars stay. Sums are aggregated before the shuffle, so a node with very many edges is no hot key for long. Every round's
-    edges are written to the shared folder. Self edges and repeated edges are allowed; null nodes are ignored.
+    In each round every node points to the one of least hash among itself and its neighbours, with another hash in each round, and the
+    graph is contracted along the pointers: stars are gone after two rounds, and a chain loses a fixed share of its nodes on average,
+    however its ids are ordered. The pointers are then followed from the last round back to the first. Least values are aggregated
+    before the shuffle, and joins are plain, so Spark can split a node with very many edges. Rounds are written to the shared folder.
     """
-    ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null")
-    now = durable(ordered.distinct(), "edges")
+    pointers, now = [], edges.where("a <> b").select("a", "b")
+    loops = edges.where("a = b").select("a").distinct()
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("_m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("_m").alias("b"))
-        large = large.unionByName(least.where("_m < a").select("a", F.col("_m").alias("b"))).unionByName(now.where("a = b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("_m"))
-        small = large.join(down, "a").where("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
-        after = durable(small.unionByName(down.select("a", F.col("_m").alias("b"))).distinct(), "edges")
-        if after.count() == now.count() and after.exceptAll(now).isEmpty():
+        both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        order = lambda c: F.struct(F.xxhash64(F.col(c) + F.lit(len(pointers) * 7919)).alias("h"), F.col(c).alias("id"))
+        least = both.groupBy("a").agg(F.min(order("b")).alias("m")).select(F.col("a").alias("node"), F.least("m", order("a"))["id"].alias("to"))
+        least = durable(least, "pointers")
+        pointers.append(least)
+        to_a = now.join(least, F.col("a") == F.col("node")).select(F.col("to").alias("a"), "b")
+        contracted = to_a.join(least, F.col("b") == F.col("node")).select("a", F.col("to").alias("b")).where("a <> b")
+        now = durable(contracted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "contracted")
+        if now.isEmpty():
             break
-        now = after
-    nodes = now.unionByName(now.select(F.col("b").alias("a"), "b"))
-    return nodes.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
+    labels = pointers.pop()
+    while pointers:
+        later = labels.select(F.col("node").alias("to"), F.col("to").alias("label"))
+        labels = pointers.pop().join(later, "to", "left").select("node", F.coalesce("label", "to").alias("to"))
+    labels = labels.select("node", F.col("to").alias("label"))
+    return labels.unionByName(loops.join(labels, loops["a"] == labels["node"], "left_anti").select(F.col("a").alias("node"), F.col("a").alias("label")))
