@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: one log record per line, `<ISO ms Z> <LEVEL> <pid> --- [<thread>] <logger> : <message>`.
-LOG_LINE = r"(?s)(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z)\s+(\w+)\s+(\d+)\s+---\s+\[(.*?)\]\s+(.*?)\s+:\s+(.*)"
+LOG_LINE = r"(?s)^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z)\s+(\w+)\s+(\d+)\s+---\s+\[(.*?)\]\s+(.*?)\s+:\s+(.*)"
 LOG_FIELDS = ("timestamp", "log_level", "process_id", "thread", "logger", "message")
 ISO_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
@@ -15,12 +16,16 @@ VARIABLE_PARTS = r"\b\d{1,3}(?:\.\d{1,3}){3}\b|\b0x[0-9a-fA-F]+\b|\b\d+(?:\.\d+)
 WILDCARD = "<*>"
 
 
-_ANCHORED = LOG_LINE.replace("(?s)", "(?s)^")
 _MARK = "\u0001"
 
 
+def stripped(line: Column) -> Column:
+    """The line without white space at either end, as records are compared."""
+    return F.regexp_replace(line, r"^\s+|\s+$", "")
+
+
 def is_log_line(line: Column) -> Column:
-    return line.rlike(_ANCHORED)
+    return line.rlike(LOG_LINE)
 
 
 def log_fields(line: Column) -> Column:
@@ -30,8 +35,8 @@ def log_fields(line: Column) -> Column:
     mark themselves are matched field by field.
     """
     count = len(LOG_FIELDS)
-    marked = F.regexp_replace(line, _ANCHORED, _MARK.join(f"${i + 1}" for i in range(count)))
-    one_by_one = F.array(*[F.regexp_extract(line, _ANCHORED, i + 1) for i in range(count)])
+    marked = F.regexp_replace(line, LOG_LINE, _MARK.join(f"${i + 1}" for i in range(count)))
+    one_by_one = F.array(*[F.regexp_extract(line, LOG_LINE, i + 1) for i in range(count)])
     return F.when(line.contains(_MARK), one_by_one).otherwise(F.split(marked, _MARK, count))
 
 
@@ -48,7 +53,10 @@ def mask_variables(message: Column, pattern: str = VARIABLE_PARTS) -> Column:
     return F.regexp_replace(message, pattern, WILDCARD)
 
 
-def first_truthy(*values: Column) -> Column:
-    """First value that is neither null nor empty nor zero, all as text."""
-    texts = [v.cast("string") for v in values]
-    return F.coalesce(*[F.when(~t.isin("", "0", "0.0"), t) for t in texts])
+def truthy(value: Column, kind: T.DataType) -> Column:
+    """The value as text, null if it is empty text or a number or truth value of zero; the text "0" stands."""
+    if isinstance(kind, T.VariantType):
+        text, is_text = F.try_variant_get(value, "$", "string"), F.schema_of_variant(value) == "STRING"
+        return F.when(is_text & (text != ""), text).when(~is_text & ~text.isin("0", "0.0", "-0.0", "0E0", "false"), text)
+    text = value.cast("string")
+    return F.when(~text.isin(*([""] if isinstance(kind, T.StringType) else ["0", "0.0", "-0.0", "false"])), text)

@@ -25,3 +25,9 @@ def finite_or_null(value: Column) -> Column:
 
 def safe_ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+
+
+def known(value: str | Column) -> Column:
+    """The value, null where it is NaN: aggregates skip it then."""
+    v = F.col(value) if isinstance(value, str) else value
+    return F.when(~F.isnan(v.cast("double")), v)

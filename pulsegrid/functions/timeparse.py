@@ -17,6 +17,12 @@ def parse_iso(text: Column) -> Column:
     return text.try_cast("timestamp")
 
 
+def floor_div(value: Column, by: int) -> Column:
+    """Whole quotient of long values, rounded down; division of doubles would lose the last digits of nanoseconds."""
+    whole = value.cast("long")
+    return F.call_function("div", whole - F.pmod(whole, F.lit(by).cast("long")), F.lit(by).cast("long"))
+
+
 def from_epoch(value: Column, unit: str) -> Column:
     if unit == "s":
         return F.timestamp_micros((value.cast("double") * 1_000_000).cast("long"))
@@ -25,7 +31,7 @@ def from_epoch(value: Column, unit: str) -> Column:
     if unit == "us":
         return F.timestamp_micros(value.cast("long"))
     if unit == "ns":
-        return F.timestamp_micros(F.floor(value.cast("long") / 1000))
+        return F.timestamp_micros(floor_div(value, 1000))
     raise ValueError(f"unknown time unit {unit!r}; use s, ms, us or ns")
 
 

@@ -21,7 +21,7 @@ from pulsegrid.functions.statistics import safe_ratio
 from pulsegrid.operators.evaluate import f1
 from pulsegrid.operators.ordered import attach, order_statistic
 from pulsegrid.operators.reconstruct import standardise_array
-from pulsegrid.operators.splits import plain_folds, shuffle_key, stratified_folds
+from pulsegrid.operators.splits import plain_folds, shuffled_rank, stratified_folds
 from pulsegrid.storage import durable
 
 SEED = 32
@@ -45,9 +45,10 @@ def balanced_weights(df: DataFrame, label: str = "label", out: str = "weight") -
 
 
 def stratified_sample(df: DataFrame, ids: Sequence[str], label: str, fraction: float, seed: int = SEED) -> DataFrame:
-    """About ``fraction`` of every class, chosen by hash, for estimators that take a sample."""
-    share = F.conv(F.substring(shuffle_key(seed, *ids), 1, 8), 16, 10).cast("double") / float(2**32)
-    return df.where(share < fraction)
+    """``fraction`` of every class, rounded up, chosen by hash, for estimators that take a sample."""
+    sizes = durable(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    ranked = attach(shuffled_rank(df, ids, seed, [label]), sizes, [label], ["_n"])
+    return ranked.where(F.col("rank") < F.ceil(F.col("_n") * F.lit(fraction))).drop("rank", "_n")
 
 
 def models(features: int, classes: int) -> dict[str, tuple[Estimator, str]]:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.logtext import LOG_FIELDS, WILDCARD, is_log_line, log_fields, mask_variables
+from pulsegrid.functions.logtext import LOG_FIELDS, WILDCARD, is_log_line, log_fields, mask_variables, stripped
 from pulsegrid.operators.ordered import positions
 from pulsegrid.operators.timegrid import floor_time
 from pulsegrid.operators.windows import pad_list, sliding_windows
@@ -17,8 +17,8 @@ SIMILARITY = 0.5
 
 
 def parse_logs(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Fields of every line in log format; other lines are dropped."""
-    text = F.col(line)
+    """Fields of every line in log format, white space at its ends apart; other lines are dropped."""
+    text = stripped(F.col(line))
     parsed = lines.where(is_log_line(text)).withColumn("_fields", log_fields(text))
     named = parsed.withColumns({name: F.col("_fields")[i] for i, name in enumerate(LOG_FIELDS)})
     return named.withColumn("ts", F.col("timestamp").try_cast("timestamp")).drop("_fields")
@@ -26,9 +26,9 @@ def parse_logs(lines: DataFrame, line: str = "value") -> DataFrame:
 
 def conformance(lines: DataFrame, line: str = "value") -> DataFrame:
     """Non-blank lines, lines in log format, and their share."""
-    text = F.col(line)
+    text = stripped(F.col(line))
     return lines.agg(
-        F.count_if(F.length(F.trim(text)) > 0).alias("lines"), F.count_if(is_log_line(text)).alias("matched")
+        F.count_if(F.length(text) > 0).alias("lines"), F.count_if(is_log_line(text)).alias("matched")
     ).withColumn("share", F.when(F.col("lines") > 0, F.col("matched") / F.col("lines")).otherwise(0.0))
 
 
@@ -129,9 +129,12 @@ def template_windows(lists: DataFrame, size: int, ts: str = "ts", group_rows: in
     return sliding_windows(lists, [], [ts], columns, size, 1, group_rows)
 
 
-def hour_by_template(df: DataFrame, numbers: Sequence, template: str = "number", ts: str = "ts") -> DataFrame:
-    """Cross-tabulation of hour of day and template, zero-filled."""
-    return df.groupBy(F.hour(ts).alias("hour")).pivot(template, list(numbers)).count().na.fill(0)
+def hour_by_template(df: DataFrame, numbers: DataFrame, template: str = "number", ts: str = "ts") -> DataFrame:
+    """Records per hour of day and template, zero-filled over the hours that occur and all of ``numbers``; one row per cell."""
+    counts = durable(df.groupBy(F.hour(ts).alias("hour"), template).agg(F.count(F.lit(1)).alias("records")), "cells")
+    cells = numbers.select(template, F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
+    cells = cells.join(counts.select("hour").distinct(), "hour", "left_semi")
+    return cells.join(counts, ["hour", template], "left").select("hour", template, F.coalesce("records", F.lit(0)).alias("records"))
 
 
 def log_summary(df: DataFrame, template: str = "template", ts: str = "ts") -> DataFrame:

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.statistics import known
+from pulsegrid.functions.timeparse import floor_div
 from pulsegrid.operators.ordered import attach
 
 
@@ -90,8 +92,8 @@ def epoch_to_millis(value: Column, largest: Column) -> Column:
     return (
         F.when(largest < F.lit(10**11), value * 1000)
         .when(largest < F.lit(10**14), value)
-        .when(largest < F.lit(10**17), F.floor(value / 1000))
-        .otherwise(F.floor(value / 1_000_000))
+        .when(largest < F.lit(10**17), floor_div(value, 1000))
+        .otherwise(floor_div(value, 1_000_000))
         .cast("long")
     )
 
@@ -153,9 +155,8 @@ def one_value_column(df: DataFrame, mapping: DataFrame, measurement: str = "_mea
 
 def fit_scaler(df: DataFrame, keys: Sequence[str] = ("metric",), value: str = "value") -> DataFrame:
     """Mean and sample standard deviation per key."""
-    return df.groupBy(*keys).agg(
-        F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")
-    )
+    v = known(value)
+    return df.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))
 
 
 def apply_scaler(

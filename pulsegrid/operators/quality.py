@@ -7,21 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.statistics import sample_kurtosis, sample_skewness
+from pulsegrid.functions.statistics import known, sample_kurtosis, sample_skewness
 from pulsegrid.operators.ordered import attach
-from pulsegrid.operators.timegrid import time_gaps
+from pulsegrid.operators.timegrid import backward_steps, time_gaps
 from pulsegrid.storage import durable
 
 
 def metric_quality(
     df: DataFrame, keys: Sequence[str] = ("metric",), ts: str = "ts", value: str = "value", gap_seconds: float = 1.0,
-    group_rows: int | None = None,
+    group_rows: int | None = None, arrival: Sequence[str] = (),
 ) -> DataFrame:
-    """Points, nulls, range, moments, outliers beyond 3 deviations, and time gaps per metric."""
-    v = F.col(value)
+    """Points, nulls, range, moments, outliers beyond 3 deviations, and time gaps per metric.
+
+    A missing value is null or NaN, and no statistic counts it. ``valid`` needs a metric without missing values and gaps and, if
+    ``arrival`` names the columns that order the rows as they came, without steps back in time.
+    """
+    v = known(value)
     stats = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("points"),
-        F.count_if(v.isNull() | F.isnan(v)).alias("nan_count"),
+        F.count_if(v.isNull()).alias("nan_count"),
         F.min(v).alias("min_value"),
         F.max(v).alias("max_value"),
         F.avg(v).alias("mean_value"),
@@ -35,11 +39,18 @@ def metric_quality(
     outliers = scored.groupBy(*keys).agg(F.count_if(beyond).alias("outliers"))
     gaps = time_gaps(df, keys, ts, gap_seconds, group_rows)
     joined = attach(attach(stats, outliers, keys, ["outliers"]), gaps, keys, ["gap_count", "max_gap", "total_gap"])
-    return joined.withColumns(
-        {
-            "outlier_percentage": F.col("outliers") / F.col("points") * 100,
-            "valid": (F.col("nan_count") == 0) & (F.col("gap_count") == 0) & (F.col("points") > 0),
-        }
+    valid = (F.col("nan_count") == 0) & (F.col("gap_count") == 0) & (F.col("points") > 0)
+    if arrival:
+        joined = attach(joined, backward_steps(df, list(keys), ts, list(arrival), group_rows), keys, ["backward_steps"])
+        valid = valid & (F.col("backward_steps") == 0)
+    return joined.withColumns({"outlier_percentage": F.col("outliers") / F.col("points") * 100, "valid": valid})
+
+
+def overall_valid(report: DataFrame, missing: DataFrame) -> DataFrame:
+    """One verdict: all metrics of a report are valid and none of the catalogue is missing."""
+    absent = missing.agg(F.count(F.lit(1))).scalar()
+    return report.agg(F.coalesce(F.bool_and("valid"), F.lit(False)).alias("metrics_valid"), F.count(F.lit(1)).alias("metrics")).select(
+        "metrics", absent.alias("missing"), (F.col("metrics_valid") & (absent == 0)).alias("valid")
     )
 
 

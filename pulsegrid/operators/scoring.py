@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.statistics import known
 from pulsegrid.operators.ordered import OrderKey, attach, row_frames
 from pulsegrid.storage import durable
 
@@ -108,12 +109,13 @@ def total_loss(errors: DataFrame, group: str = "group", actual: str = "actual",
 
 def score_summary(scores: DataFrame, score: str = "score") -> DataFrame:
     """Mean, population deviation, minimum and maximum; an error without scores."""
+    s = known(score)
     return scores.agg(
-        F.count(score).alias("n"),
-        F.avg(score).alias("mean_score"),
-        F.stddev_pop(score).alias("std_score"),
-        F.min(score).alias("min_score"),
-        F.max(score).alias("max_score"),
+        F.count(s).alias("n"),
+        F.avg(s).alias("mean_score"),
+        F.stddev_pop(s).alias("std_score"),
+        F.min(s).alias("min_score"),
+        F.max(s).alias("max_score"),
     ).withColumn(
         "mean_score",
         F.when(F.col("n") == 0, F.raise_error(F.lit("no scores to summarise")).cast("double")).otherwise(F.col("mean_score")),
@@ -122,11 +124,12 @@ def score_summary(scores: DataFrame, score: str = "score") -> DataFrame:
 
 def error_summary(errors: DataFrame, error: str = "error") -> DataFrame:
     """Mean, population deviation, threshold mean + 2 deviations, and the rows above it."""
-    threshold = errors.select(F.avg(error) + 2 * F.stddev_pop(error)).scalar()
+    e = known(error)
+    threshold = errors.select(F.avg(e) + 2 * F.stddev_pop(e)).scalar()
     return errors.agg(
-        F.count(error).alias("n"),
-        F.avg(error).alias("mean_error"),
-        F.stddev_pop(error).alias("std_error"),
+        F.count(e).alias("n"),
+        F.avg(e).alias("mean_error"),
+        F.stddev_pop(e).alias("std_error"),
         F.max(threshold).alias("threshold"),
-        F.count_if(F.col(error) > threshold).alias("anomalies"),
+        F.count_if(e > threshold).alias("anomalies"),
     )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.statistics import known
 from pulsegrid.operators.ordered import known_around, positions, row_frames
 
 
@@ -16,24 +17,23 @@ def floor_time(ts: Column, every: str) -> Column:
 
 def mean_per_instant(df: DataFrame, keys: Sequence[str] = ("metric",), ts: str = "ts", value: str = "value") -> DataFrame:
     """Mean over all entities that report the same instant."""
-    return df.groupBy(*keys, ts).agg(F.avg(value).alias(value))
+    return df.groupBy(*keys, ts).agg(F.avg(known(value)).alias(value))
 
 
 def resample(
     df: DataFrame, every: str, keys: Sequence[str] = ("metric",), ts: str = "ts", value: str = "value"
 ) -> DataFrame:
     """Tumbling mean per key; buckets without rows do not appear."""
-    return df.groupBy(*keys, floor_time(F.col(ts), every).alias(ts)).agg(F.avg(value).alias(value))
+    return df.groupBy(*keys, floor_time(F.col(ts), every).alias(ts)).agg(F.avg(known(value)).alias(value))
 
 
 def range_per_metric(df: DataFrame, keys: Sequence[str] = ("metric",), value: str = "value") -> DataFrame:
-    return df.groupBy(*keys).agg(
-        F.count(value).alias("points"), F.min(value).alias("min_value"), F.max(value).alias("max_value")
-    )
+    v = known(value)
+    return df.groupBy(*keys).agg(F.count(v).alias("points"), F.min(v).alias("min_value"), F.max(v).alias("max_value"))
 
 
 def collapse_mean(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values])
+    return df.groupBy(*keys).agg(*[F.avg(known(v)).alias(v) for v in values])
 
 
 def collapse_last(df: DataFrame, keys: Sequence[str], values: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.logtext import iso_millis, log_line
+from pulsegrid.functions.logtext import LOG_LINE, VARIABLE_PARTS, iso_millis, log_line
 from pulsegrid.operators.ordered import row_frames
 from pulsegrid.operators.timegrid import floor_time, mean_per_instant, resample
 
@@ -146,22 +146,20 @@ LINES = rf"""lines AS (
   SELECT event_id, ts, metric, k,
     CASE WHEN metric = 'purchase' AND value > 60 THEN '  at app.handler(line ' || k || ')'
          WHEN metric = 'signup' AND k = 3 THEN '   '
-         ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') || ' ' ||
+         ELSE CASE WHEN k % 13 = 0 THEN '  ' ELSE '' END || strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') || ' ' ||
               CASE metric WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' ELSE 'INFO' END || ' ' || user_id ||
-              ' --- [worker-' || (user_id % 8) || '] app.' || metric || ' : ' || {MESSAGE_SQL} END AS line
+              ' --- [worker-' || (user_id % 8) || '] app.' || metric || ' : ' || {MESSAGE_SQL} || CASE WHEN k % 11 = 0 THEN '  ' ELSE '' END END AS line
   FROM ev)"""
 
-LOG_RE = r"(?s)^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z)\s+(\w+)\s+(\d+)\s+---\s+\[(.*?)\]\s+(.*?)\s+:\s+(.*)"
-MASK_RE = r"\b\d{1,3}(?:\.\d{1,3}){3}\b|\b0x[0-9a-fA-F]+\b|\b\d+(?:\.\d+)?\b"
 
 PARSED = rf"""parsed AS (
-  SELECT event_id, regexp_extract(line, '{LOG_RE}', 2) AS log_level, regexp_extract(line, '{LOG_RE}', 3) AS process_id,
-         regexp_extract(line, '{LOG_RE}', 4) AS thread, regexp_extract(line, '{LOG_RE}', 5) AS logger,
-         regexp_extract(line, '{LOG_RE}', 6) AS message, date_trunc('millisecond', ts) AS ts
-  FROM lines WHERE regexp_matches(line, '{LOG_RE}'))"""
+  SELECT event_id, regexp_extract(trim(line), '{LOG_LINE}', 2) AS log_level, regexp_extract(trim(line), '{LOG_LINE}', 3) AS process_id,
+         regexp_extract(trim(line), '{LOG_LINE}', 4) AS thread, regexp_extract(trim(line), '{LOG_LINE}', 5) AS logger,
+         regexp_extract(trim(line), '{LOG_LINE}', 6) AS message, date_trunc('millisecond', ts) AS ts
+  FROM lines WHERE regexp_matches(trim(line), '{LOG_LINE}'))"""
 
 TEMPLATED = rf"""templated AS (
-  SELECT *, regexp_replace(message, '{MASK_RE}', '<*>', 'g') AS template FROM parsed),
+  SELECT *, regexp_replace(message, '{VARIABLE_PARTS}', '<*>', 'g') AS template FROM parsed),
 counted AS (
   SELECT template, count(*) AS n, min(struct_pack(ts := ts, event_id := event_id)) AS first_seen FROM templated GROUP BY template),
 numbered AS (
@@ -195,7 +193,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = (
         F.when((F.col("metric") == "purchase") & (F.col("value") > 60), F.concat(F.lit("  at app.handler(line "), F.col("k").cast("string"), F.lit(")")))
         .when((F.col("metric") == "signup") & (F.col("k") == 3), F.lit("   "))
-        .otherwise(record)
+        .otherwise(F.concat(F.when(F.col("k") % 13 == 0, "  ").otherwise(""), record, F.when(F.col("k") % 11 == 0, "  ").otherwise("")))
     )
     return events(spark, sf_dir).select("event_id", line.alias("value"))
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.logtext import iso_millis, mask_variables
+from pulsegrid.functions.logtext import LOG_LINE, VARIABLE_PARTS, iso_millis, mask_variables
 from pulsegrid.operators import logs as G
 from pulsegrid.operators import traces as T
 from pulsegrid.operators.ordered import positions
 from pulsegrid.operators.reconstruct import apply_standard, fit_standard, pivot_first
 from pulsegrid.operators.timegrid import floor_time
 from pulsegrid.plans.base import (
-    EV, LINES, LOG_RE, MASK_RE, METRICS, PARSED, TEMPLATED, event_lines, events, query, r6, rows_in, sql, table,
+    EV, LINES, METRICS, PARSED, TEMPLATED, event_lines, events, query, r6, rows_in, sql, table,
 )
 from pulsegrid.sources.readers import canonical_lines
 from pulsegrid.storage import durable
@@ -30,7 +30,7 @@ def log_parse(spark, sf):
 @query(
     "log_conformance",
     sql(EV, LINES, body=f"""SELECT *, round(CASE WHEN lines > 0 THEN matched / lines ELSE 0 END, 6) AS share FROM (
-  SELECT count(*) FILTER (WHERE length(trim(line)) > 0) AS lines, count(*) FILTER (WHERE regexp_matches(line, '{LOG_RE}')) AS matched FROM lines)"""),
+  SELECT count(*) FILTER (WHERE length(trim(line)) > 0) AS lines, count(*) FILTER (WHERE regexp_matches(trim(line), '{LOG_LINE}')) AS matched FROM lines)"""),
 )
 def log_conformance(spark, sf):
     return G.conformance(event_lines(spark, sf)).withColumn("share", r6("share"))
@@ -75,7 +75,7 @@ def log_json_canonical(spark, sf):
 
 @query(
     "log_template_counts",
-    f"""SELECT template, count(*) AS n FROM (SELECT regexp_replace(url, '{MASK_RE}', '<*>', 'g') AS template FROM pages)
+    f"""SELECT template, count(*) AS n FROM (SELECT regexp_replace(url, '{VARIABLE_PARTS}', '<*>', 'g') AS template FROM pages)
 GROUP BY template ORDER BY n DESC, template LIMIT 10""",
 )
 def log_template_counts(spark, sf):
@@ -134,12 +134,12 @@ def log_interval_sizes(spark, sf):
 
 @query(
     "log_hour_crosstab",
-    sql(EV, LINES, PARSED, TEMPLATED, body="""SELECT hour(ts) AS hour, """
-        + ", ".join(f'count(*) FILTER (WHERE number = {i}) AS "{i}"' for i in range(1, 8))
-        + " FROM templated JOIN numbered USING (template) GROUP BY 1"),
+    sql(EV, LINES, PARSED, TEMPLATED, body="""
+SELECT h.hour, n.number, count(t.template) AS records FROM (SELECT DISTINCT hour(ts) AS hour FROM templated) h CROSS JOIN numbered n
+LEFT JOIN templated t ON hour(t.ts) = h.hour AND t.template = n.template GROUP BY 1, 2"""),
 )
 def log_hour_crosstab(spark, sf):
-    return G.hour_by_template(_numbered(spark, sf)[0], list(range(1, 8)))
+    return G.hour_by_template(*_numbered(spark, sf))
 
 
 @query(

@@ -78,7 +78,7 @@ def value_coercion(spark, sf):
 @query(
     "epoch_unit_normalise",
     sql(EV, body="""
-SELECT unit, ms // 86400000 AS day, count(*) AS n, min(ms) AS first_ms, max(ms) AS last_ms FROM (
+SELECT unit, ms // 86400000 AS day, count(*) AS n, min(ms) AS first_ms, max(ms) AS last_ms, CAST(sum(ms) AS BIGINT) AS sum_ms FROM (
   SELECT 's' AS unit, (epoch_us(ts) // 1000000) * 1000 AS ms FROM ev
   UNION ALL SELECT 'ms', epoch_us(ts) // 1000 FROM ev
   UNION ALL SELECT 'us', epoch_us(ts) // 1000 FROM ev
@@ -87,13 +87,13 @@ GROUP BY unit, ms // 86400000"""),
 )
 def epoch_unit_normalise(spark, sf):
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    units = {"s": F.floor(micros / 1_000_000), "ms": F.floor(micros / 1000), "us": micros, "ns": micros * 1000}
+    units = {"s": F.floor(micros / 1_000_000), "ms": F.floor(micros / 1000), "us": micros, "ns": micros * 1000 + 999}
     out = None
     for unit, value in units.items():
         part = M.normalise_epoch(events(spark, sf).select(value.cast("long").alias("_time"))).withColumn("unit", F.lit(unit))
         out = part if out is None else out.unionByName(part)
     return out.groupBy("unit", F.floor(F.col("_time") / 86_400_000).alias("day")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_time").alias("first_ms"), F.max("_time").alias("last_ms")
+        F.count(F.lit(1)).alias("n"), F.min("_time").alias("first_ms"), F.max("_time").alias("last_ms"), F.sum("_time").alias("sum_ms")
     )
 
 
@@ -211,7 +211,10 @@ def label_collapse(spark, sf):
 
 @query(
     "metric_quality",
-    sql(EV, """g AS (
+    sql(EV.replace("ev AS", "whole AS"), """ev AS (SELECT * REPLACE (CASE WHEN k % 7 > 1 OR metric = 'view' THEN value END AS value) FROM whole)""", """back AS (
+  SELECT metric, count(*) FILTER (WHERE ts < before) AS backward_steps FROM (
+    SELECT metric, ts, lag(ts) OVER (PARTITION BY metric ORDER BY event_id) AS before FROM ev) GROUP BY metric),
+g AS (
   SELECT metric, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY metric ORDER BY ts) AS step FROM ev),
 gaps AS (SELECT metric, count(*) FILTER (WHERE step > 3600000000) AS gap_count, max(step) FILTER (WHERE step > 3600000000) / 1e6 AS max_gap,
   coalesce(sum(step) FILTER (WHERE step > 3600000000), 0) / 1e6 AS total_gap FROM g GROUP BY metric),
@@ -220,11 +223,14 @@ stats AS (SELECT metric, count(*) AS points, count(*) FILTER (WHERE value IS NUL
 o AS (SELECT ev.metric, count(*) FILTER (WHERE abs((value - mean_value) / std_value) > 3) AS outliers FROM ev JOIN stats USING (metric) GROUP BY ev.metric)""",
         body="""SELECT metric, points, nan_count, min_value, max_value, round(mean_value, 6) AS mean_value, round(std_value, 6) AS std_value,
   round(skewness, 6) AS skewness, round(kurtosis, 6) AS kurtosis, outliers, round(outliers / points * 100, 6) AS outlier_percentage,
-  gap_count, round(max_gap, 3) AS max_gap, round(total_gap, 3) AS total_gap, nan_count = 0 AND gap_count = 0 AND points > 0 AS valid
-FROM stats JOIN o USING (metric) JOIN gaps USING (metric)"""),
+  gap_count, round(max_gap, 3) AS max_gap, round(total_gap, 3) AS total_gap, backward_steps,
+  nan_count = 0 AND gap_count = 0 AND points > 0 AND backward_steps = 0 AS valid
+FROM stats JOIN o USING (metric) JOIN gaps USING (metric) JOIN back USING (metric)"""),
 )
 def metric_quality(spark, sf):
-    report = Q.metric_quality(events(spark, sf), gap_seconds=3600, group_rows=rows_in(spark, sf, "events"))
+    missing = F.when(F.col("k") % 7 == 0, F.lit(float("nan"))).when(F.col("k") % 7 != 1, F.col("value"))
+    rows = events(spark, sf).withColumn("value", F.when(F.col("metric") == "view", F.col("value")).otherwise(missing))
+    report = Q.metric_quality(rows, gap_seconds=3600, group_rows=rows_in(spark, sf, "events"), arrival=["event_id"])
     rounded = {c: r6(c) for c in ("mean_value", "std_value", "skewness", "kurtosis", "outlier_percentage")}
     rounded |= {c: F.round(c, 3) for c in ("max_gap", "total_gap")}
     return report.withColumns(rounded)
@@ -274,7 +280,7 @@ REPAIR_BASE = """raw AS (
     CASE WHEN k % 10 IN (0, 1) OR metric IN ('error', 'signup') OR (k % 8 = 0 AND metric <> 'purchase') THEN value - 10 END AS gauge0 FROM ev),
 clean AS (SELECT event_id, _measurement, CASE WHEN counter0 < 0 THEN 0.0 ELSE counter0 END AS counter, CASE WHEN gauge0 < 0 THEN 0.0 ELSE gauge0 END AS gauge FROM raw),
 mapping AS (SELECT _measurement, CASE WHEN count(counter) > 0 THEN 'counter' WHEN count(gauge) > 0 THEN 'gauge' END AS value_column
-  FROM clean WHERE _measurement IN ('click', 'error', 'purchase', 'signup', 'view') AND event_id < (SELECT max(event_id) FROM clean) GROUP BY 1)"""
+  FROM clean WHERE _measurement IN ('click', 'error', 'purchase', 'signup', 'view') GROUP BY 1)"""
 
 
 @query(
@@ -298,8 +304,7 @@ def counter_gauge_repair(spark, sf):
         F.when(renamed.isin(0, 1) | metric.isin("error", "signup") | ((k % 8 == 0) & (metric != "purchase")), value - 10).alias("gauge"),
     )
     clean = M.clip_negative(raw)
-    last = clean.agg(F.max("event_id")).scalar()
-    mapping = M.value_column_map(clean.where(F.col("_measurement").isin(*METRICS) & (F.col("event_id") < last)))
+    mapping = M.value_column_map(clean.where(F.col("_measurement").isin(*METRICS)))
     return M.one_value_column(clean, durable(mapping, "mapping")).select(
         "event_id", "_measurement", r6("counter").alias("counter"), r6("gauge").alias("gauge")
     )

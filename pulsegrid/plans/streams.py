@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import alerts as A
 from pulsegrid.operators import spot
-from pulsegrid.plans.base import EV, HALF_DAYS, day, event_scores, events, query, r6, rows_in, sql, table
+from pulsegrid.plans.base import EV, FIRST_DAY, HALF_DAYS, day, event_scores, events, query, r6, rows_in, sql, table
 from pulsegrid.plans.detection import ALERT_SQL, QUANTILE, RISK, RULES, SPOT_SQL
 from pulsegrid.storage import durable, new_table_path
 from pulsegrid.streaming import align, detect
 from pulsegrid.streaming.alerts import alerts_stream
 from pulsegrid.streaming.scoring import read_stream
 
-LIMIT_SECONDS = 600
+BATCHES, FILES, DAYS = 4, 2, 30
 
 
 def _drain(stream: DataFrame) -> DataFrame:
@@ -25,17 +25,30 @@ def _drain(stream: DataFrame) -> DataFrame:
         stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
         .outputMode("append").trigger(availableNow=True).start()
     )
-    if not running.awaitTermination(LIMIT_SECONDS):
-        running.stop()
-        raise RuntimeError(f"stream did not end within {LIMIT_SECONDS} s")
+    running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def _stream_of(df: DataFrame) -> DataFrame:
-    """A stream over the files of a table that is written first."""
+def _stream_of(df: DataFrame, first_day: int = 0) -> DataFrame:
+    """A stream in several micro-batches over a table that is laid out in time order first, as a replay arrives.
+
+    The days are cut into ``BATCHES`` spans. Each is written as ``FILES`` files after the one before, and a micro-batch takes that many.
+    """
     path = new_table_path(df.sparkSession, "source")
-    df.write.parquet(path)
-    return read_stream(df.sparkSession, path, df.schema)
+    cuts = [first_day + k * (DAYS - first_day) / BATCHES for k in range(1, BATCHES)]
+    spans = [(None, cuts[0]), *zip(cuts, cuts[1:]), (cuts[-1], None)]
+    for low, high in spans:
+        part = df
+        if low is not None:
+            part = part.where(F.col("ts") >= _day(low))
+        if high is not None:
+            part = part.where(F.col("ts") < _day(high))
+        part.repartition(FILES).write.mode("append").parquet(path)
+    return read_stream(df.sparkSession, path, df.schema, files_per_batch=FILES)
+
+
+def _day(n: float) -> Column:
+    return F.expr(f"{FIRST_DAY} + interval {round(n * 24)} hours").cast("timestamp_ntz")
 
 
 @query(
@@ -45,7 +58,7 @@ WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 30 SECOND FROM ev) GROU
 )
 def stream_resample(spark, sf):
     """Hourly means of the event files as a stream; intervals that the watermark has passed."""
-    raw = read_stream(spark, f"{sf}/events*.parquet", table(spark, sf, "events").schema)
+    raw = _stream_of(table(spark, sf, "events"))
     rows = raw.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("metric"), "value")
     grid = _drain(align.aligned(rows, "1 hour"))
     return grid.select("metric", F.col("ts").cast("timestamp_ntz").alias("ts"), r6("value").alias("value"), "points")
@@ -59,7 +72,7 @@ def stream_spot(spark, sf):
     keys, order, half = ["metric"], ["ts", "event_id"], day(HALF_DAYS)
     base, live = scores.where(F.col("ts") < half), scores.where(F.col("ts") >= half)
     states = durable(spot.start_states(base, keys, order, "score", QUANTILE, RISK, group_rows=rows), "states")
-    found = _drain(detect.detect_stream(_stream_of(live), states, keys, order))
+    found = _drain(detect.detect_stream(_stream_of(live, HALF_DAYS), states, keys, order))
     rounded = {c: F.round(c, 4) for c in ("initial_threshold", "final_threshold", "mean_threshold")}
     return spot.trace_summary(found, keys, order).withColumns(rounded | {"alarm_rate": r6("alarm_rate")})
 

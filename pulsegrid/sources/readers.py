@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.functions.logtext import first_truthy, iso_millis, log_line
+from pulsegrid.functions.logtext import iso_millis, log_line, truthy
 from pulsegrid.functions.timeparse import from_epoch, parse_iso
 from pulsegrid.operators.logs import parse_logs
 from pulsegrid.operators.metrics import MetricSpec
@@ -47,9 +47,26 @@ LOG_KEYS = {
 def read_metrics_csv(spark: SparkSession, path: str, catalogue: Sequence[MetricSpec] = ()) -> DataFrame:
     """Metric rows with only the columns that the catalogue needs, all as text but the time.
 
-    The header decides which columns exist; ``_time`` and ``_measurement`` must be among them.
+    The header of each file decides which columns it has and in which order; ``_time`` and ``_measurement`` must be among them.
     """
-    header = spark.read.option("header", True).csv(path).columns
+    parts = [_metric_files(spark, files, header, catalogue) for header, files in _headers(spark, path)]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows
+
+
+def _headers(spark: SparkSession, path: str) -> list[tuple[list[str], str | list[str]]]:
+    """The different headers of the files of a path, each with its files; they are few, whatever the rows."""
+    first = spark.read.text(path).where("_metadata.file_block_start = 0").select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    lines = first.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    groups = lines.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    if len(groups) <= 1:
+        return [(spark.read.option("header", True).csv(path).columns, path)]
+    return [(spark.read.option("header", True).csv(group["files"]).columns, group["files"]) for group in groups]
+
+
+def _metric_files(spark: SparkSession, path: str | list[str], header: list[str], catalogue: Sequence[MetricSpec]) -> DataFrame:
     missing = [c for c in ("_time", "_measurement") if c not in header]
     if missing:
         raise ValueError(f"metric file lacks {', '.join(missing)}")
@@ -122,7 +139,7 @@ def session_faults(sessions: DataFrame) -> DataFrame:
 def read_log_json(spark: SparkSession, path: str) -> DataFrame:
     """Canonical log lines of a JSON file: a list of records, or an object with ``logs`` or ``data``, or one record."""
     names = sorted({k for keys, _ in LOG_KEYS.values() for k in keys})
-    record = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    record = T.StructType([T.StructField(n, T.VariantType()) for n in names])
     envelope = T.StructType(record.fields + [T.StructField("logs", T.ArrayType(record)), T.StructField("data", T.ArrayType(record))])
     rows = spark.read.schema(envelope).option("multiLine", True).json(path)
     single = F.array(F.struct(*names))
@@ -135,8 +152,8 @@ def canonical_lines(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
     def pick(name: str) -> Column:
         keys, default = LOG_KEYS[name]
-        present = [F.col(k) for k in keys if k in records.columns]
-        return F.coalesce(first_truthy(*present), F.lit(default)) if present else F.lit(default)
+        present = [truthy(F.col(k), records.schema[k].dataType) for k in keys if k in records.columns]
+        return F.coalesce(*present, F.lit(default))
 
     stamp = pick("timestamp")
     number = stamp.try_cast("double")

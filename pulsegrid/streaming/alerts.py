@@ -42,7 +42,7 @@ class Hysteresis(StatefulProcessor):
         pass
 
 
-def alerts_stream(crossed: DataFrame, keys: Sequence[str], order: Sequence[str], keep_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
+def alerts_stream(crossed: DataFrame, keys: Sequence[str], order: Sequence[str], keep_ms: int | None = None) -> DataFrame:
     """The rows of a stream of ``operators.alerts.crossings`` that fire.
 
     ``keep_ms`` drops the state of a series without news; it needs a periodic trigger, since expiry goes
