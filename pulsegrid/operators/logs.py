@@ -103,6 +103,11 @@ def templates_per_interval(numbered: DataFrame, every: str = "1 second", ts: str
     )
 
 
+def numbers_per_interval(numbered: DataFrame, every: str = "1 second", ts: str = "ts") -> DataFrame:
+    """Sorted template numbers of every interval, as the export lists them; an interval's list is one row by its format."""
+    return numbered.groupBy(floor_time(F.col(ts), every).alias(ts)).agg(F.sort_array(F.collect_list("number")).alias("numbers"))
+
+
 def interval_size_summary(per_interval: DataFrame) -> DataFrame:
     return per_interval.agg(
         F.count(F.lit(1)).alias("intervals"),

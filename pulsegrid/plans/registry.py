@@ -6,7 +6,7 @@ import importlib
 
 from pulsegrid.plans.base import QUERIES, Query
 
-MODULES = ("metrics", "labels", "logs", "detection", "models", "experiments", "streams")
+MODULES = ("metrics", "labels", "logs", "detection", "models", "experiments", "streams", "files")
 
 
 def registered() -> dict[str, Query]:
