@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -78,29 +79,75 @@ def _starts(chars: np.ndarray, row_starts: np.ndarray) -> np.ndarray:
     return starts
 
 
-def pretokens(column: pa.Array) -> Iterator[PreTokens]:
+def spans(column: pa.Array) -> Iterator[tuple[Texts, np.ndarray, np.ndarray]]:
+    """(piece of texts, begin and end of its pre-tokens in bytes)."""
     for texts in pieces(column):
         data = texts.data
         head = np.flatnonzero((data & 0xC0) != 0x80)  # first bytes of characters
         if not len(head):
-            none = np.zeros(0, dtype=np.int64)
-            yield PreTokens(texts, none, none, [])
+            yield texts, head, head
             continue
         chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
         filled = texts.starts[:-1][np.diff(texts.starts) > 0]
         begin = head[_starts(chars, np.searchsorted(head, filled))]
-        end = np.append(begin[1:], len(data))
-        hashes = span_hashes(data, begin, end)
-        _, first, form = np.unique(hashes, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        forms = [raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist())]
-        yield PreTokens(texts, np.searchsorted(texts.starts, begin, side="right") - 1, form, forms)
+        yield texts, begin, np.append(begin[1:], len(data))
+
+
+def pretokens(column: pa.Array) -> Iterator[PreTokens]:
+    for texts, begin, end in spans(column):
+        _, first, form = np.unique(span_hashes(texts.data, begin, end), return_index=True, return_inverse=True)
+        yield PreTokens(texts, np.searchsorted(texts.starts, begin, side="right") - 1, form, _cut(texts, begin[first], end[first]))
+
+
+def _cut(texts: Texts, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+    raw = texts.data.tobytes()
+    return [raw[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+
+
+class IdCache:
+    """Ids of pre-tokens by the 64-bit hash of their bytes, in a table with one place per hash prefix; a later form takes a place over.
+
+    ``encode`` turns one form into its ids. Hits cost a few array steps for a whole piece of texts.
+    """
+
+    def __init__(self, encode: Callable[[bytes], list[int]], dtype: str, bits: int = 20, limit: int = 1 << 23):
+        self.encode, self.dtype, self.shift, self.limit = encode, dtype, np.uint64(64 - bits), limit
+        self.keys = np.zeros(1 << bits, dtype=np.uint64)
+        self.at, self.length = np.zeros(1 << bits, dtype=np.int64), np.zeros(1 << bits, dtype=np.int32)
+        self.ids, self.used = np.zeros(1 << 16, dtype=dtype), 0
+
+    def _add(self, forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.encode(form) for form in forms]
+        length = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        flat = np.fromiter(chain.from_iterable(found), dtype=self.dtype, count=int(length.sum()))
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(2 * (self.used + len(flat)), self.dtype)])
+        at = self.used + np.cumsum(length) - length
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        return at, length
+
+    def find(self, texts: Texts, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``ids``, number of ids) of each pre-token, valid until the next call."""
+        if self.used > self.limit:
+            self.keys[:], self.used = 0, 0
+        hashes = span_hashes(texts.data, begin, end) | np.uint64(1)
+        place = (hashes >> self.shift).astype(np.int64)
+        at, length = self.at[place], self.length[place].astype(np.int64)
+        missing = np.flatnonzero(self.keys[place] != hashes)
+        if len(missing):
+            new, first, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            new_at, new_length = self._add(_cut(texts, begin[missing[first]], end[missing[first]]))
+            at[missing], length[missing] = new_at[which], new_length[which]
+            to = (new >> self.shift).astype(np.int64)
+            self.keys[to], self.at[to], self.length[to] = new, new_at, new_length
+        return at, length
 
 
 class Memo:
     """Results by form in two generations of at most ``limit`` forms each; what is asked for again is kept. Long forms are not kept."""
 
-    def __init__(self, work: Callable[[list[bytes]], Iterable], limit: int = 300_000, longest: int = 48):
+    def __init__(self, work: Callable[[list[bytes]], Iterable], limit: int = 120_000, longest: int = 48):
         self.work, self.limit, self.longest = work, limit, longest
         self.new: dict[bytes, object] = {}
         self.old: dict[bytes, object] = {}

@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import base64
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -35,11 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.warc import _uri
+from pulsegrid.llm.pretokens import IdCache, expand, spans
+from pulsegrid.llm.textbatch import Texts
+from pulsegrid.llm.warc import uri_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-LENGTH = 128
-PER_SHARD = 1 << 17
+LENGTH = 256
+PER_SHARD = 1 << 16
 ROUNDS = 6
 SEED = 20240131
 HEAD = np.dtype([("doc_id", "<i8"), ("part", "<u4"), ("n_ids", "<u4")])
@@ -114,17 +115,26 @@ def _input(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _batch_ids(batch: pa.RecordBatch, path: str) -> Iterator[np.ndarray]:
+@cache
+def _cache(path: str) -> IdCache:
+    """One per worker process."""
     encode = _encoding(path).encode_ordinary
-    for text in batch.column(1):
-        yield np.array(encode(text.as_py()), dtype=np.uint32)
+    return IdCache(lambda form: encode(form.decode()), id_type(path))
+
+
+def _found(batch: pa.RecordBatch, path: str) -> Iterator[tuple[Texts, np.ndarray, np.ndarray, np.ndarray]]:
+    """(piece of texts, its rows' numbers of ids, place and length of each pre-token's ids)."""
+    for texts, begin, end in spans(batch.column(1)):
+        at, length = _cache(path).find(texts, begin, end)
+        total = np.append(0, np.cumsum(length))
+        yield texts, np.diff(total[np.searchsorted(begin, texts.starts)]), at, length
 
 
 def partition_counts(docs: DataFrame, path: str) -> dict[int, int]:
     """Sequences per input partition: a row per task reaches the driver, however many documents there are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum(int(_parts(np.array([len(ids) for ids in _batch_ids(batch, path)], dtype=np.int64)).sum()) for batch in batches)
+        total = sum(int(_parts(lengths).sum()) for batch in batches if batch.num_rows for _, lengths, _, _ in _found(batch, path))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total])], names=["partition", "n"])
 
     return {row["partition"]: row["n"] for row in _input(docs).mapInArrow(count, "partition bigint, n bigint").collect()}
@@ -132,33 +142,28 @@ def partition_counts(docs: DataFrame, path: str) -> dict[int, int]:
 
 def sequences(docs: DataFrame, counts: dict[int, int], path: str, seed: int = SEED) -> DataFrame:
     """``slot, doc_id, part, ids`` (16- or 32-bit values as binary) of every sequence."""
-    total = sum(counts.values())
     order = sorted(counts)
-    starts = dict(zip(order, np.concatenate([[0], np.cumsum([counts[p] for p in order])[:-1]]).astype(np.int64).tolist())) if order else {}
+    starts = dict(zip(order, (np.cumsum([counts[p] for p in order]) - [counts[p] for p in order]).tolist()))
     shared = docs.sparkSession.sparkContext.broadcast((starts, counts))
-    permutation = Permutation(total, seed)
-    kind = id_type(path)
+    permutation = Permutation(sum(counts.values()), seed)
+    kind = np.dtype(id_type(path))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition = TaskContext.get().partitionId()
         starts, counts = shared.value
         number = first = starts.get(partition, 0)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                ids = list(_batch_ids(rows, path))
-                lengths = np.array([len(x) for x in ids], dtype=np.int64)
+            for texts, lengths, at, length in _found(batch, path) if batch.num_rows else ():
+                flat = _cache(path).ids[expand(at, length)]
                 parts = _parts(lengths)
                 n = int(parts.sum())
-                cuts = np.append(0, np.cumsum(parts))
-                part = np.arange(n) - np.repeat(cuts[:-1], parts)
+                part = np.arange(n) - np.repeat(np.cumsum(parts) - parts, parts)
                 size = np.minimum(np.repeat(lengths, parts) - part * LENGTH, LENGTH)
-                flat = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(kind)
-                ends = np.append(0, np.cumsum(size * flat.itemsize)).astype(np.int32)
+                ends = np.append(0, np.cumsum(size * kind.itemsize)).astype(np.int32)
                 binary = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
                 slot = permutation.slot(np.arange(number, number + n)) if n else np.zeros(0, np.int64)
                 number += n
-                doc = np.repeat(rows.column(0).to_numpy(), parts)
+                doc = np.repeat(batch.column(0).slice(texts.first, texts.n).to_numpy(), parts)
                 yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(doc), pa.array(part), binary], names=["slot", "doc_id", "part", "ids"])
         if number - first != counts.get(partition, 0):
             raise RuntimeError(f"input partition {partition} gave {number - first} sequences, {counts.get(partition, 0)} when they were counted")
@@ -180,7 +185,7 @@ def record_type(path: str) -> np.dtype:
 def write_shards(rows: DataFrame, total: int, folder: str, path: str, per_shard: int = PER_SHARD) -> DataFrame:
     """The shards of all slots in ``folder``; their manifest, written beside them, as a table."""
     spark = rows.sparkSession
-    target = _uri(f"{folder}/shards")
+    target = uri_of(f"{folder}/shards")
     files, place = FileSystem.from_uri(target)
     files.create_dir(place)
     record = record_type(path)
@@ -232,7 +237,7 @@ def _groups(values: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def read_shards(manifest: DataFrame, folder: str, path: str, from_slot: int = 0) -> DataFrame:
     """Every record from a slot on, each shard read sequentially from that slot's offset: ``slot, doc_id, part, n_ids, ids, shard, offset``."""
-    target, record = _uri(f"{folder}/shards"), record_type(path)
+    target, record = uri_of(f"{folder}/shards"), record_type(path)
     names = ["slot", "doc_id", "part", "n_ids", "ids", "shard", "offset"]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,17 +271,7 @@ def materialise(docs: DataFrame, folder: str, path: str | None = None, seed: int
 
 
 def placed_sequences(spark: SparkSession, docs: DataFrame, folder: str, path: str | None = None, per_shard: int = PER_SHARD) -> DataFrame:
-    """Write the shards and read them back: where each sequence is, and the CRC-32 of its ids as 32-bit values."""
+    """Write the shards and read them back: where each sequence is, and the CRC-32 of its ids as they are stored."""
     path = path or public_tokenizers.path(VOCABULARY)
     found = read_shards(materialise(docs, folder, path, per_shard=per_shard), folder, path)
-    kind = id_type(path)
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(4)
-            crc = [zlib.crc32(np.frombuffer(x.as_buffer(), dtype=kind).astype("<u4").tobytes()) for x in ids]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 2, 3, 5, 6)), pa.array(crc, pa.int64())], names=[*names, "ids_crc32"])
-
-    names = ["slot", "doc_id", "part", "n_ids", "shard", "offset"]
-    placed = found.mapInArrow(step, ", ".join(f"{c} bigint" for c in [*names, "ids_crc32"]))
-    return placed.withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63))))
+    return found.select("slot", F.nullif("doc_id", F.lit(-(2**63))).alias("doc_id"), "part", "n_ids", "shard", "offset", F.crc32("ids").alias("ids_crc32"))

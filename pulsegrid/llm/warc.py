@@ -127,9 +127,9 @@ class _Members:
 def normalise(spark, folder: str, target: str) -> DataFrame:
     """Rewrite the archives in ``folder`` record by record into ``target``; its index, written beside the members, as a table."""
     members = f"{target}/members"
-    files, path = FileSystem.from_uri(_uri(members))
+    files, path = FileSystem.from_uri(uri_of(members))
     files.create_dir(path)
-    uri = _uri(members)
+    uri = uri_of(members)
     lines = spark.read.option("lineSep", "\n").text(folder).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,13 +152,13 @@ def normalise(spark, folder: str, target: str) -> DataFrame:
     return spark.read.schema(INDEX).parquet(f"{target}/index")
 
 
-def _uri(folder: str) -> str:
+def uri_of(folder: str) -> str:
     return folder if "://" in folder else f"file://{folder[5:] if folder.startswith('file:') else folder}"
 
 
 def read_records(index: DataFrame, target: str) -> DataFrame:
     """Each indexed record, read alone by its offset: identity, type, payload digest and size, and what it refers to."""
-    uri = _uri(f"{target}/members")
+    uri = uri_of(f"{target}/members")
     names = ["record_id", "record_type", "payload_bytes", "payload_digest", "refers_to_id"]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
