@@ -16,7 +16,7 @@ ORDERS = (3, 4, 5)
 MARK = 1
 
 #: Bounds of a fit: labelled rows of either label, and bytes of a text that is used to fit (longer ones are scored, not fitted on).
-FIT_ROWS = 3_000
+FIT_ROWS = 1_500
 FIT_BYTES = 1 << 16
 
 

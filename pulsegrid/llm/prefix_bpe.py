@@ -26,7 +26,7 @@ from pulsegrid.llm.pretokens import Memo, PreTokens, common_prefix, expand, pret
 from pulsegrid.llm.textbatch import per_batch
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-MEMO_PAIRS = 2_000_000
+MEMO_PAIRS = 400_000
 
 
 class Vocabulary:

@@ -26,7 +26,7 @@ MAX_REPEATED_PERCENT = 50
 #: A text whose calibrated probability of label 1 is below this is rejected.
 MIN_PROBABILITY = 0.3
 #: Labelled rows of each label that the fit uses at most.
-FIT_ROWS = 1_500
+FIT_ROWS = 1_200
 STEPS = 120
 TRIPLE = 3
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -75,6 +75,23 @@ def _sparse(features: list[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.n
     return row.astype(np.int32), (key & ((1 << BITS) - 1)).astype(np.int32), (count / np.bincount(row, weights=count, minlength=n)[row]).astype(np.float32)
 
 
+def _slices(group: list[np.ndarray], size: int = 1 << 20) -> Iterator[list[np.ndarray]]:
+    """A group's entries in slices, so that products of them stay small."""
+    for at in range(0, len(group[0]), size):
+        yield [x[at : at + size] for x in group]
+
+
+def _sums(weights: np.ndarray, group: list[np.ndarray], n: int) -> np.ndarray:
+    return sum((np.bincount(row, weights=weights[b] * share, minlength=n) for row, b, share in _slices(group)), np.zeros(n))
+
+
+def _gradient(error: np.ndarray, group: list[np.ndarray]) -> np.ndarray:
+    found = np.zeros(1 << BITS)
+    for row, b, share in _slices(group):
+        found += np.bincount(b, weights=error[row] * share, minlength=1 << BITS)
+    return found.astype(np.float32)
+
+
 def fit(pairs: list[tuple[str, int]]) -> Model:
     zero = np.zeros(1 << BITS, dtype=np.float32)
     labels = np.array([y for _, y in pairs], dtype=np.float64)
@@ -82,7 +99,7 @@ def fit(pairs: list[tuple[str, int]]) -> Model:
     if len(set(labels.tolist())) < 2:
         return Model(zero, zero, 0.0, 40.0)
     parts: list[list[list[np.ndarray]]] = [[], []]
-    for texts in pieces(pa.array([t for t, _ in pairs], pa.large_string()), 1 << 19):
+    for texts in pieces(pa.array([t for t, _ in pairs], pa.large_string()), 1 << 18):
         _, features = _features(texts)
         for part, f in zip(parts, features):
             row, b, share = _sparse(f, texts.n)
@@ -93,11 +110,11 @@ def fit(pairs: list[tuple[str, int]]) -> Model:
     w = [np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)]
     bias, adam = np.zeros(1, np.float32), Adam(0.5)
     for _ in range(STEPS):
-        z = sum(np.bincount(row, weights=x[b] * share, minlength=n) for x, (row, b, share) in zip(w, groups))
+        z = sum(_sums(x, group, n) for x, group in zip(w, groups))
         error = (sigmoid(z + bias[0]) - labels) * weight
-        steps = [np.bincount(b, weights=error[row] * share, minlength=1 << BITS).astype(np.float32) + 1e-6 * x for x, (row, b, share) in zip(w, groups)]
+        steps = [_gradient(error, group) + 1e-6 * x for x, group in zip(w, groups)]
         adam.step(words=(w[0], steps[0]), grams=(w[1], steps[1]), bias=(bias, np.array([error.sum()], np.float32)))
-    z = sum(np.bincount(row, weights=x[b] * share, minlength=n) for x, (row, b, share) in zip(w, groups))
+    z = sum(_sums(x, group, n) for x, group in zip(w, groups))
     slope, offset = _calibrated(z[kept_back], labels[kept_back])
     return Model(w[0], w[1], slope, offset)
 
