@@ -95,7 +95,7 @@ def cross_predictions(
     for fold in range(folds):
         train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
         # Written before fitting: an estimator starts many small jobs, and each would ship the whole plan.
-        train_rows = durable(balanced_weights(prepare(train, train, array)), "train").persist()
+        train_rows = durable(balanced_weights(prepare(train, train, array)), "train")
         test_rows = prepare(train, test, array)
         for name in names:
             estimator, _ = models(length, classes)[name]
@@ -103,7 +103,6 @@ def cross_predictions(
             predicted = estimator.fit(rows).transform(test_rows)
             part = predicted.select(F.lit(name).alias("model"), "fold", *ids, "label", F.col("prediction").cast("int").alias("prediction"))
             out = part if out is None else out.unionByName(part)
-        train_rows.unpersist()
     return out
 
 

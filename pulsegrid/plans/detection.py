@@ -94,7 +94,7 @@ def error_quantile(spark, sf):
 
 # --- thresholds -------------------------------------------------------------------------------------
 
-QUANTILE, RISK = 0.95, 1e-3
+QUANTILE, RISK = 0.95, 2e-2
 
 GRID_SQL = f"""grid AS (SELECT k, CASE WHEN k < {T.GRID_NEGATIVE} THEN -{T.GRID_START} * pow({T.GRID_STEP_NEGATIVE}::DOUBLE, {T.GRID_NEGATIVE - 1} - k)
   ELSE {T.GRID_START} * pow({T.GRID_STEP_POSITIVE}::DOUBLE, k - {T.GRID_NEGATIVE}) END::DOUBLE AS g FROM range({T.GRID_SIZE}) t(k))"""

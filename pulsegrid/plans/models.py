@@ -134,10 +134,9 @@ def one_class_boundary(spark, sf):
 def boosted_grid(spark, sf):
     """Boosted trees chosen over two depths with two folds; the default grid of the operator is larger."""
     vectors = _vectors(spark, sf)
-    rows = durable(C.prepare(vectors, vectors, "embedding").select("raw", "label"), "train").persist()
+    rows = durable(C.prepare(vectors, vectors, "embedding").select("raw", "label"), "train")
     fitted = C.boosted_grid(rows, depths=(3, 5), steps=(0.1,), shares=(0.7,), folds=2, rounds=5)
     results = C.grid_results(fitted)
-    rows.unpersist()
     return spark.createDataFrame(results, "max_depth int, step double, share double, accuracy double")
 
 
