@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.textbatch import each, filled, per_batch, pieces
+from pulsegrid.llm.textbatch import filled, over_batches, per_batch, pieces
 
 REACH = 300
 MIN_ASSIGNED, MIN_ACCESS, MIN_HEX, MIN_WEAK = 12, 18, 16, 4
@@ -178,7 +178,7 @@ def redact(docs: DataFrame) -> DataFrame:
         cleaned = [redacted(t, spans) if t is not None else None for t, _, spans in _scan(column)]
         yield batch.set_column(at, batch.schema.field(at), pc.coalesce(pa.array(cleaned, column.type), column))
 
-    found = docs.mapInArrow(each(step), docs.schema)
+    found = over_batches(docs, step, docs.schema)
     if "n_chars" not in docs.columns:
         return found
     kind = docs.schema["n_chars"].dataType

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.textbatch import each, lowered, per_batch, pieces, shingles, word_hashes
+from pulsegrid.llm.textbatch import lowered, over_batches, per_batch, pieces, shingles, word_hashes
 
 SHINGLE = 5
 CONTAINED = 0.8
@@ -185,7 +185,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     clean[texts.first + i] = not contained_in(items, shingle[at[i] : at[i + 1]])
             yield batch.filter(pa.array(clean))
 
-        return docs.mapInArrow(each(step), docs.schema)
+        return over_batches(docs, step, docs.schema)
 
     for rows in _blocks(benchmark):
         docs = of_block(docs, rows)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pulsegrid.llm.hashed import BITS, Adam, bucket, byte_grams, labelled_sample, sigmoid
-from pulsegrid.llm.textbatch import NOT_BLANK, Texts, Words, each, filled, per_batch, pieces, runs, shingles, span_hashes
+from pulsegrid.llm.textbatch import NOT_BLANK, Texts, Words, filled, over_batches, per_batch, pieces, runs, shingles, span_hashes
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -219,4 +219,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         kept = [kept for *_, kept in _verdicts(batch.column(at), Model(*shared.value))]
         yield batch.filter(pa.array(np.concatenate(kept)))
 
-    return docs.mapInArrow(each(step), docs.schema)
+    return over_batches(docs, step, docs.schema)

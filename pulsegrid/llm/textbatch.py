@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 PIECE_BYTES = 1 << 20
+BATCH_ROWS = 1_000
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -149,17 +151,25 @@ def word_hashes(texts: Texts, table: np.ndarray = WORD) -> tuple[Words, np.ndarr
     return found, span_hashes(texts.data, found.begin, found.end)
 
 
-def each(step: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]):
-    """``step`` for every batch of a partition that has rows."""
+def over_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema) -> DataFrame:
+    """``step`` for every Arrow batch that has rows: no shuffle, one pass, a batch at a time.
+
+    Batches are kept to ``BATCH_ROWS`` rows by the session's setting, since a batch is held on both sides of the pipe to Python; what Arrow
+    has freed goes back to the system, since workers live on from stage to stage.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_ROWS_SETTING)) > BATCH_ROWS:
+        conf.set(_ROWS_SETTING, BATCH_ROWS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield from step(batch)
+            pa.default_memory_pool().release_unused()
 
-    return work
+    return df.mapInArrow(work, schema)
 
 
 def per_batch(df: DataFrame, columns: list[str], schema: str, step: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) -> DataFrame:
-    """``step`` over the Arrow batches of some columns of ``df``: no shuffle, one pass, a batch at a time."""
-    return df.select(*columns).mapInArrow(each(step), schema)
+    """``step`` over the Arrow batches of some columns of ``df``."""
+    return over_batches(df.select(*columns), step, schema)
