@@ -3,8 +3,8 @@
 A page is read once into text nodes, each with its path of tags from the root. Parts that are never article text by their tag, role or class
 are left out. For each distinct path, text length and punctuation are summed and divided by the number of its nodes; along the page, the
 two ratios of the nodes' paths are smoothed with a short Gaussian, fused into their geometric mean, and nodes above a share of its spread are
-selected. The smallest element that holds nearly all selected text, widened to the article around it, is the content: all of its text is
-kept in page order, headings and short paragraphs included.
+selected. The article around nearly all selected text is the content; on pages without one, the smallest element that holds all of it, and
+its heading. All of its text is kept in page order, headings and short paragraphs included.
 
 White space inside a block becomes one blank (a line break counts as white space), blocks are joined by one line feed, and character
 references are decoded. Null and empty pages, and pages without text, give an empty text. Unclosed and stray tags are put right as far
@@ -225,33 +225,37 @@ def path_scores(leaves: list[Leaf]) -> np.ndarray:
     return np.array([0.0 if leaf.text.isspace() else next(fused) for leaf in leaves])
 
 
+def _smallest(page: Page, weight: dict[int, int], share: float) -> Node:
+    """The smallest block with that share of the weight of the page, or what a lone paragraph or heading is in."""
+    root, least = page.root, share * weight[id(page.root)]
+    while inner := [c for c in root.children if weight[id(c)] >= least]:
+        root = inner[0]
+    while root.tag not in BLOCK and root.parent is not None:
+        root = root.parent
+    if root.tag in ("p", "li", "td", "th", "h1", "h2", "h3", "blockquote", "pre") and root.parent is not None and not root.article:
+        root = root.parent
+    return root
+
+
 def _content_root(page: Page, leaves: list[Leaf], chosen: list[Leaf]) -> Node:
-    """The smallest element with nearly all of the chosen text, or the article it is in, or what adds its heading."""
+    """The article that nearly all of the chosen text is in; without one, the smallest element with all of it, or what adds its heading."""
     weight: dict[int, int] = defaultdict(int)
     for leaf in chosen:
         node = leaf.node
         while node is not None:
             weight[id(node)] += len(leaf.text)
             node = node.parent
-    root, total = page.root, weight[id(page.root)]
-    while inner := [c for c in root.children if weight[id(c)] >= MOST * total]:
-        root = inner[0]
-    while root.tag not in BLOCK and root.parent is not None:
-        root = root.parent
-    if root.tag in ("p", "li", "td", "th", "h1", "h2", "h3", "blockquote", "pre") and root.parent is not None and not root.article:
-        root = root.parent
-    around, found = root, None
+    around, found = _smallest(page, weight, MOST), None
     while around is not None:
         if around.tag in ("article", "main") and (found is None or around.tag == "article" == found.tag):
             found = around
         around = around.parent
     if found is not None:
         return found
+    root = _smallest(page, weight, 1)
     parent = root.parent
     if parent is not None and parent.tag not in ("html", "#") and any(_is_in(leaf.node, parent) and leaf.node.tag in ("h1", "h2") for leaf in leaves):
-        extra = sum(len(leaf.text.strip()) for leaf in leaves if _is_in(leaf.node, parent) and not _is_in(leaf.node, root))
-        if extra <= 400:
-            return parent
+        return parent
     return root
 
 

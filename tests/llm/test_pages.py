@@ -22,6 +22,13 @@ def test_articles_without_what_is_around_them():
     assert main_text(PAGE.format(body=f"<main><div><div>{inner}</div></div></main>")) == want
 
 
+def test_no_selected_text_is_lost_without_an_article():
+    lead, body = "A lead, of some words. " * 30, "A body, of more words. " * 350
+    for inner in (f"<div class='lead'>{lead}</div><div class='body'>{body}</div>", f"<div class='body'>{body}</div><div class='end'>{lead}</div>"):
+        got = main_text(f"<html><body><nav>Home</nav><div><h1>Title</h1>{inner}</div><footer>x</footer></body></html>")
+        assert got.startswith("Title\n") and sorted(got.split("\n")[1:]) == sorted([lead.strip(), body.strip()])
+
+
 def test_odd_pages():
     assert [main_text(x) for x in (None, "", "<p>", "<", "plain text", "a<b", "<script>x")] == ["", "", "", "<", "plain text", "a", ""]
     assert main_text("<div>" * 3000 + "deep, deep text") == "deep, deep text"
