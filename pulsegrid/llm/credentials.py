@@ -1,7 +1,7 @@
 """Secrets in texts: fixed patterns, and parts of credentials that are weak alone but tell together.
 
 Base spans (an assigned secret, an access identifier, a long hexadecimal run) are always reported. Weak candidates are parts: identifiers
-(``user=``), secrets (``pwd:``, or an assigned value too short for the base) and endpoints (a URL, ``host=``, an address with a port). Parts
+(``user=``), secrets (``pwd:``, or an assigned value that the base leaves out or cuts short) and endpoints (a URL, ``host=``, an address with a port). Parts
 are joined by interval: two of them co-occur if they lie in one scope, the lines between two blank lines, at most ``REACH`` code points
 apart. An identifier is reported beside a secret, a secret beside an identifier or an endpoint, an endpoint beside both; base spans count as
 complements too. The join is a sweep over the sorted spans of a text, so many parts in one text do not make pairs.
@@ -28,10 +28,14 @@ MIN_ASSIGNED, MIN_ACCESS, MIN_HEX, MIN_WEAK = 12, 18, 16, 4
 #: Kinds in the order in which spans with one start are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "id", "secret", "endpoint")
 
-ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+_ASSIGNED = r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
+ASSIGN = re.compile(_ASSIGNED + "([A-Za-z0-9+/_.=-]+)")
+#: The same names with values of any characters, such as P@ssw0rd!; what ASSIGN finds is the beginning of it.
+WIDE = re.compile(rf"""{_ASSIGNED}[^\s"',;<>]{{{MIN_WEAK},}}""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-_NAME = r"(?<![A-Za-z0-9_])(?ai:{})[\"']?\x20*[:=]\x20*[\"']?([^\s\"',;<>]{{{},}})"
+#: A name may follow a prefix, as in DB_USER.
+_NAME = r"(?<![A-Za-z0-9])(?ai:{})[\"']?\x20*[:=]\x20*[\"']?([^\s\"',;<>]{{{},}})"
 IDENTIFIER = re.compile(_NAME.format(r"user(?:_?name|_?id)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?", 3))
 SECRET = re.compile(_NAME.format(r"pass(?:phrase)?|pwd|credentials?|auth|private_?key", MIN_WEAK))
 ENDPOINT = re.compile(
@@ -50,15 +54,19 @@ Span = tuple[int, int, str]
 
 
 def base_spans(text: str, tried: set[str] = frozenset(KINDS)) -> tuple[list[Span], list[Span]]:
-    """The base spans, by kind, and the assigned secrets that are too short for the base."""
+    """The base spans, by kind, and the assigned secrets that are too short for the base or go on after it."""
     found, short = [], []
     if "assign" in tried:
+        wide = {m.start(): m.end() for m in WIDE.finditer(text)}
         for m in ASSIGN.finditer(text):
             length = m.end(1) - m.start(1)
             if length >= MIN_ASSIGNED:
                 found.append((m.start(), m.end(), "assign"))
+                if wide.get(m.start()) == m.end():
+                    del wide[m.start()]
             elif length >= MIN_WEAK:
-                short.append((m.start(), m.end(), "secret"))
+                wide.setdefault(m.start(), m.end())
+        short = [(start, end, "secret") for start, end in wide.items()]
     if "access" in tried:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     if "hex" in tried:

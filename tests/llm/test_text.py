@@ -10,7 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from pulsegrid.llm import prefix_bpe, training_order, trie_counts
+from pulsegrid.llm import credentials, prefix_bpe, training_order, trie_counts
 from pulsegrid.llm.pretokens import pretokens
 
 PATH = public_tokenizers.path(prefix_bpe.VOCABULARY)
@@ -112,3 +112,20 @@ def test_empty_tables(spark, table, folder):
     none = table.where("false")
     assert prefix_bpe.encoding_digests(none).count() == trie_counts.token_counts(none).count() == 0
     assert training_order.placed_sequences(spark, none, folder).count() == 0
+
+
+def test_credentials_with_prefixed_names_and_any_characters():
+    def told(text):
+        base, spans = credentials.all_spans(text)
+        return [(kind, text[start:end]) for start, end, kind in base], [(kind, text[start:end]) for start, end, kind in spans]
+
+    env = [("endpoint", "HOST=db1.internal"), ("id", "USER=app"), ("secret", "PASSWORD=hunter2x")]
+    assert told("DB_HOST=db1.internal\nDB_USER=app\nDB_PASSWORD=hunter2x") == ([], env)
+    assert told("db-user: app, my-pwd: hunter2x") == ([], [("id", "user: app"), ("secret", "pwd: hunter2x")])
+    parts = [("id", "user=admin"), ("secret", "password=P@ssw0rd!2024"), ("endpoint", "host=db1.internal")]
+    assert told("user=admin\npassword=P@ssw0rd!2024\nhost=db1.internal") == ([], parts)
+    long = [("assign", "token=abcdefghijkl")]
+    assert told("user=admin token=abcdefghijkl") == (long, [("id", "user=admin"), *long])
+    assert told("user=admin token=abcdefghijkl@1") == (long, [("id", "user=admin"), *long, ("secret", "token=abcdefghijkl@1")])
+    assert told("superuser=admin, password=P@ssw0rd!2024") == ([], [])
+    assert told("PASSWORD=hunter2x") == ([], [])
