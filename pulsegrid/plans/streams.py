@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import alerts as A
 from pulsegrid.operators import spot
-from pulsegrid.plans.base import EV, FIRST_DAY, HALF_DAYS, day, event_scores, events, query, r6, rows_in, sql, table
+from pulsegrid.plans.base import EV, HALF_DAYS, day, event_scores, events, query, r6, rows_in, sql, table
 from pulsegrid.plans.detection import ALERT_SQL, QUANTILE, RISK, RULES, SPOT_SQL
 from pulsegrid.storage import durable, new_table_path
 from pulsegrid.streaming import align, detect
 from pulsegrid.streaming.alerts import alerts_stream
 from pulsegrid.streaming.scoring import read_stream
 
-BATCHES, FILES, DAYS = 4, 2, 30
+BATCHES, FILES, BATCH_ROWS, SMALL = 4, 8, 400_000, 1_000
 
 
 def _drain(stream: DataFrame) -> DataFrame:
@@ -29,26 +31,24 @@ def _drain(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def _stream_of(df: DataFrame, first_day: int = 0) -> DataFrame:
+def _stream_of(df: DataFrame) -> DataFrame:
     """A stream in several micro-batches over a table that is laid out in time order first, as a replay arrives.
 
-    The days are cut into ``BATCHES`` spans. Each is written as ``FILES`` files after the one before, and a micro-batch takes that many.
+    The table is cut in time order into spans of about ``BATCH_ROWS`` rows, ``BATCHES`` of them at least, so a micro-batch and what it holds
+    of a key stay as large as they are when the table grows. Each is written as some files after the one before, and a micro-batch takes that many.
     """
-    path = new_table_path(df.sparkSession, "source")
-    cuts = [first_day + k * (DAYS - first_day) / BATCHES for k in range(1, BATCHES)]
-    spans = [(None, cuts[0]), *zip(cuts, cuts[1:]), (cuts[-1], None)]
-    for low, high in spans:
-        part = df
-        if low is not None:
-            part = part.where(F.col("ts") >= _day(low))
-        if high is not None:
-            part = part.where(F.col("ts") < _day(high))
-        part.repartition(FILES).write.mode("append").parquet(path)
-    return read_stream(df.sparkSession, path, df.schema, files_per_batch=FILES)
-
-
-def _day(n: float) -> Column:
-    return F.expr(f"{FIRST_DAY} + interval {round(n * 24)} hours").cast("timestamp_ntz")
+    spark, rows = df.sparkSession, df.count()
+    placed, path = new_table_path(spark, "spans"), new_table_path(spark, "source")
+    spans = max(BATCHES, math.ceil(rows / BATCH_ROWS))
+    files = FILES if rows >= SMALL * spans else 1  # few rows may not fill every file
+    df.repartitionByRange(spans, "ts", "event_id").withColumn("_span", F.spark_partition_id()).write.partitionBy("_span").parquet(placed)
+    filled = spark.read.schema("_span int").parquet(placed).distinct().orderBy("_span").collect()
+    for row in filled:
+        part = spark.read.schema(df.schema).parquet(f"{placed}/_span={row['_span']}")
+        part.repartition(files).write.mode("append").parquet(path)
+    if not filled:
+        df.limit(0).write.parquet(path)
+    return read_stream(spark, path, df.schema, files_per_batch=files)
 
 
 @query(
@@ -72,7 +72,7 @@ def stream_spot(spark, sf):
     keys, order, half = ["metric"], ["ts", "event_id"], day(HALF_DAYS)
     base, live = scores.where(F.col("ts") < half), scores.where(F.col("ts") >= half)
     states = durable(spot.start_states(base, keys, order, "score", QUANTILE, RISK, group_rows=rows), "states")
-    found = _drain(detect.detect_stream(_stream_of(live, HALF_DAYS), states, keys, order))
+    found = _drain(detect.detect_stream(_stream_of(live), states, keys, order))
     rounded = {c: F.round(c, 4) for c in ("initial_threshold", "final_threshold", "mean_threshold")}
     return spot.trace_summary(found, keys, order).withColumns(rounded | {"alarm_rate": r6("alarm_rate")})
 

@@ -138,3 +138,17 @@ def test_monitor_and_slices(spark, folder):
     for _ in range(2):
         scoring.collect_slices(stream, f"{folder}/slices", f"{folder}/slices-ck").awaitTermination()
     assert spark.read.parquet(f"{folder}/slices").count() == data.count()
+
+
+def test_micro_batches_do_not_grow_with_the_table(spark, monkeypatch):
+    from pulsegrid.plans import streams
+
+    monkeypatch.setattr(streams, "BATCH_ROWS", 100)
+    df = spark.range(1000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 7 % 1000).alias("ts"))
+    path, seen = [], []
+    monkeypatch.setattr(streams, "read_stream", lambda s, p, *a, **k: path.append((p, k["files_per_batch"])) or scoring.read_stream(s, p, *a, **k))
+    q = streams._stream_of(df).writeStream.foreachBatch(lambda b, _: seen.append(b.agg(F.count("ts"), F.min("ts"), F.max("ts")).first())).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(seen) == 10 and sum(r[0] for r in seen) == 1000
+    assert max(r[0] for r in seen) <= 150
+    assert all(a[2] < b[1] for a, b in zip(seen, seen[1:]))
