@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.logtext import iso_millis
 from pulsegrid.operators import logs as G
-from pulsegrid.plans.base import EV, INTERVALS, LINES, PARSED, TEMPLATED, event_lines, events, intervals, query, r6, sql
+from pulsegrid.operators.ordered import positions
+from pulsegrid.plans.base import EV, INTERVALS, LINES, PARSED, TEMPLATED, event_lines, events, intervals, query, r6, rows_in, sql
 from pulsegrid.plans.logs import TRACE, _numbered, _trace
 from pulsegrid.sources import readers as R
 from pulsegrid.sources import sinks as K
 from pulsegrid.storage import new_table_path
 
 
+#: Records of a file that is written as one row of text.
+FILE_RECORDS = 10_000
+
+
+def _files(df: DataFrame, keys: list[str], order: list[str], group_rows: int) -> GroupedData:
+    """The rows of each key, grouped into files of at most ``FILE_RECORDS`` of them."""
+    placed = positions(df, keys, order, "_pos", group_rows)
+    return placed.groupBy(*keys, F.floor(F.col("_pos") / FILE_RECORDS).alias("part"))
+
+
 def _micros(c):
     return F.unix_micros(F.col(c).cast("timestamp"))
 
@@ -85,7 +97,7 @@ def log_files_scan(spark, sf):
   || CASE WHEN k % 3 = 0 THEN '0' ELSE CAST(user_id AS VARCHAR) END || ' --- [0] ' || CASE WHEN k % 5 = 0 THEN 'logger' ELSE 'app' END || ' : m' || event_id AS value FROM ev"""),
 )
 def log_json_envelopes(spark, sf):
-    """JSON log files of both envelopes, a file per half hour and kind; the number 0 is no value, the text "0" is one."""
+    """JSON log files of both envelopes, files of a bounded number of records of half a day and kind; the number 0 is no value, the text "0" is one."""
     path = new_table_path(spark, "envelopes")
     k = F.col("k")
     record = F.struct(
@@ -93,7 +105,8 @@ def log_json_envelopes(spark, sf):
         F.lit("0").alias("thread"), F.when(k % 5 == 0, F.lit("")).otherwise("app").alias("logger"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("msg"),
     )
     span = F.window(F.col("ts"), "12 hours")["start"].alias("span")
-    files = events(spark, sf).groupBy(span, (k % 2).alias("kind")).agg(F.collect_list(record).alias("records"))
+    rows = events(spark, sf).select("event_id", span, (k % 2).alias("kind"), record.alias("record"))
+    files = _files(rows, ["span", "kind"], ["event_id"], rows_in(spark, sf, "events")).agg(F.collect_list("record").alias("records"))
     text = F.when(F.col("kind") == 0, F.to_json(F.struct(F.col("records").alias("logs")))).otherwise(F.to_json(F.struct(F.col("records").alias("data"))))
     files.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return R.read_log_json(spark, path)
@@ -101,11 +114,12 @@ def log_json_envelopes(spark, sf):
 
 @query("session_intervals_scan", sql(EV, INTERVALS, body="SELECT label, count(*) AS n, min(start_ts) AS first_ts, max(end_ts) AS last_ts, CAST(sum(epoch_us(end_ts) - epoch_us(start_ts)) AS BIGINT) AS covered_us FROM intervals GROUP BY label"))
 def session_intervals_scan(spark, sf):
-    """Session records, a file per day, with the fault events and normal windows that begin on it."""
+    """Session records with the fault events and normal windows that begin on a day, in files of a bounded number of them."""
     path = new_table_path(spark, "sessions")
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     part = F.struct(stamp("start_ts").alias("start_ts"), stamp("end_ts").alias("end_ts"), F.col("label").cast("string").alias("label"))
-    days = intervals(spark, sf).groupBy(F.to_date("start_ts").alias("day")).agg(
+    begun = intervals(spark, sf).withColumn("day", F.to_date("start_ts"))
+    days = _files(begun, ["day"], ["start_ts", "end_ts", "label"], rows_in(spark, sf, "events")).agg(
         F.collect_list(F.when(F.col("label") == 1, part)).alias("fault_events"), F.collect_list(F.when(F.col("label") == 0, part)).alias("normal_windows")
     )
     days.select(F.to_json(F.struct("fault_events", "normal_windows")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)

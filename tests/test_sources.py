@@ -10,6 +10,7 @@ from pulsegrid.functions import timeparse
 from pulsegrid.operators import experiments as X
 from pulsegrid.operators import logs, metrics, splits, traces
 from pulsegrid.sources import readers, sinks
+from pulsegrid.storage import new_table_path
 
 LINE = "2025-01-01T00:01:00.002Z INFO 1006 --- [io-1010-exec-10] app.web : GET /items 200"
 
@@ -176,3 +177,23 @@ def test_experiments(spark, folder):
     sinks.write_summary(kept, f"{folder}/summary")
     nested = spark.range(1).select(F.struct(F.lit(1.5).alias("loss"), F.struct(F.lit(2).alias("n"), F.lit("x").alias("s")).alias("in")).alias("m"))
     assert nested.select(X.numeric_metrics(X.flatten_numeric(nested)).alias("f")).first()["f"] == {"m.loss": 1.5, "m.in.n": 2.0}
+
+
+def test_files_hold_a_bounded_number_of_records(spark, monkeypatch):
+    from pulsegrid.plans import files
+    from tests.compare import difference, spark_result
+
+    def written(name):
+        paths = []
+        with monkeypatch.context() as m:
+            m.setattr(files, "new_table_path", lambda *a: paths.append(new_table_path(*a)) or paths[-1])
+            found = spark_result(getattr(files, name)(spark, "/root/testdata/sf0.001"))
+        return found, [r.value for r in spark.read.option("wholetext", True).text(paths[0]).collect()]
+
+    whole = {name: written(name) for name in ("log_json_envelopes", "session_intervals_scan")}
+    monkeypatch.setattr(files, "FILE_RECORDS", 3)
+    for name, (found, texts) in whole.items():
+        again, parts = written(name)
+        assert difference(again, found) is None
+        assert len(parts) > len(texts)
+        assert max(sum(len(x) for x in json.loads(p).values()) for p in parts) <= 3
