@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.evaluate import segment_metrics
+from pulsegrid.operators.ordered import attach, positions
 from pulsegrid.operators.splits import shuffle_key
 from pulsegrid.operators.threshold import alarm_level, fit_thresholds
 from pulsegrid.storage import durable
@@ -74,6 +75,29 @@ def _fit_risks(
     return each.select(*keys, F.lit(float(quantile)).alias("quantile"), "risk", alarm_level(F.col("risk")).alias("threshold"))
 
 
+def split_trials(
+    windows: DataFrame, configs: DataFrame, keys: Sequence[str], order: Sequence[str], label: str = "label", score: str = "score",
+    group_rows: int | None = None,
+) -> DataFrame:
+    """Segment metrics per key on the test windows, with thresholds fitted on its train windows.
+
+    ``windows`` carry ``split`` and the ``quantile`` and ``risk`` of their key; ``configs`` is the small table of the pairs that occur.
+    """
+    windows = durable(windows, "split")
+    risks: dict[float, list[float]] = {}
+    for row in configs.select("quantile", "risk").distinct().orderBy("quantile", "risk").collect():
+        risks.setdefault(row["quantile"], []).append(row["risk"])
+    if not risks:
+        return segment_metrics(windows.withColumns({"_idx": F.lit(0), "alarm": F.lit(0)}), keys, "_idx", label, "alarm", group_rows=group_rows)
+    train = windows.where("split = 'train'")
+    fits = [_fit_risks(durable(train.where(F.col("quantile") == q).select(*keys, score), "scores"), keys, score, q, r, group_rows) for q, r in risks.items()]
+    fitted = durable(reduce(DataFrame.unionByName, fits), "fits")
+    placed = positions(windows.where("split = 'test'"), keys, order, "_idx", group_rows)
+    judged = attach(placed, fitted, [*keys, "quantile", "risk"], ["threshold"])
+    alarm = F.coalesce((F.col(score) > F.col("threshold")).cast("int"), F.lit(0))
+    return segment_metrics(judged.withColumn("alarm", alarm), keys, "_idx", label, "alarm", group_rows=group_rows)
+
+
 def best_trial(trials: DataFrame, objective: str, params: Sequence[str], keys: Sequence[str] = (), lowest: bool = False) -> DataFrame:
     """Row of the best trial per key; trials without the objective do not compete, ties go to smaller parameters."""
     sign = 1 if lowest else -1

@@ -45,14 +45,14 @@ def shuffled_split(
 
 
 def supervised_split(
-    df: DataFrame, ids: Sequence[str], label: str = "label", train_ratio: float = 0.8, val_ratio: float = 0.2,
+    df: DataFrame, ids: Sequence[str], label: str = "label", train_ratio: float | str = 0.8, val_ratio: float = 0.2,
     seed: int | str = 42, keys: Sequence[str] = (), group_rows: int | None = None,
 ) -> DataFrame:
     """Train holds normal rows only; the other normal rows and the anomalies go to val and test per class.
 
     Unlabelled rows take no part. If the pool for val and test is too small to keep the class shares
     (below 5 rows, or a class with one row), it is split as a whole. ``keys`` repeat the split for
-    each of several groups, such as seeds.
+    each of several groups, such as seeds. The ratio of train is a number or the name of a column that is constant in a group.
     """
     by = list(keys) or ["_all_rows"]
     usable = df.where(F.col(label).isin(NORMAL, ANOMALOUS)).withColumn("_h", shuffle_key(seed, *ids))
@@ -61,8 +61,9 @@ def supervised_split(
     ranked = positions(usable, [*by, label], ["_h", *ids], "_rank", group_rows)
 
     normal = F.col(label) == NORMAL
-    train_size = F.when(normal, F.floor(F.col("_size") * F.lit(float(train_ratio)))).otherwise(0)
-    sizes = usable.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_size")).withColumn("_train", train_size)
+    ratio = F.max(train_ratio) if isinstance(train_ratio, str) else F.lit(float(train_ratio))
+    train_size = F.when(normal, F.floor(F.col("_size") * F.col("_ratio"))).otherwise(0)
+    sizes = usable.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_size"), ratio.alias("_ratio")).withColumn("_train", train_size)
     sizes = sizes.withColumn("_pool", F.col("_size") - F.col("_train"))
     pools = sizes.where("_pool > 0").groupBy(*by).agg(F.sum("_pool").alias("_pools"), F.min("_pool").alias("_least"))
     sizes = durable(attach(sizes, pools, by, ["_pools", "_least"]), "sizes")

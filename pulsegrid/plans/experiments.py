@@ -9,7 +9,9 @@ from pulsegrid.operators.labels import label_points
 from pulsegrid.operators.ordered import positions
 from pulsegrid.plans.base import EV, HALF_DAYS, INTERVALS, SCORES, day, event_scores, intervals, query, r6, rows_in, sql, table
 from pulsegrid.operators.splits import supervised_split
-from pulsegrid.plans.base import MARKS
+from pulsegrid.operators.timegrid import floor_time
+from pulsegrid.operators.windows import sliding_windows
+from pulsegrid.plans.base import MARKS, WINDOW, hour_marks
 from pulsegrid.plans.detection import GRID_SQL, fit_sql
 from pulsegrid.plans.labels import WINDOW_LABELS, labelled_windows
 from pulsegrid.storage import durable
@@ -145,21 +147,46 @@ w AS (SELECT config, seed, win_id, CASE WHEN r < train THEN 'train' WHEN r - tra
 UNION ALL SELECT 'broken', s, NULL, NULL, NULL, NULL, 'quantile outside 0..1' FROM (VALUES (1), (2)) b(s)"""),
 )
 def config_sweep(spark, sf):
-    """Every (config, seed) splits the labelled windows in one job; an invalid config is recorded."""
+    """Every (config, seed) splits the labelled windows in one job; an invalid config is recorded. ``config_sweep_trials`` goes on to thresholds."""
     windows = durable(labelled_windows(spark, sf).select("win_id", "label"), "windows")
-    configs = X.check_configs(spark.createDataFrame(list(SWEEP_CONFIGS), "config string, quantile double, risk double, train_ratio double"))
 
     def run(rows):
-        parts = None
-        for ratio in sorted({c[3] for c in SWEEP_CONFIGS if c[0] != "broken"}):
-            part = supervised_split(
-                rows.where(F.col("train_ratio") == ratio), ["win_id"], train_ratio=ratio, seed="seed", keys=["config", "seed"],
-                group_rows=rows_in(spark, sf, "events"),
-            )
-            parts = part if parts is None else parts.unionByName(part)
         count = lambda name: F.count_if(F.col("split") == name).alias(name)
-        return parts.groupBy("config", "seed").agg(
+        return _split_by_config(spark, sf, rows).groupBy("config", "seed").agg(
             count("train"), count("val"), count("test"), F.sum(F.when(F.col("split") == "val", F.col("win_id"))).alias("val_ids")
         )
 
+    return X.sweep(windows, _sweep_configs(spark), SWEEP_SEEDS, run)
+
+
+def _sweep_configs(spark):
+    return X.check_configs(spark.createDataFrame(list(SWEEP_CONFIGS), "config string, quantile double, risk double, train_ratio double"))
+
+
+def _split_by_config(spark, sf, rows):
+    return supervised_split(
+        rows, ["win_id"], train_ratio="train_ratio", seed="seed", keys=["config", "seed"], group_rows=len(SWEEP_CONFIGS) * len(SWEEP_SEEDS) * rows_in(spark, sf, "events")
+    )
+
+
+def scored_windows(spark, sf):
+    """Labelled windows with the largest score of their hours."""
+    rows = rows_in(spark, sf, "events")
+    hours = event_scores(spark, sf).groupBy(floor_time(F.col("ts"), "1 hour").alias("ts")).agg(F.max("score").alias("score"))
+    marks = hour_marks(spark, sf).join(hours, "ts", "left")
+    scores = sliding_windows(marks, [], ["ts"], {"score": ("max", F.col("score"))}, WINDOW, 1, rows)
+    return labelled_windows(spark, sf).select("win_id", "label").join(scores, "win_id")
+
+
+@query("config_sweep_trials")
+def config_sweep_trials(spark, sf):
+    """Every (config, seed) splits the windows, fits its threshold on train and is rated on test; an invalid config is recorded."""
+    windows, configs = durable(scored_windows(spark, sf), "windows"), _sweep_configs(spark)
+
+    def run(rows):
+        split = _split_by_config(spark, sf, rows)
+        group_rows = len(SWEEP_CONFIGS) * len(SWEEP_SEEDS) * rows_in(spark, sf, "events")
+        rated = X.split_trials(split, configs.where("error is null"), ["config", "seed"], ["win_id"], group_rows=group_rows)
+        return rated.withColumns({c: r6(c) for c in ("segment_precision", "segment_recall", "segment_f1")}).drop("meets_target")
+
     return X.sweep(windows, configs, SWEEP_SEEDS, run)
