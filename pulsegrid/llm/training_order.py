@@ -39,8 +39,8 @@ from pulsegrid.llm.textbatch import Texts
 from pulsegrid.llm.warc import uri_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-LENGTH = 256
-PER_SHARD = 1 << 16
+LENGTH = 128
+PER_SHARD = 1 << 17
 ROUNDS = 6
 SEED = 20240131
 HEAD = np.dtype([("doc_id", "<i8"), ("part", "<u4"), ("n_ids", "<u4")])

@@ -129,3 +129,10 @@ def test_credentials_with_prefixed_names_and_any_characters():
     assert told("user=admin token=abcdefghijkl@1") == (long, [("id", "user=admin"), *long, ("secret", "token=abcdefghijkl@1")])
     assert told("superuser=admin, password=P@ssw0rd!2024") == ([], [])
     assert told("PASSWORD=hunter2x") == ([], [])
+
+
+def test_sequences_keep_their_length(spark, folder):
+    docs = spark.createDataFrame([(1, " word" * 300)], "doc_id bigint, text string")
+    got = training_order.placed_sequences(spark, docs, folder).collect()
+    assert sorted((r.part, r.n_ids) for r in got) == [(0, 128), (1, 128), (2, 44)]
+    assert training_order.PER_SHARD == 131072
