@@ -42,7 +42,7 @@ def byte_grams(data: np.ndarray, words: Words, orders: tuple[int, ...] = ORDERS,
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column | None = None, rows: int = FIT_ROWS) -> list[tuple[str, int]]:
     """At most ``rows`` (text, label) pairs of each label, chosen by a hash of the id: the only rows that reach the driver.
 
-    Rows without an id, a label of 0 or 1, or a text are not used; an id with several labels counts with the lowest one.
+    Rows without an id, a label of 0 or 1, or a text are not used; an id with several labels or texts counts with the lowest one.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("_label"))
     if usable is not None:
@@ -53,10 +53,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     chosen = chosen[0].unionByName(chosen[1])
     ids = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
     pairs = docs.select("doc_id", "text").where(F.octet_length("text") <= FIT_BYTES).join(F.broadcast(ids), "doc_id")
-    taken = {}
-    for row in pairs.orderBy("doc_id", "text").limit(4 * rows).toLocalIterator():
-        taken.setdefault(row["doc_id"], (row["text"], row["_label"]))
-    return list(taken.values())
+    one = pairs.groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
+    return [(row["text"], row["_label"]) for row in one.orderBy("doc_id").toLocalIterator()]
 
 
 class Adam:

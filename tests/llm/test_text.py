@@ -10,7 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from pulsegrid.llm import credentials, prefix_bpe, training_order, trie_counts
+from pulsegrid.llm import credentials, hashed, prefix_bpe, training_order, trie_counts
 from pulsegrid.llm.pretokens import pretokens
 
 PATH = public_tokenizers.path(prefix_bpe.VOCABULARY)
@@ -136,3 +136,10 @@ def test_sequences_keep_their_length(spark, folder):
     got = training_order.placed_sequences(spark, docs, folder).collect()
     assert sorted((r.part, r.n_ids) for r in got) == [(0, 128), (1, 128), (2, 44)]
     assert training_order.PER_SHARD == 131072
+
+
+def test_repeated_ids_do_not_push_others_out_of_a_fit(spark):
+    docs = spark.createDataFrame([(1, f"copy {i}") for i in range(50)] + [(i, f"text {i}") for i in range(2, 9)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id bigint, quality int")
+    want = [("copy 0", 1)] + [(f"text {i}", i % 2) for i in range(2, 9)]
+    assert hashed.labelled_sample(docs, labels, "quality", rows=4) == want
