@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.evaluate import segment_metrics
+from pulsegrid.operators.evaluate import rated
+from pulsegrid.operators.labels import in_segment
 from pulsegrid.operators.ordered import attach, positions
 from pulsegrid.operators.splits import shuffle_key
-from pulsegrid.operators.threshold import alarm_level, fit_thresholds
+from pulsegrid.operators.threshold import alarm_level, fit_tails
 from pulsegrid.storage import durable
 
 LEDGER_SCHEMA = (
@@ -44,58 +44,76 @@ def sample_grid(grid: DataFrame, evaluations: int, seed: int) -> DataFrame:
 def threshold_trials(
     baseline: DataFrame,
     stream: DataFrame,
-    quantiles: Sequence[float],
-    risks: Sequence[float],
+    grid: DataFrame,
     keys: Sequence[str],
     idx: str = "idx",
     label: str = "label",
     score: str = "score",
     group_rows: int | None = None,
 ) -> DataFrame:
-    """Segment metrics of every (quantile, risk) on a labelled score stream, per key.
+    """Segment metrics of every (quantile, risk) of ``grid`` on a labelled score stream, per key, with the threshold of the trial.
 
-    Only thresholds differ between trials, so a trial is a row of the threshold table. The fits of
-    all risks of a quantile share one pass over the baseline. Rows are repeated per trial by an array
-    of the few thresholds of their key, not by a join with the grid.
+    Only thresholds differ between trials, so a trial is a row of the threshold table: the fits of all quantiles share one pass over the
+    baseline, and all trials one pass over the stream (``trial_counts``).
     """
-    baseline = durable(baseline.select(*keys, score), "scores")
-    fitted = reduce(DataFrame.unionByName, [_fit_risks(baseline, keys, score, q, risks, group_rows) for q in quantiles])
-    listed = fitted.groupBy(*keys).agg(F.collect_list(F.struct("quantile", "risk", "threshold")).alias("_t"))
-    rows = stream.join(listed, list(keys)).withColumn("_t", F.explode("_t")).select(*stream.columns, "_t.*")
-    judged = rows.withColumn("alarm", (F.col(score) > F.col("threshold")).cast("int"))
-    return segment_metrics(judged, [*keys, "quantile", "risk"], idx, label, "alarm", group_rows=group_rows)
+    quantiles = [r["quantile"] for r in grid.select("quantile").distinct().orderBy("quantile").collect()]
+    fits = durable(fit_tails(baseline, keys, score, quantiles, group_rows=group_rows), "fits")
+    levels = fits.join(F.broadcast(grid.select("quantile", F.col("risk").cast("double").alias("risk"))), "quantile")
+    levels = levels.select(*keys, "quantile", "risk", alarm_level(F.col("risk")).alias("threshold"))
+    return rated(trial_counts(in_segment(stream, keys, idx, label, group_rows), levels, keys, ["quantile", "risk"], score))
 
 
-def _fit_risks(
-    baseline: DataFrame, keys: Sequence[str], score: str, quantile: float, risks: Sequence[float], group_rows: int | None
-) -> DataFrame:
-    """Thresholds of all risks from one fit of the tail."""
-    fit = fit_thresholds(baseline, keys, score, quantile, group_rows=group_rows, written=True).drop("risk", "threshold")
-    each = fit.withColumn("risk", F.explode(F.array(*[F.lit(float(r)) for r in risks])))
-    return each.select(*keys, F.lit(float(quantile)).alias("quantile"), "risk", alarm_level(F.col("risk")).alias("threshold"))
+def trial_counts(marked: DataFrame, levels: DataFrame, keys: Sequence[str], trial: Sequence[str], score: str = "score") -> DataFrame:
+    """Segments, detected segments, alarms and valid alarms of every row (keys, trial columns, threshold) of ``levels``.
+
+    No row is repeated per trial. A row of ``marked`` (its segment or null) counts once, under the number of its key's thresholds that it
+    passes, and a segment once, under the number that its highest score passes; what a trial finds is then a sum over a short range of
+    these numbers. A null threshold is never passed.
+    """
+    levels = durable(levels.select(*keys, *trial, "threshold"), "levels")
+    cuts = levels.groupBy(*keys).agg(F.array_sort(F.collect_set("threshold")).alias("_cuts"))
+    passed = F.size(F.filter("_cuts", lambda t: F.coalesce(F.col(score) > t, F.lit(False))))
+    cells = durable(marked.join(cuts, list(keys)).groupBy(*keys, "segment", passed.alias("_passed")).agg(F.count(F.lit(1)).alias("_c")), "cells")
+    inside = F.col("segment").isNotNull()
+    rows = cells.groupBy(*keys, "_passed").agg(F.sum("_c").alias("alarms"), F.sum(F.when(inside, F.col("_c")).otherwise(0)).alias("valid_alarms"))
+    highest = cells.where(inside).groupBy(*keys, "segment").agg(F.max("_passed").alias("_passed"))
+    found = rows.join(highest.groupBy(*keys, "_passed").agg(F.count(F.lit(1)).alias("segments")), [*keys, "_passed"], "left")
+    tally = found.groupBy(*keys).agg(F.collect_list(F.struct("_passed", "alarms", "valid_alarms", F.coalesce("segments", F.lit(0)).alias("segments"))).alias("_tally"))
+    placed = levels.join(cuts, list(keys)).join(tally, list(keys)).withColumn("_at", F.array_position("_cuts", F.col("threshold")))
+
+    def total(field: str, least) -> Column:
+        return F.aggregate(F.filter("_tally", lambda x: x["_passed"] >= least), F.lit(0).cast("long"), lambda acc, x: acc + x[field])
+
+    return placed.select(
+        *keys, *trial, "threshold", total("segments", F.lit(0)).alias("segments"), total("segments", F.col("_at")).alias("detected"),
+        total("alarms", F.col("_at")).alias("alarms"), total("valid_alarms", F.col("_at")).alias("valid_alarms"),
+    )
 
 
 def split_trials(
-    windows: DataFrame, configs: DataFrame, keys: Sequence[str], order: Sequence[str], label: str = "label", score: str = "score",
-    group_rows: int | None = None,
+    windows: DataFrame, keys: Sequence[str], order: Sequence[str], label: str = "label", score: str = "score", group_rows: int | None = None,
 ) -> DataFrame:
-    """Segment metrics per key on the test windows, with thresholds fitted on its train windows.
+    """Segment metrics per key on the test windows, with thresholds fitted on its train windows, and the thresholds.
 
-    ``windows`` carry ``split`` and the ``quantile`` and ``risk`` of their key; ``configs`` is the small table of the pairs that occur.
+    ``windows`` are the whole timeline of every key and carry ``split`` and the ``quantile`` and ``risk`` of their key. Segments are those
+    of the timeline (column ``segment``, if it is there already), so that windows of other splits between two test windows neither join
+    nor part them; a segment without a test window does not count.
     """
     windows = durable(windows, "split")
-    risks: dict[float, list[float]] = {}
-    for row in configs.select("quantile", "risk").distinct().orderBy("quantile", "risk").collect():
-        risks.setdefault(row["quantile"], []).append(row["risk"])
-    if not risks:
-        return segment_metrics(windows.withColumns({"_idx": F.lit(0), "alarm": F.lit(0)}), keys, "_idx", label, "alarm", group_rows=group_rows)
-    train = windows.where("split = 'train'")
-    fits = [_fit_risks(durable(train.where(F.col("quantile") == q).select(*keys, score), "scores"), keys, score, q, r, group_rows) for q, r in risks.items()]
-    fitted = durable(reduce(DataFrame.unionByName, fits), "fits")
-    placed = positions(windows.where("split = 'test'"), keys, order, "_idx", group_rows)
-    judged = attach(placed, fitted, [*keys, "quantile", "risk"], ["threshold"])
-    alarm = F.coalesce((F.col(score) > F.col("threshold")).cast("int"), F.lit(0))
-    return segment_metrics(judged.withColumn("alarm", alarm), keys, "_idx", label, "alarm", group_rows=group_rows)
+    quantiles = [r["quantile"] for r in windows.select("quantile").distinct().orderBy("quantile").collect()]
+    marked = windows
+    if "segment" not in windows.columns:
+        marked = in_segment(positions(windows, keys, order, "_idx", group_rows), keys, "_idx", label, group_rows)
+    test = marked.where("split = 'test'")
+    levels = windows.groupBy(*keys).agg(F.first("quantile").alias("quantile"), F.first("risk").alias("risk"))
+    if not quantiles:
+        levels = levels.withColumn("threshold", F.lit(None).cast("double"))
+    else:
+        # One pass fits every quantile that occurs; each key then takes its own.
+        fits = durable(fit_tails(windows.where("split = 'train'"), keys, score, quantiles, group_rows=group_rows), "fits")
+        fitted = attach(levels, fits, [*keys, "quantile"], ["n", "init", "peaks", "gamma", "sigma"])
+        levels = fitted.withColumn("threshold", alarm_level(F.col("risk")))
+    return rated(trial_counts(test, levels, keys, ["quantile", "risk"], score))
 
 
 def best_trial(trials: DataFrame, objective: str, params: Sequence[str], keys: Sequence[str] = (), lowest: bool = False) -> DataFrame:

@@ -218,41 +218,69 @@ def order_statistic(
 ) -> DataFrame:
     """Exact quantile per key, with the number of values.
 
-    Picks element ``floor(q * n)`` of the sorted values, or interpolates linearly at
-    ``q * (n - 1)``. An approximate quantile first narrows the range, so that only the values
-    near the wanted rank are grouped and ranked; the others are merely counted.
+    Picks element ``floor(q * n)`` of the sorted values, or interpolates linearly at ``q * (n - 1)``.
     """
-    pad, accuracy, few = 0.002, 10_000, 1_000
-    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    bounds = F.percentile_approx("_v", [max(q - pad, 0.0), min(q + pad, 1.0)], accuracy)
+    found = order_statistics(df, keys, value, [q], interpolate, group_rows)
+    return found.select(*keys, "n", F.col("value").alias(out))
+
+
+#: Shares of the values on either side of a quantile that its first bracket takes in, and the accuracy of its ends.
+BRACKET_PAD, BRACKET_ACCURACY = 0.002, 10_000
+
+
+def order_statistics(
+    df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], interpolate: bool = False, group_rows: int | None = None
+) -> DataFrame:
+    """Exact quantiles per key: a row (keys, q, n, value) for each of ``qs``, as in ``order_statistic``.
+
+    Approximate quantiles first narrow the ranges of all ``qs``, so that only values near a wanted rank are grouped and ranked; of
+    the others those between two brackets are merely counted, together. Should a rank lie outside its bracket, the values of its
+    key are ranked in full.
+    """
+    by = list(keys) or ["_all"]
+    known = df.where(F.col(value).isNotNull()).select(*(keys or [F.lit(0).alias("_all")]), F.col(value).alias("_v"))
+    few = 1_000
+    ends = [min(max(q + side, 0.0), 1.0) for q in qs for side in (-BRACKET_PAD, BRACKET_PAD)]
     # For few values the padding is less than a rank or two, so their whole range is the bracket.
-    bracket = F.when(F.count("_v") < few, F.array(F.min("_v"), F.max("_v"))).otherwise(bounds)
-    span = known.groupBy(*keys).agg(F.count("_v").alias("n"), bracket.alias("_b"))
-    if keys:
-        span = durable(span, "span")
-    if keys:
-        near = attach(known, span, keys, ["n", "_b"])
-    else:
-        one = span.select(F.struct("n", "_b")).scalar()
-        near = known.withColumn("_s", one).select("_v", "_s.n", "_s._b")
-    slot = F.when(F.col("_v") < F.col("_b")[0], None).otherwise(F.col("_v"))
+    whole = F.array(*[F.min("_v"), F.max("_v")] * len(qs))
+    bracket = F.when(F.count("_v") < few, whole).otherwise(F.percentile_approx("_v", ends, BRACKET_ACCURACY))
+    span = durable(known.groupBy(*by).agg(F.count("_v").alias("n"), bracket.alias("_b")), "span")
+    picked = durable(_ranked_in_brackets(known, span, by, qs, interpolate, group_rows), "ranks")
+    missed = picked.where("not inside").select(*by).distinct()
+    if not missed.isEmpty():
+        missed = durable(missed.withColumn("_missed", F.lit(True)), "missed")
+        values = attach(known, missed, by, ["_missed"]).where("_missed").drop("_missed")
+        full = values.groupBy(*by).agg(F.count("_v").alias("n"), whole.alias("_b"))
+        again = _ranked_in_brackets(values, durable(full, "span"), by, qs, interpolate, group_rows)
+        picked = attach(picked, missed, by, ["_missed"]).where("_missed is null").drop("_missed").unionByName(again)
+    return picked.select(*keys, "q", "n", "value")
+
+
+def _ranked_in_brackets(
+    known: DataFrame, span: DataFrame, keys: Sequence[str], qs: Sequence[float], interpolate: bool, group_rows: int | None
+) -> DataFrame:
+    """(keys, q, n, value, inside); ``inside`` is false where a rank lies outside all brackets.
+
+    Values outside count under the greatest bracket end below them (null: none), after the values that equal it.
+    """
+    v, b = F.col("_v"), F.col("_b")
+    pairs = [(b[2 * i], b[2 * i + 1]) for i in range(len(qs))]
+    within = reduce(lambda x, y: x | y, [(v >= low) & (v <= high) for low, high in pairs])
+    below = [F.when(high < v, high) for _, high in pairs]
+    place = F.when(within, v).otherwise(F.greatest(*below) if len(below) > 1 else below[0])
     counts = (
-        near.where(F.col("_v") <= F.col("_b")[1])
-        .groupBy(*keys, slot.alias("_v"))
+        attach(known, span, keys, ["n", "_b"])
+        .groupBy(*keys, place.alias("_v"), (~within).alias("_out"))
         .agg(F.count(F.lit(1)).alias("_c"), F.max("n").alias("n"))
     )
-    ranked = running_sums(counts, keys, [F.col("_v").asc_nulls_first()], {"_upto": F.col("_c")}, group_rows)
-    at = F.lit(q) * ((F.col("n") - 1) if interpolate else F.col("n"))
-    low, high = F.floor(at), F.ceil(at)
-    last = F.col("n") - 1
-    pick_low = F.min(F.when(F.col("_upto") > F.least(low, last), F.struct(F.col("_v").isNotNull(), "_v")))
-    pick_high = F.min(F.when(F.col("_upto") > F.least(high, last), F.struct(F.col("_v").isNotNull(), "_v")))
-    picked = ranked.groupBy(*keys).agg(
-        F.max("n").alias("n"), pick_low.alias("_low"), pick_high.alias("_high")
-    )
-    inside = F.coalesce(F.col("_low.col1") & F.col("_high.col1"), F.lit(False))
-    lower, upper = F.col("_low._v"), F.col("_high._v")
-    result = lower + (upper - lower) * (at - low) if interpolate else lower
-    return picked.select(
-        *keys, "n", F.when(inside, result).otherwise(F.raise_error(F.lit("rank outside its bracket"))).alias(out)
-    )
+    ranked = running_sums(counts, keys, [F.col("_v").asc_nulls_first(), "_out"], {"_upto": F.col("_c")}, group_rows)
+    n, picks = F.col("n"), []
+    for q in qs:
+        at = F.lit(float(q)) * ((n - 1) if interpolate else n)
+        first = lambda rank: F.min(F.when(F.col("_upto") > F.least(rank, n - 1), F.struct("_upto", "_v", "_out")))
+        picks.append(F.struct(F.lit(float(q)).alias("q"), first(F.floor(at)).alias("low"), first(F.ceil(at)).alias("high")))
+    each = ranked.groupBy(*keys).agg(F.max("n").alias("n"), F.array(*picks).alias("_p")).select(*keys, "n", F.inline("_p"))
+    at = F.col("q") * (n - 1)
+    lower, upper = F.col("low._v"), F.col("high._v")
+    result = lower + (upper - lower) * (at - F.floor(at)) if interpolate else lower
+    return each.select(*keys, "q", "n", result.alias("value"), (~F.col("low._out") & ~F.col("high._out")).alias("inside"))

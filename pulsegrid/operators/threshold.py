@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.ordered import attach, order_statistic
+from pulsegrid.operators.ordered import attach, order_statistics
 from pulsegrid.storage import durable
 
 # The grid of theta, in units of 1 / (mean excess of the fit): geometric on both sides of 0.
@@ -43,12 +43,14 @@ def tail_sign(tail: str) -> int:
     return 1 if tail == "upper" else -1
 
 
-def initial_threshold(
-    scores: DataFrame, keys: Sequence[str], score: str, quantile: float, tail: str = "upper", group_rows: int | None = None
+def initial_thresholds(
+    scores: DataFrame, keys: Sequence[str], score: str, quantiles: Sequence[float], tail: str = "upper", group_rows: int | None = None
 ) -> DataFrame:
-    """(n, init) per key: the element at floor(q n) of the sorted scores, q mirrored for a lower tail."""
-    q = quantile if tail_sign(tail) > 0 else 1 - quantile
-    return order_statistic(scores, keys, score, q, "init", group_rows=group_rows)
+    """(keys, quantile, n, init): the element at floor(q n) of the sorted scores, q mirrored for a lower tail; one pass for all quantiles."""
+    mirrored = {float(q if tail_sign(tail) > 0 else 1 - q): float(q) for q in quantiles}
+    found = order_statistics(scores, keys, score, list(mirrored), group_rows=group_rows)
+    asked = F.create_map(*[F.lit(x) for pair in mirrored.items() for x in pair])
+    return found.select(*keys, F.element_at(asked, F.col("q")).alias("quantile"), "n", F.col("value").alias("init"))
 
 
 def quantile_offset(gamma: Column, sigma: Column, n: Column, peaks: Column, risk: Column) -> Column:
@@ -102,50 +104,65 @@ def with_stationary_point(sums: DataFrame, keys: Sequence[str], scale: str = "sc
     )
 
 
-def fit_thresholds(
+def fit_tails(
     scores: DataFrame,
     keys: Sequence[str],
-    score: str = "score",
-    quantile: float = 0.98,
-    risk: float = 1e-3,
+    score: str,
+    quantiles: Sequence[float],
     tail: str = "upper",
     group_rows: int | None = None,
     written: bool = False,
 ) -> DataFrame:
-    """One row per key: n, init, peaks, gamma, sigma, threshold, and the sums a stream starts from.
+    """One row per key and quantile: n, init, peaks, gamma, sigma, and the sums a stream starts from.
 
-    Without peaks the threshold is the initial one. Scores are read several times, so their narrow
-    columns are written once first, unless they are a written table already; so are the few peaks.
+    All quantiles share each pass: a row is repeated for those quantiles only in whose tail it lies. Scores are read several times,
+    so their narrow columns are written once first, unless they are a written table already; so are the few peaks.
     """
-    sign = tail_sign(tail)
+    sign, by = tail_sign(tail), [*keys, "quantile"]
     scores = scores.select(*keys, score)
     if not written:
         scores = durable(scores, "scores")
-    start = durable(initial_threshold(scores, keys, score, quantile, tail, group_rows), "start")
-    y = sign * (F.col(score) - F.col("init"))
-    peaks = durable(attach(scores, start, keys, ["init"]).select(*keys, y.alias("y")).where("y > 0"), "peaks")
-    basics = peaks.groupBy(*keys).agg(F.sum("y").alias("sum_excess"), F.avg("y").alias("scale"))
-    sums = excess_sums(attach(peaks, basics, keys, ["sum_excess", "scale"]), keys)
-    tails = with_stationary_point(sums, keys).groupBy(*keys).agg(
+    start = durable(initial_thresholds(scores, keys, score, quantiles, tail, group_rows), "start")
+    listed = start.groupBy(*keys).agg(F.collect_list(F.struct("quantile", "init")).alias("_q"))
+    beyond = F.filter("_q", lambda x: sign * (F.col(score) - x["init"]) > 0)
+    tails = attach(scores, listed, keys, ["_q"]).select(*keys, score, F.explode(beyond).alias("_q"))
+    peaks = durable(tails.select(*keys, "_q.quantile", (sign * (F.col(score) - F.col("_q.init"))).alias("y")), "peaks")
+    basics = peaks.groupBy(*by).agg(F.sum("y").alias("sum_excess"), F.avg("y").alias("scale"))
+    sums = excess_sums(attach(peaks, basics, by, ["sum_excess", "scale"]), by)
+    tails = with_stationary_point(sums, by).groupBy(*by).agg(
         F.max("peaks").alias("peaks"), F.max("sum_excess").alias("sum_excess"), F.max("scale").alias("scale"),
         F.max("point").alias("_best"), F.array_sort(F.collect_list(F.struct("k", "log_sum", "inv_sum"))).alias("_s"),
     )
-    fitted = attach(start, tails, keys, ["peaks", "sum_excess", "scale", "_best", "_s"])
+    fitted = attach(start, tails, by, ["peaks", "sum_excess", "scale", "_best", "_s"])
     pareto = F.col("_best").isNotNull() & (F.col("_best.fit") > -F.ln("scale"))
     gamma = F.when(pareto, F.greatest(F.lit(-SHAPE_LIMIT), F.least(F.lit(SHAPE_LIMIT), F.col("_best.gamma")))).when(
         F.col("peaks") > 0, F.lit(0.0)
     )
     sigma = F.when(pareto, F.col("_best.sigma")).otherwise(F.col("scale"))
-    out = fitted.withColumns(
-        {"gamma": gamma, "sigma": sigma, "peaks": F.coalesce("peaks", F.lit(0)), "risk": F.lit(float(risk))}
-    )
-    return out.withColumn("threshold", alarm_level(F.col("risk"), sign)).select(
-        *keys, "n", "init", "peaks", "gamma", "sigma", "threshold", "risk", "sum_excess", "scale",
+    return fitted.withColumns({"gamma": gamma, "sigma": sigma, "peaks": F.coalesce("peaks", F.lit(0))}).select(
+        *by, "n", "init", "peaks", "gamma", "sigma", "sum_excess", "scale",
         F.transform("_s", lambda p: p["log_sum"]).alias("log_sums"),
         F.transform("_s", lambda p: p["inv_sum"]).alias("inv_sums"),
     )
 
 
+def fit_thresholds(
+    scores: DataFrame,
+    keys: Sequence[str],
+    score: str = "score",
+    quantile: float = 0.98,
+    risk: float = 1e-3,
+    tail: str = "upper",
+    group_rows: int | None = None,
+    written: bool = False,
+) -> DataFrame:
+    """One row per key: n, init, peaks, gamma, sigma, threshold, and the sums a stream starts from. Without peaks the threshold is the initial one."""
+    fitted = fit_tails(scores, keys, score, [quantile], tail, group_rows, written).withColumn("risk", F.lit(float(risk)))
+    return fitted.withColumn("threshold", alarm_level(F.col("risk"), tail_sign(tail))).select(
+        *keys, "n", "init", "peaks", "gamma", "sigma", "threshold", "risk", "sum_excess", "scale", "log_sums", "inv_sums"
+    )
+
+
 def alarm_level(risk: Column, sign: int = 1) -> Column:
     """Alarm threshold of a fit (n, init, peaks, gamma, sigma) at a risk."""
     offset = quantile_offset(F.col("gamma"), F.col("sigma"), F.col("n"), F.col("peaks"), risk)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import experiments as X
-from pulsegrid.operators.labels import label_points
+from pulsegrid.operators.labels import in_segment, label_points
 from pulsegrid.operators.ordered import positions
 from pulsegrid.plans.base import EV, HALF_DAYS, INTERVALS, SCORES, day, event_scores, intervals, query, r6, rows_in, sql, table
 from pulsegrid.operators.splits import supervised_split
@@ -16,7 +16,8 @@ from pulsegrid.plans.detection import GRID_SQL, fit_sql
 from pulsegrid.plans.labels import WINDOW_LABELS, labelled_windows
 from pulsegrid.storage import durable
 
-QUANTILES, RISKS = (0.9, 0.95, 0.98), (1e-2, 1e-3)
+# Risks at which no threshold of a trial is cut off at its cap.
+QUANTILES, RISKS = (0.9, 0.95, 0.98), (8e-2, 5e-2)
 PARAMS = ["quantile", "risk"]
 
 STREAM = f"""base AS (SELECT * FROM scores WHERE ts < TIMESTAMP '2024-01-01' + INTERVAL {HALF_DAYS} DAY),
@@ -49,22 +50,28 @@ judged AS (SELECT s.metric, f.quantile, f.risk, s.idx, CASE WHEN score > thresho
   FROM stream s JOIN fits f USING (metric) LEFT JOIN segs g ON g.metric = s.metric AND s.idx BETWEEN g.start_idx AND g.end_idx),
 per_seg AS (SELECT metric, quantile, risk, start_idx, sum(alarm) AS alarms FROM judged GROUP BY ALL),
 tot AS (SELECT metric, quantile, risk, count(start_idx) AS segments, count(start_idx) FILTER (WHERE alarms > 0) AS detected, CAST(sum(alarms) AS BIGINT) AS alarms,
-  CAST(coalesce(sum(alarms) FILTER (WHERE start_idx IS NOT NULL), 0) AS BIGINT) AS valid_alarms FROM per_seg GROUP BY ALL),
-pr AS (SELECT *, CASE WHEN alarms > 0 THEN valid_alarms / alarms ELSE 0 END AS p, CASE WHEN segments > 0 THEN detected / segments ELSE 0 END AS r FROM tot),
-trials AS (SELECT metric, quantile, risk, segments, detected, alarms, valid_alarms, round(p, 6) AS segment_precision, round(r, 6) AS segment_recall,
+  CAST(coalesce(sum(alarms) FILTER (WHERE start_idx IS NOT NULL), 0) AS BIGINT) AS valid_alarms FROM per_seg GROUP BY metric, quantile, risk),
+pr AS (SELECT *, CASE WHEN alarms > 0 THEN valid_alarms / alarms ELSE 0 END AS p, CASE WHEN segments > 0 THEN detected / segments ELSE 0 END AS r FROM tot JOIN fits USING (metric, quantile, risk)),
+trials AS (SELECT metric, quantile, risk, round(threshold, 5) AS threshold, segments, detected, alarms, valid_alarms, round(p, 6) AS segment_precision, round(r, 6) AS segment_recall,
   round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS segment_f1 FROM pr)"""
 
 TRIAL_SQL = [EV, INTERVALS, SCORES, STREAM, GRID_SQL, _fits(), TRIALS]
 
 
-def _trials(spark, sf, quantiles=QUANTILES, risks=RISKS):
+def _trials(spark, sf, grid=None):
+    if grid is None:
+        grid = X.parameter_grid(spark, {"quantile": QUANTILES, "risk": RISKS})
     rows = rows_in(spark, sf, "events")
     scores = durable(event_scores(spark, sf), "scores")
     stream = label_points(scores.where(F.col("ts") >= day(HALF_DAYS)), intervals(spark, sf), group_rows=rows)
     placed = positions(stream, ["metric"], ["ts", "event_id"], "idx", rows)
-    out = X.threshold_trials(scores.where(F.col("ts") < day(HALF_DAYS)), placed, quantiles, risks, ["metric"], group_rows=rows)
-    rounded = {c: r6(c) for c in ("segment_precision", "segment_recall", "segment_f1")}
-    return out.withColumns(rounded).drop("meets_target")
+    out = X.threshold_trials(scores.where(F.col("ts") < day(HALF_DAYS)), placed, grid, ["metric"], group_rows=rows)
+    return _rounded(out)
+
+
+def _rounded(rated):
+    shares = {c: r6(c) for c in ("segment_precision", "segment_recall", "segment_f1")}
+    return rated.withColumns(shares | {"threshold": F.round("threshold", 5)}).drop("meets_target")
 
 
 @query("trial_grid", sql(*TRIAL_SQL, body="SELECT * FROM trials"))
@@ -83,10 +90,25 @@ def best_trial(spark, sf):
 
 @query(
     "threshold_sensitivity",
-    sql(*TRIAL_SQL, body="SELECT metric, quantile, alarms, segment_f1 FROM trials WHERE risk = 0.01"),
+    sql(*TRIAL_SQL, body="SELECT metric, quantile, alarms, segment_f1 FROM trials WHERE risk = 0.05"),
 )
 def threshold_sensitivity(spark, sf):
-    return _trials(spark, sf, risks=(1e-2,)).select("metric", "quantile", "alarms", "segment_f1")
+    grid = X.parameter_grid(spark, {"quantile": QUANTILES, "risk": 5e-2})
+    return _trials(spark, sf, grid).select("metric", "quantile", "alarms", "segment_f1")
+
+
+SAMPLED, SAMPLE_SEED = 4, 7
+
+
+@query(
+    "sampled_trials",
+    sql(*TRIAL_SQL, f"""sampled AS (SELECT quantile, risk FROM (SELECT DISTINCT quantile, risk FROM fits)
+  ORDER BY md5('{SAMPLE_SEED}:' || quantile || ':' || risk), quantile, risk LIMIT {SAMPLED})""", body="SELECT * FROM trials JOIN sampled USING (quantile, risk)"),
+)
+def sampled_trials(spark, sf):
+    """The trials of a random part of the parameter grid."""
+    grid = X.parameter_grid(spark, {"quantile": QUANTILES, "risk": RISKS})
+    return _trials(spark, sf, X.sample_grid(grid, SAMPLED, SAMPLE_SEED))
 
 
 @query(
@@ -131,17 +153,20 @@ def latest_version(spark, sf):
     return X.latest_version(rows)
 
 
-SWEEP_CONFIGS = (("wide", 0.9, 1e-2, 0.8), ("narrow", 0.98, 1e-3, 0.6), ("broken", 1.5, 1e-3, 0.8))
+SWEEP_CONFIGS = (("wide", 0.9, 8e-2, 0.8), ("narrow", 0.98, 5e-2, 0.6), ("broken", 1.5, 1e-3, 0.8))
 SWEEP_SEEDS = (1, 2)
 
 
-@query(
-    "config_sweep",
-    sql(EV, INTERVALS, MARKS, WINDOW_LABELS, f"""jobs(config, seed, train_ratio) AS (SELECT c, s, r FROM (VALUES ('wide', 0.8::DOUBLE), ('narrow', 0.6::DOUBLE)) a(c, r), (VALUES (1), (2)) b(s)),
+SPLITS = f"""jobs(config, seed, train_ratio, quantile, risk) AS (SELECT c, s, r, q, k FROM (VALUES {", ".join(f"('{c}', {r}::DOUBLE, {q}::DOUBLE, {k}::DOUBLE)" for c, q, k, r in SWEEP_CONFIGS[:2])}) a(c, r, q, k), (VALUES (1), (2)) b(s)),
 u AS (SELECT config, seed, label, train_ratio, row_number() OVER (PARTITION BY config, seed, label ORDER BY md5(seed || ':' || win_id), win_id) - 1 AS r,
   count(*) OVER (PARTITION BY config, seed, label) AS n, win_id FROM win, jobs WHERE label IN (0, 1)),
 v AS (SELECT *, CASE WHEN label = 0 THEN floor(n * train_ratio) ELSE 0 END AS train FROM u),
-w AS (SELECT config, seed, win_id, CASE WHEN r < train THEN 'train' WHEN r - train < floor((n - train) * 0.2::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM v)""",
+w AS (SELECT config, seed, win_id, CASE WHEN r < train THEN 'train' WHEN r - train < floor((n - train) * 0.2::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM v)"""
+
+
+@query(
+    "config_sweep",
+    sql(EV, INTERVALS, MARKS, WINDOW_LABELS, SPLITS,
         body="""SELECT config, seed, count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'val') AS val,
   count(*) FILTER (WHERE split = 'test') AS test, CAST(sum(win_id) FILTER (WHERE split = 'val') AS BIGINT) AS val_ids, NULL AS error FROM w GROUP BY 1, 2
 UNION ALL SELECT 'broken', s, NULL, NULL, NULL, NULL, 'quantile outside 0..1' FROM (VALUES (1), (2)) b(s)"""),
@@ -178,15 +203,43 @@ def scored_windows(spark, sf):
     return labelled_windows(spark, sf).select("win_id", "label").join(scores, "win_id")
 
 
-@query("config_sweep_trials")
+def _sweep_fit_sql() -> str:
+    """Thresholds of the valid configs on their train windows."""
+    parts = []
+    for config, quantile, risk, _ in SWEEP_CONFIGS[:2]:
+        parts.append(f"{config}_train AS (SELECT config, seed, score FROM w JOIN scored USING (win_id) WHERE split = 'train' AND config = '{config}' AND score IS NOT NULL)")
+        parts.append(fit_sql(f"{config}_train", quantile, f"{risk}::DOUBLE", keys="config, seed", prefix=f"{config}_"))
+    union = " UNION ALL ".join(f"SELECT config, seed, threshold FROM {c}_fit" for c, *_ in SWEEP_CONFIGS[:2])
+    return ",\n".join([*parts, f"fitted AS ({union})"])
+
+
+SWEEP_SCORES = f"""hours AS (SELECT date_trunc('hour', ts) AS ts, max(score) AS score FROM scores GROUP BY 1),
+scored AS (SELECT win_id, score FROM (SELECT row_number() OVER (ORDER BY ts) - 1 AS win_id, max(score) OVER f AS score, count(*) OVER f AS n
+  FROM marks LEFT JOIN hours USING (ts) WINDOW f AS (ORDER BY ts ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)) WHERE n = {WINDOW})"""
+SWEEP_TRIALS = """opened AS (SELECT win_id, label, CASE WHEN label = 1 AND lag(label, 1, 0) OVER (ORDER BY win_id) = 0 THEN 1 ELSE 0 END AS opens FROM win WHERE label IN (0, 1)),
+seg AS (SELECT win_id, CASE WHEN label = 1 THEN sum(opens) OVER (ORDER BY win_id) END AS segment FROM opened),
+hits AS (SELECT config, seed, segment, threshold, CASE WHEN score > threshold THEN 1 ELSE 0 END AS alarm
+  FROM w JOIN scored USING (win_id) JOIN seg USING (win_id) JOIN fitted USING (config, seed) WHERE split = 'test'),
+per AS (SELECT config, seed, threshold, segment, sum(alarm) AS alarms FROM hits GROUP BY ALL),
+tot AS (SELECT config, seed, threshold, count(segment) AS segments, count(segment) FILTER (WHERE alarms > 0) AS detected, CAST(sum(alarms) AS BIGINT) AS alarms,
+  CAST(coalesce(sum(alarms) FILTER (WHERE segment IS NOT NULL), 0) AS BIGINT) AS valid_alarms FROM per GROUP BY config, seed, threshold),
+pr AS (SELECT *, CASE WHEN alarms > 0 THEN valid_alarms / alarms ELSE 0 END AS p, CASE WHEN segments > 0 THEN detected / segments ELSE 0 END AS r FROM tot)"""
+
+
+@query(
+    "config_sweep_trials",
+    sql(EV, INTERVALS, SCORES, MARKS, WINDOW_LABELS, SPLITS, GRID_SQL, SWEEP_SCORES, _sweep_fit_sql(), SWEEP_TRIALS,
+        body="""SELECT config, seed, quantile, risk, round(threshold, 5) AS threshold, segments, detected, alarms, valid_alarms, round(p, 6) AS segment_precision, round(r, 6) AS segment_recall,
+  round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS segment_f1, NULL AS error FROM pr JOIN jobs USING (config, seed)
+UNION ALL SELECT 'broken', s, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'quantile outside 0..1' FROM (VALUES (1), (2)) b(s)"""),
+)
 def config_sweep_trials(spark, sf):
     """Every (config, seed) splits the windows, fits its threshold on train and is rated on test; an invalid config is recorded."""
-    windows, configs = durable(scored_windows(spark, sf), "windows"), _sweep_configs(spark)
+    rows = rows_in(spark, sf, "events")
+    windows = durable(in_segment(scored_windows(spark, sf), [], "win_id", group_rows=rows), "windows")
 
-    def run(rows):
-        split = _split_by_config(spark, sf, rows)
-        group_rows = len(SWEEP_CONFIGS) * len(SWEEP_SEEDS) * rows_in(spark, sf, "events")
-        rated = X.split_trials(split, configs.where("error is null"), ["config", "seed"], ["win_id"], group_rows=group_rows)
-        return rated.withColumns({c: r6(c) for c in ("segment_precision", "segment_recall", "segment_f1")}).drop("meets_target")
+    def run(jobs):
+        split = _split_by_config(spark, sf, jobs)
+        return _rounded(X.split_trials(split, ["config", "seed"], ["win_id"], group_rows=len(SWEEP_CONFIGS) * len(SWEEP_SEEDS) * rows))
 
-    return X.sweep(windows, configs, SWEEP_SEEDS, run)
+    return X.sweep(windows, _sweep_configs(spark), SWEEP_SEEDS, run)

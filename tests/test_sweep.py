@@ -22,7 +22,7 @@ def test_thresholds_are_those_of_the_config(spark):
         rows += [(config, 1, quantile, risk, "train", i, 0, float(i)) for i in range(100)]
         rows += [(config, 1, quantile, risk, "test", 200 + i, label, s) for i, (label, s) in enumerate([(0, 1.0), (1, 80.0), (1, 2.0), (0, 70.0), (0, 3.0), (1, 500.0)])]
     df = spark.createDataFrame(rows, "config string, seed int, quantile double, risk double, split string, win_id int, label int, score double")
-    got = {r.config: (r.segments, r.detected, r.alarms, r.valid_alarms) for r in X.split_trials(df, df, KEYS, ["win_id"]).collect()}
+    got = {r.config: (r.segments, r.detected, r.alarms, r.valid_alarms) for r in X.split_trials(df, KEYS, ["win_id"]).collect()}
     assert got == {"low": (2, 2, 3, 2), "high": (2, 1, 1, 1)}
 
 
