@@ -21,7 +21,7 @@ _MARK = "\u0001"
 
 def stripped(line: Column) -> Column:
     """The line without white space at either end, as records are compared."""
-    return F.regexp_replace(line, r"^\s+|\s+$", "")
+    return F.btrim(line, F.lit(" \t\n\u000b\f\r"))
 
 
 def is_log_line(line: Column) -> Column:

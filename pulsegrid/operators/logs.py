@@ -7,14 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.logtext import LOG_FIELDS, WILDCARD, is_log_line, log_fields, mask_variables, stripped
+from pulsegrid.functions.logtext import LOG_FIELDS, is_log_line, log_fields, mask_variables, stripped
 from pulsegrid.operators.ordered import positions
 from pulsegrid.operators.timegrid import floor_time
 from pulsegrid.operators.windows import pad_list, sliding_windows
 from pulsegrid.storage import durable
 
-SIMILARITY = 0.5
-
 
 def parse_logs(lines: DataFrame, line: str = "value") -> DataFrame:
     """Fields of every line in log format, white space at its ends apart; other lines are dropped."""
@@ -32,49 +30,6 @@ def conformance(lines: DataFrame, line: str = "value") -> DataFrame:
     ).withColumn("share", F.when(F.col("lines") > 0, F.col("matched") / F.col("lines")).otherwise(0.0))
 
 
-def mine_templates(messages: DataFrame, message: str = "message", similarity: float = SIMILARITY) -> DataFrame:
-    """Map from masked message form to template: (form, n, leader, template).
-
-    Variable parts are masked and equal forms counted. Forms with the same number of words and the
-    same first word are then grouped around leaders: in every round the most frequent form of each
-    such bucket that has no leader yet becomes one and takes all forms whose words agree with it in
-    at least ``similarity`` of the positions. A round compares each form with one leader only. Where
-    the members of a group differ, the template has a wildcard.
-    """
-    forms = (
-        messages.where(F.length(message) > 0)
-        .groupBy(mask_variables(F.col(message)).alias("form"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("words", F.split("form", r"\s+"))
-        .withColumn("size", F.size("words"))
-        .withColumn("head", F.col("words")[0])
-    )
-    left, grouped = durable(forms, "forms"), None
-    while not left.isEmpty():
-        leaders = left.groupBy("size", "head").agg(
-            F.max(F.struct("n", "form", "words")).alias("lead")
-        ).select("size", "head", F.col("lead.form").alias("leader"), F.col("lead.words").alias("leader_words"))
-        agree = F.aggregate(
-            F.zip_with("words", "leader_words", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x
-        )
-        compared = durable(
-            left.join(leaders, ["size", "head"]).withColumn("near", agree >= F.lit(similarity) * F.col("size")), "round"
-        )
-        taken = compared.where("near").select("form", "n", "words", "leader")
-        grouped = taken if grouped is None else grouped.unionByName(taken)
-        left = compared.where("not near").select(*left.columns)
-    if grouped is None:
-        return forms.select("form", "n", F.col("form").alias("leader"), F.col("form").alias("template"))
-    positions_ = grouped.select("leader", F.posexplode("words").alias("at", "word"))
-    same = positions_.groupBy("leader", "at").agg(
-        F.when(F.min("word") == F.max("word"), F.min("word")).otherwise(F.lit(WILDCARD)).alias("word")
-    )
-    templates = same.groupBy("leader").agg(
-        F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda w: w["word"])).alias("template")
-    )
-    return grouped.join(templates, "leader").select("form", "n", "leader", "template")
-
-
 def with_template(messages: DataFrame, mined: DataFrame, message: str = "message") -> DataFrame:
     """Messages with the template that their form belongs to."""
     mined = durable(mined.select("form", "template"), "templates")

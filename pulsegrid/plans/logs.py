@@ -9,6 +9,7 @@ from pulsegrid.operators import logs as G
 from pulsegrid.operators import traces as T
 from pulsegrid.operators.ordered import positions
 from pulsegrid.operators.reconstruct import apply_standard, fit_standard, pivot_first
+from pulsegrid.operators.templates import SIMILARITY, mine_templates
 from pulsegrid.operators.timegrid import floor_time
 from pulsegrid.plans.base import (
     EV, LINES, METRICS, PARSED, TEMPLATED, event_lines, events, query, r6, rows_in, sql, table,
@@ -88,9 +89,23 @@ def _messages(spark, sf):
     return G.parse_logs(event_lines(spark, sf)).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "message")
 
 
-@query("log_template_merge")
+LEADERS = f"""formed AS (SELECT form, n, string_split_regex(form, '\\s+') AS words FROM (SELECT template AS form, count(*) AS n FROM templated WHERE length(message) > 0 GROUP BY 1)),
+leaf AS (SELECT len(words) AS size, words[1] AS head, list([{{'form': form, 'words': words}}] ORDER BY n DESC, form DESC) AS listed FROM formed GROUP BY 1, 2),
+lead AS (SELECT size, head, list_reduce(listed, lambda acc, x: CASE WHEN len(list_filter(acc, lambda l:
+    list_sum(list_transform(list_zip(l.words, x[1].words), lambda p: CAST(p[1] = p[2] AS INT))) >= {SIMILARITY} * size)) = 0 THEN list_concat(acc, x) ELSE acc END) AS leaders FROM leaf),
+joined AS (SELECT form, n, words, list_filter(leaders, lambda l: list_sum(list_transform(list_zip(l.words, f.words), lambda p: CAST(p[1] = p[2] AS INT))) >= {SIMILARITY} * size)[1].form AS leader
+  FROM formed f JOIN lead ON len(words) = size AND words[1] = head),
+spread AS (SELECT leader, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM joined),
+merged AS (SELECT leader, string_agg(word, ' ' ORDER BY pos) AS template FROM (
+  SELECT leader, pos, CASE WHEN min(word) = max(word) THEN min(word) ELSE '<*>' END AS word FROM spread GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(
+    "log_template_merge",
+    sql(EV, LINES, PARSED, TEMPLATED, LEADERS, body="SELECT template, count(*) AS forms, CAST(sum(n) AS BIGINT) AS n FROM joined JOIN merged USING (leader) GROUP BY template"),
+)
 def log_template_merge(spark, sf):
-    mined = G.mine_templates(_messages(spark, sf))
+    mined = mine_templates(_messages(spark, sf))
     return mined.groupBy("template").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("n"))
 
 

@@ -119,34 +119,6 @@ def test_time_ranges(spark):
     assert short["range_stop"] == datetime(2024, 1, 1, 0, 7)
 
 
-def brute_templates(messages):
-    """The leader rule on a list: most frequent form first, ties to the larger text."""
-    import re
-    from collections import Counter
-
-    from pulsegrid.functions.logtext import VARIABLE_PARTS
-
-    left = Counter(re.sub(VARIABLE_PARTS, "<*>", m) for m in messages)
-    out = {}
-    while left:
-        lead = max(left, key=lambda f: (left[f], f))
-        words = lead.split()
-        near = [f for f in left if len(f.split()) == len(words) and f.split()[0] == words[0] and 2 * sum(a == b for a, b in zip(f.split(), words)) >= len(words)]
-        template = " ".join(a[0] if len(set(a)) == 1 else "<*>" for a in zip(*[f.split() for f in near]))
-        out[template] = out.get(template, 0) + sum(left.pop(f) for f in near)
-    return out
-
-
-def test_template_mining_equals_brute_force(spark):
-    messages = [f"user {n} logged in from {h}" for n in "abcdefg" for h in ("paris", "rome")] * 2
-    messages += [f"disk {i} is full" for i in range(9)] + ["disk cache was cleared", "user gone", "job x done", "job y failed"]
-    df = spark.createDataFrame([(m,) for m in messages], "message string")
-    mined = logs.mine_templates(df)
-    got = {r["template"]: r["n"] for r in mined.groupBy("template").agg(F.sum("n").alias("n")).collect()}
-    assert got == brute_templates(messages)
-    assert logs.with_template(df, mined).where("template is null").count() == 0
-
-
 def test_splits(spark, small_groups):
     df = spark.range(200).select("id", F.when(F.col("id") % 4 == 0, 1).when(F.col("id") % 4 == 1, -1).otherwise(0).alias("label"))
     got = splits.supervised_split(df, ["id"])
