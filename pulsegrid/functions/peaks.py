@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -130,18 +129,40 @@ def run_plain(state: PeakState, scores: np.ndarray, update_with_alarm: bool = Fa
     return status, thresholds
 
 
+# Rows looked at together by ``run_drift``: after an alarm few, then twice as many each time.
+LEAST_BLOCK, MOST_BLOCK = 16, 4096
+
+
 def run_drift(state: PeakState, scores: np.ndarray, update_with_alarm: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The same on scores minus the mean of the last accepted ones; an alarm does not enter that mean."""
-    status = np.zeros(scores.size, dtype=np.int32)
-    thresholds = np.empty(scores.size)
-    recent = deque(state.recent, maxlen=max(len(state.recent), 1))
-    for i, score in enumerate(scores.tolist()):
-        mean = sum(recent) / len(recent) if recent else 0.0
-        if state.sign * (score - mean - state.init) > 0:
-            status[i] = _judge(state, score - mean, update_with_alarm)
-        thresholds[i] = state.threshold + mean
-        if status[i] != ALARM:
-            state.accepted += 1
-            recent.append(score)
-    state.recent = tuple(recent)
+    """The same on scores minus the mean of the last accepted ones; an alarm does not enter that mean.
+
+    Up to the next alarm every row is accepted, so the means of a block of rows are known at once and only candidates need a step. An
+    alarm changes the means after it: the next block starts there. A row's mean is summed from its own window alone, so it is the same
+    however rows are cut into calls.
+    """
+    n, depth = scores.size, max(len(state.recent), 1)
+    status, thresholds = np.zeros(n, dtype=np.int32), np.empty(n)
+    window, at, size = np.array(state.recent, dtype=float), 0, LEAST_BLOCK
+    while at < n:
+        full = window.size == depth
+        block = scores[at : at + (size if full else 1)]
+        line = np.concatenate([window, block])
+        means = np.lib.stride_tricks.sliding_window_view(line[:-1], depth).sum(axis=1) / depth if full else np.zeros(1)
+        accepted, done, alarmed = state.accepted, 0, False
+        for i in np.flatnonzero(state.sign * (block - means - state.init) > 0).tolist():
+            thresholds[at + done : at + i] = state.threshold + means[done:i]
+            state.accepted = accepted + i
+            status[at + i] = _judge(state, float(block[i] - means[i]), update_with_alarm)
+            thresholds[at + i] = state.threshold + means[i]
+            done = i + 1
+            if status[at + i] == ALARM:
+                alarmed = True
+                break
+        if alarmed:
+            window, at, size = line[done - 1 : done - 1 + window.size], at + done, LEAST_BLOCK
+        else:
+            thresholds[at + done : at + block.size] = state.threshold + means[done:]
+            state.accepted = accepted + block.size
+            window, at, size = line[-depth:], at + block.size, min(2 * size, MOST_BLOCK)
+    state.recent = tuple(window.tolist())
     return status, thresholds

@@ -3,15 +3,18 @@
 The detector's state after a row depends on all rows before it, yet only through counts, sums over
 peaks and a short list of recent scores. A series of moderate size goes through one task. A large
 one is split into runs that all work at once, each from an assumed state; then the true states follow
-by adding up what the runs changed, and runs repeat until no assumed state differs from the true one.
-At that point every run started from the state its predecessors leave, so the outcome is that of the
-sequential pass. Each round settles at least one more run, in practice nearly all of them at once.
+by adding up what the runs changed, and those runs repeat whose assumed state differs from the true one.
+When there is none, every run started from the state its predecessors leave, so the outcome is that of
+the sequential pass. In practice nearly all runs agree at once. A series in which many do not, since each
+run's outcome turns on the one before, is finished after ``ROUNDS`` rounds by one pass in order over the
+runs from the first that differs: a stream of batches with one state, so the work stays linear in rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,6 +28,9 @@ from pulsegrid.operators.scoring import detrend
 from pulsegrid.operators.threshold import GRID_SIZE, fit_thresholds, tail_sign
 from pulsegrid.storage import durable
 
+#: Rounds in which all runs that differ work at once, before the rest is passed in order.
+ROUNDS = 2
+
 STATUS_NAMES = ("NORMAL", "ABNORMAL", "ALARM")
 
 STATE_FIELDS = [
@@ -225,17 +231,54 @@ def _settle(
     assumed = durable(
         counted.join(states, list(keys)).withColumn("accepted", F.col("_before")).select(*settled_schema.names), "states"
     )
-    while True:
-        made = runs.groupBy(*by_run).cogroup(_renewed(assumed).groupBy(*by_run)).applyInPandas(changes, change)
+    fields = ["scale", "accepted", "total", "peaks", "sum_excess", "logs", "invs", "recent"]
+    same = reduce(lambda x, y: x & y, [F.col(f"t.{f}").eqNullSafe(F.col(f"a.{f}")) for f in fields])
+    made, differ = None, assumed
+    for _ in range(ROUNDS):
+        again = runs.join(differ.select(*by_run), by_run, "left_semi")
+        fresh = again.groupBy(*by_run).cogroup(_renewed(differ).groupBy(*by_run)).applyInPandas(changes, change)
+        made = durable(fresh if made is None else fresh.unionByName(made.join(differ.select(*by_run), by_run, "left_anti")), "changes")
         true = durable(made.groupBy(*keys).cogroup(_renewed(states).groupBy(*keys)).applyInPandas(chain, settled_schema), "states")
-        compared = true.alias("t").join(assumed.alias("a"), by_run)
-        fields = ["scale", "accepted", "total", "peaks", "sum_excess", "logs", "invs", "recent"]
-        same = F.lit(True)
-        for name in fields:
-            same = same & F.col(f"t.{name}").eqNullSafe(F.col(f"a.{name}"))
-        if compared.where(~same).isEmpty():
+        differ = durable(true.alias("t").join(assumed.alias("a"), by_run).where(~same).select("t.*"), "differ")
+        if differ.isEmpty():
             return true
         assumed = true
+    first = durable(differ.groupBy(*keys).agg(F.min(RUN).alias("_from")), "first")
+    true = true.join(first, list(keys), "left")
+    known = true.where(f"_from is null or {RUN} < _from").select(*settled_schema.names)
+    starts = true.where(f"{RUN} = _from").select(*settled_schema.names)
+    rest = runs.join(first, list(keys)).where(F.col(RUN) >= F.col("_from")).select(*keys, RUN, *order, score)
+    return durable(known.unionByName(_in_order(rest, starts, keys, order, score, depth, update_with_alarm, settled_schema)), "states")
+
+
+def _in_order(
+    rest: DataFrame, starts: DataFrame, keys: Sequence[str], order: Sequence[str], score: str, depth: int, update_with_alarm: bool, schema: T.StructType
+) -> DataFrame:
+    """The state in which every run of ``rest`` begins, by one pass in order per key; ``starts`` has that of its first run.
+
+    A task holds one batch of rows and one state. The start states travel as rows before the first row of their key.
+    """
+    state_names = [f.name for f in STATE_FIELDS]
+    start = starts.select(*keys, (F.col(RUN) - 1).alias(RUN), F.struct(*state_names).alias("_start"))
+    line = rest.unionByName(start, allowMissingColumns=True).repartition(*keys).sortWithinPartitions(*keys, RUN, *order)
+
+    def states_of_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, run, found = None, None, []
+        for batch in batches:
+            for number, part in batch.groupby(RUN, sort=False):
+                if run is not None and number < run:
+                    raise ValueError("rows of a key are out of order")
+                if state is None:
+                    state, run = state_from_row(part["_start"].iloc[0]), number
+                    continue
+                if number != run:
+                    found.append(tuple(part[k].iloc[0] for k in keys) + (int(number),) + state_to_tuple(state))
+                    run = number
+                _runner(depth)(state, part[score].to_numpy(dtype=float), update_with_alarm)
+            yield pd.DataFrame(found, columns=schema.names)
+            found = []
+
+    return line.groupBy(*keys).applyInPandas(states_of_runs, schema)
 
 
 def trace_summary(detected: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -1,9 +1,12 @@
 """Threshold fits and the sequential detector against a twin that keeps every peak."""
 
+from collections import deque
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pulsegrid.functions import peaks
 from pulsegrid.functions.peaks import ALARM, GRID, run_drift, run_plain
 from pulsegrid.operators import alerts as A
 from pulsegrid.operators import spot
@@ -148,3 +151,62 @@ def test_alerts_equal_brute_force(spark, size, persistence, pause):
     finally:
         spark.conf.unset("spark.pulsegrid.maxGroupRows")
     assert got == brute_alerts(values >= 40, persistence, pause)
+
+
+def climbing(spark):
+    """Scores that climb by steps: what a run accepts decides whether the next one alarms, so assumed states stay wrong."""
+    rng = np.random.default_rng(11)
+    base = rng.exponential(size=200) + 1
+    live = rng.exponential(size=900) * np.linspace(1, 6, 900) + 1
+    rows = [("s", i, float(v)) for i, v in enumerate(np.r_[base, live])]
+    return spark.createDataFrame(rows, "series string, idx long, score double")
+
+
+@pytest.mark.parametrize("depth", [0, 5])
+def test_work_stays_linear_when_runs_depend_on_each_other(spark, monkeypatch, depth):
+    df = climbing(spark)
+    whole = found(spark, df, depth)
+    written, ordered_passes = [], []
+    monkeypatch.setattr(spot, "durable", lambda df, name="cut", real=spot.durable: written.append(name) or real(df, name))
+    monkeypatch.setattr(spot, "_in_order", lambda *a, real=spot._in_order: ordered_passes.append(1) or real(*a))
+    spark.conf.set("spark.pulsegrid.maxGroupRows", "60")
+    try:
+        parts = found(spark, df, depth)
+    finally:
+        spark.conf.unset("spark.pulsegrid.maxGroupRows")
+    assert [a[0] for a in whole] == [b[0] for b in parts]
+    assert np.allclose([a[1] for a in whole], [b[1] for b in parts], atol=1e-9)
+    assert {"ALARM", "ABNORMAL"} <= {a[0] for a in whole}
+    # Some 30 runs, each of which would take a round of its own; two rounds and one pass in order instead.
+    assert ordered_passes == [1] and written.count("changes") == spot.ROUNDS
+
+
+def plain_drift(state, scores, update_with_alarm=False):
+    """The drift detector row by row."""
+    status, thresholds, recent = [], [], deque(state.recent, maxlen=max(len(state.recent), 1))
+    for score in scores.tolist():
+        mean = sum(recent) / len(recent) if recent else 0.0
+        alarm = 0
+        if state.sign * (score - mean - state.init) > 0:
+            alarm = peaks._judge(state, score - mean, update_with_alarm)
+        status.append(alarm)
+        thresholds.append(state.threshold + mean)
+        if alarm != peaks.ALARM:
+            state.accepted += 1
+            recent.append(score)
+    return status, thresholds, list(recent)
+
+
+@pytest.mark.parametrize("depth", [0, 1, 7, 30])
+@pytest.mark.parametrize("cuts", [[], [1, 2, 500], list(range(50, 1000, 50))])
+@pytest.mark.parametrize("update_with_alarm", [False, True])
+def test_drift_jumps_equal_row_by_row(depth, cuts, update_with_alarm):
+    rng = np.random.default_rng(depth)
+    scores = rng.exponential(size=1000) * np.where(np.arange(1000) % 97 < 5, 6, 1)
+    start = lambda: peaks.PeakState(init=1.5, sign=1, risk=1e-2, baseline=100, threshold=2.5, total=100, recent=tuple([1.0] * depth))
+    want_state, state = start(), start()
+    want = plain_drift(want_state, scores, update_with_alarm)
+    got = [peaks.run_drift(state, part, update_with_alarm) for part in np.split(scores, cuts)]
+    assert np.concatenate([g[0] for g in got]).tolist() == want[0] and {0, 1, 2} <= set(want[0])
+    assert np.allclose(np.concatenate([g[1] for g in got]), want[1], rtol=1e-9)
+    assert np.allclose(state.recent, want[2]) and state.accepted == want_state.accepted and state.total == want_state.total
