@@ -148,7 +148,8 @@ def manifest(docs: DataFrame, second: Column | None = None) -> DataFrame:
     leaves = docs.select(
         "doc_id", tree.alias("tree"), leaf_digest().alias("digest"), (second if second is not None else F.lit(None).cast("string")).alias("second"), F.monotonically_increasing_id().alias("_tie")
     )
-    placed = ranked(leaves, "tree", ["doc_id", "digest", "_tie"]).drop("_tie")
+    # Written first: a range partitioning reads its input twice, and texts should be hashed once.
+    placed = ranked(durable(leaves, "leaves"), "tree", ["doc_id", "digest", "_tie"]).drop("_tie")
     bands = build(placed, ["doc_id", "second"])
     members = roots(bands).select(F.lit("").alias("tree"), F.col("tree").alias("member"), "digest")
     crown_bands = build(ranked(members, "tree", ["member"]), ["member"])

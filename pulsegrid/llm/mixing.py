@@ -80,7 +80,8 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: int = SEED) -> Data
     key = key.otherwise(F.struct(F.lit(0).alias("last"), F.col("source").cast("string").alias("name")))
     drawn = sampling_key(seed, F.col("doc_id"), F.col("text"), weight if weight is not None else quality_weight(F.col("text")))
     rows = docs.select("doc_id", "source", key.alias("key"), n_words(F.col("text")).alias("size"), drawn.alias("sample_key"), F.monotonically_increasing_id().alias("_tie"))
-    placed = durable(summed_before(rows, "key", ["sample_key", "doc_id", "_tie"], "size", "_upto"), "keys")
+    # Written first: a range partitioning reads its input twice, and texts should be measured once.
+    placed = durable(summed_before(durable(rows, "rows"), "key", ["sample_key", "doc_id", "_tie"], "size", "_upto"), "keys")
     targets = durable(source_targets(durable(placed.groupBy("key").agg(F.sum("size").alias("source_size")), "sizes")), "targets")
     mixed = attach(placed, targets, ["key"], ["source_size", "target"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
