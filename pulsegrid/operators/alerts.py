@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.operators.ordered import RUN, split_runs
+from pulsegrid.operators.ordered import RUN, row_frames, running_sums, split_runs
 
 
 @dataclass(frozen=True)
@@ -80,9 +80,15 @@ def _all_states(persistence: int, pause: int) -> list[tuple[int, int]]:
 
 
 def alerts(
-    crossed: DataFrame, keys: Sequence[str], order: Sequence[str], group_rows: int | None = None
+    crossed: DataFrame, keys: Sequence[str], order: Sequence[str], group_rows: int | None = None, keep_ms: int | None = None, ts: str = "ts"
 ) -> DataFrame:
-    """The rows that fire. ``keys`` name the series; the rule's state is added to them."""
+    """The rows that fire. ``keys`` name the series; the rule's state is added to them.
+
+    With ``keep_ms`` a series starts anew after a longer gap in ``ts``: what lies between two such gaps is a series of its own.
+    """
+    if keep_ms:
+        parts = _between_gaps(crossed, [*keys, "state"], order, keep_ms, ts, group_rows)
+        return alerts(parts, [*keys, "_part"], order, group_rows).drop("_part")
     keys = [*keys, "state"]
     runs = split_runs(crossed, keys, order, group_rows)
     if runs is None:
@@ -115,6 +121,16 @@ def alerts(
     return rows.groupBy(*by).cogroup(starts.groupBy(*by)).applyInPandas(from_start, schema).drop("crossed", RUN)
 
 
+def _between_gaps(rows: DataFrame, keys: Sequence[str], order: Sequence[str], keep_ms: int, ts: str, group_rows: int | None) -> DataFrame:
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+
+    def opens(df: DataFrame, w) -> DataFrame:
+        return df.withColumn("_opens", F.coalesce(at - F.lag(at).over(w) > keep_ms * 1000, F.lit(False)).cast("int"))
+
+    marked = row_frames(rows, keys, order, 1, 0, opens, group_rows)
+    return running_sums(marked, keys, order, {"_part": F.col("_opens")}, group_rows).drop("_opens")
+
+
 def _run_starts(runs: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """State before the first row of every run."""
     key_fields = [runs.schema[k] for k in keys]

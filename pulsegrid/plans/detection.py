@@ -274,20 +274,30 @@ RULES = (
     A.AlertRule("view", "low", "WARN", -15.0, 3, 4),
 )
 
-ALERT_SQL = recursive_sql(
-    EV,
-    "rules(metric, state, level, threshold, persistence, pause) AS (VALUES "
-    + ", ".join(f"('{r.metric}', '{r.state}', '{r.level}', {r.threshold}, {r.persistence_steps}, {r.cooldown_steps})" for r in RULES) + ")",
-    """x AS (SELECT event_id, user_id % 10 AS service, e.metric, r.state, r.level, persistence, pause,
+def alert_sql(keep_seconds: int | None = None) -> str:
+    """Alerts per (service, metric, rule); with ``keep_seconds`` a longer gap ends a series, and the next row begins another."""
+    part = "0" if keep_seconds is None else (
+        f"count(*) FILTER (WHERE gap > {keep_seconds * 1_000_000}) OVER (PARTITION BY service, metric, state ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"
+    )
+    return recursive_sql(
+        EV,
+        "rules(metric, state, level, threshold, persistence, pause) AS (VALUES "
+        + ", ".join(f"('{r.metric}', '{r.state}', '{r.level}', {r.threshold}, {r.persistence_steps}, {r.cooldown_steps})" for r in RULES) + ")",
+        """g AS (SELECT event_id, ts, user_id % 10 AS service, e.metric, r.state, r.level, persistence, pause,
     CASE WHEN threshold < 0 THEN -value >= threshold ELSE value >= threshold END AS crossed,
-    row_number() OVER (PARTITION BY user_id % 10, e.metric, r.state ORDER BY ts, event_id) AS rn FROM ev e JOIN rules r USING (metric))""",
-    """rec AS (SELECT DISTINCT service, metric, state, 0::BIGINT AS rn, 0 AS active, 0 AS cooldown, FALSE AS fired, NULL::BIGINT AS event_id FROM x
-  UNION ALL SELECT service, metric, state, rn, CASE WHEN NOT crossed OR fires THEN 0 WHEN cooldown > 0 THEN active ELSE active + 1 END,
+    epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id % 10, e.metric, r.state ORDER BY ts, event_id) AS gap FROM ev e JOIN rules r USING (metric))""",
+        f"p AS (SELECT *, {part} AS part FROM g)",
+        "x AS (SELECT *, row_number() OVER (PARTITION BY service, metric, state, part ORDER BY ts, event_id) AS rn FROM p)",
+        """rec AS (SELECT DISTINCT service, metric, state, part, 0::BIGINT AS rn, 0 AS active, 0 AS cooldown, FALSE AS fired, NULL::BIGINT AS event_id FROM x
+  UNION ALL SELECT service, metric, state, part, rn, CASE WHEN NOT crossed OR fires THEN 0 WHEN cooldown > 0 THEN active ELSE active + 1 END,
     CASE WHEN NOT crossed THEN cooldown WHEN cooldown > 0 THEN cooldown - 1 WHEN fires THEN pause ELSE 0 END, fires, event_id
   FROM (SELECT x.*, r.active, r.cooldown, x.crossed AND r.cooldown = 0 AND r.active + 1 >= x.persistence AS fires
-    FROM rec r JOIN x ON x.service = r.service AND x.metric = r.metric AND x.state = r.state AND x.rn = r.rn + 1))""",
-    body="SELECT r.event_id, r.service, r.metric, r.state, x.level FROM rec r JOIN x ON x.event_id = r.event_id AND x.state = r.state WHERE r.fired",
-)
+    FROM rec r JOIN x ON x.service = r.service AND x.metric = r.metric AND x.state = r.state AND x.part = r.part AND x.rn = r.rn + 1))""",
+        body="SELECT r.event_id, r.service, r.metric, r.state, x.level FROM rec r JOIN x ON x.event_id = r.event_id AND x.state = r.state WHERE r.fired",
+    )
+
+
+ALERT_SQL = alert_sql()
 
 
 @query("hysteresis_alerts", ALERT_SQL)
