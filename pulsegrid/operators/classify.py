@@ -22,14 +22,19 @@ from pulsegrid.operators.evaluate import f1
 from pulsegrid.operators.ordered import attach, order_statistic
 from pulsegrid.operators.reconstruct import standardise_array
 from pulsegrid.operators.splits import plain_folds, shuffled_rank, stratified_folds
+from pulsegrid.operators.vectors import fourier_features
 from pulsegrid.storage import durable
 
+# Seed, folds, phases of normal rows, share of outliers and of the sample, trees and layers of the models below.
 SEED = 32
 FOLDS = 10
 NORMAL_PHASES = ("pre", "pos")
 OUTLIER_SHARE = 0.05
 SVM_SAMPLE = 0.3
 
+#: Random features of the kernel classifier, and the weight of its margin.
+KERNEL_FEATURES, KERNEL_REGULARISATION = 256, 1e-3
+
 
 def phase_label(kind: Column, phase: Column) -> Column:
     """0 for normal rows and for rows before or after an attack, else 1."""
@@ -52,7 +57,7 @@ def stratified_sample(df: DataFrame, ids: Sequence[str], label: str, fraction: f
 
 
 def models(features: int, classes: int) -> dict[str, tuple[Estimator, str]]:
-    """Name -> (estimator, feature column); the columns are ``raw``, ``positive`` and ``scaled``."""
+    """Name -> (estimator, feature column); the columns are ``raw``, ``positive``, ``scaled`` and ``lifted``."""
     common = {"labelCol": "label", "predictionCol": "prediction"}
     svc = LinearSVC(featuresCol="scaled", standardization=False, maxIter=50, **common)
     return {
@@ -68,17 +73,25 @@ def models(features: int, classes: int) -> dict[str, tuple[Estimator, str]]:
         ),
         "linear_svc": (svc, "scaled"),
         "sampled_svc": (svc, "scaled"),
+        "kernel_svc": (LinearSVC(featuresCol="lifted", standardization=False, maxIter=50, regParam=KERNEL_REGULARISATION, **common), "lifted"),
     }
 
 
-def prepare(train: DataFrame, df: DataFrame, array: str) -> DataFrame:
-    """Feature columns of ``df``; scaling and shift come from the training rows."""
+def prepare(train: DataFrame, df: DataFrame, array: str, lifted: int = 0) -> DataFrame:
+    """Feature columns of ``df``; scaling and shift come from the training rows.
+
+    ``lifted`` is the length of the arrays, if the features of the radial kernel are wanted: a linear margin on them is a curved one on
+    the rows.
+    """
     scaled = standardise_array(df, train, array, "_scaled")
     lowest = train.select(F.min(F.array_min(array).cast("double"))).scalar()
     numbers = F.transform(F.col(array), lambda x: x.cast("double"))
     positive = F.transform(numbers, lambda x: F.greatest(x - F.col("_low"), F.lit(0.0)))
+    if lifted:
+        scaled = fourier_features(scaled, "_scaled", lifted, KERNEL_FEATURES, out="_lifted")
     return scaled.withColumn("_low", lowest).select(
         *df.columns,
+        *([array_to_vector("_lifted").alias("lifted")] if lifted else []),
         array_to_vector(numbers).alias("raw"),
         array_to_vector(positive).alias("positive"),
         array_to_vector("_scaled").alias("scaled"),
@@ -95,8 +108,9 @@ def cross_predictions(
     for fold in range(folds):
         train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
         # Written before fitting: an estimator starts many small jobs, and each would ship the whole plan.
-        train_rows = durable(balanced_weights(prepare(train, train, array)), "train")
-        test_rows = prepare(train, test, array)
+        lifted = length if "kernel_svc" in names else 0
+        train_rows = durable(balanced_weights(prepare(train, train, array, lifted)), "train")
+        test_rows = prepare(train, test, array, lifted)
         for name in names:
             estimator, _ = models(length, classes)[name]
             rows = stratified_sample(train_rows, ids, "label", SVM_SAMPLE) if name == "sampled_svc" else train_rows

@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.ordered import order_statistic
+from pulsegrid.operators.vectors import with_matrix
 
 ERROR_QUANTILE = 0.99
 COMPONENTS = 4
 
 
+def cosine_components(width: int, k: int = COMPONENTS) -> np.ndarray:
+    """``k`` orthonormal waves over the positions of an array, as components that need no fit."""
+    at, j = np.arange(width)[:, None] + 0.5, np.arange(1, k + 1)[None, :]
+    return np.sqrt(2 / width) * np.cos(np.pi * at * j / width)
+
+
 def pivot_first(
     df: DataFrame, keys: Sequence[str], columns: Sequence[str], ts: str = "_time", value: str = "counter", order: Sequence[str] = ()
 ) -> DataFrame:
@@ -65,29 +73,23 @@ def fit_components(train: DataFrame, array: str = "scaled", k: int = COMPONENTS)
     return PCA(k=k, inputCol="v", outputCol="p").fit(rows)
 
 
-def reconstruction_errors(df: DataFrame, model, array: str = "scaled") -> DataFrame:
+def reconstruction_errors(df: DataFrame, components, array: str = "scaled") -> DataFrame:
     """Adds ``mae`` and ``mse`` of every row against its rebuilt form.
 
-    The component matrix has one row per feature and a few columns, and enters the expression as
-    constants; for centred data, the mean lies outside the projection.
+    ``components`` is a fitted model or a matrix with an orthonormal column per component. With those, the squared residual is that
+    of the row less that of its projection; the absolute one takes a product per Arrow batch. For centred data, the mean lies outside
+    the projection.
     """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    matrix = np.asarray(components.pc.toArray() if hasattr(components, "pc") else components, dtype=float)
+    if not np.allclose(matrix.T @ matrix, np.eye(matrix.shape[1]), atol=1e-6):
+        raise ValueError("components must be orthonormal")
 
-    matrix = model.pc.toArray().tolist()
-    loadings = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in matrix])
-    projected = model.transform(df.withColumn("v", array_to_vector(F.col(array)))).withColumn("_p", vector_to_array("p"))
+    def errors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        projected = x @ matrix
+        residual = np.maximum((x * x).sum(axis=1) - (projected * projected).sum(axis=1), 0.0)
+        return np.abs(x - projected @ matrix.T).mean(axis=1), residual / x.shape[1]
 
-    def rebuilt(row: Column) -> Column:
-        return F.aggregate(F.zip_with(row, F.col("_p"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-
-    difference = F.zip_with(F.col(array), F.transform(loadings, rebuilt), lambda x, y: x - y)
-    size = F.size("_d")
-    total = lambda f: F.aggregate(F.transform("_d", f), F.lit(0.0), lambda s, x: s + x)
-    return (
-        projected.withColumn("_d", difference)
-        .withColumns({"mae": total(lambda d: F.abs(d)) / size, "mse": total(lambda d: d * d) / size})
-        .drop("v", "p", "_p", "_d")
-    )
+    return with_matrix(df, array, "mae double, mse double", errors)
 
 
 def quantile_threshold(train_errors: DataFrame, error: str = "mae", q: float = ERROR_QUANTILE, group_rows: int | None = None) -> DataFrame:

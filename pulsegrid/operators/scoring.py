@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.statistics import known
 from pulsegrid.operators.ordered import OrderKey, attach, row_frames
+from pulsegrid.operators.vectors import with_matrix
 from pulsegrid.storage import durable
 
 
@@ -67,21 +69,41 @@ def lag_features(
     return row_frames(df, keys, order, window - 1, 0, frame, group_rows).na.drop(subset=names)
 
 
-def fit_lag_regression(features: DataFrame, value: str, window: int):
-    """Linear model of a row from its W-1 predecessors; ``predict_lag_regression`` applies it."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    names = [f"lag_{i}" for i in range(1, window)]
-    rows = VectorAssembler(inputCols=names, outputCol="features").transform(features)
-    return LinearRegression(featuresCol="features", labelCol=value, predictionCol=f"{value}_pred").fit(rows)
-
-
-def predict_lag_regression(model, features: DataFrame, window: int) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
+def fit_lag_regression(features: DataFrame, keys: Sequence[str], value: str, window: int) -> DataFrame:
+    """keys, n and ``coefficients`` (intercept first) of a linear model per series of a row from its W-1 predecessors.
 
+    One aggregation gives the sums of products of every series; the small systems are solved in Arrow batches. A series whose lags
+    depend on each other gets the solution of least length.
+    """
     names = [f"lag_{i}" for i in range(1, window)]
-    return model.transform(VectorAssembler(inputCols=names, outputCol="features").transform(features)).drop("features")
+    terms, d = [F.lit(1.0), *[F.col(n).cast("double") for n in names]], window
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    y = F.col(value).cast("double")
+    usable = features.where(F.col(value).isNotNull())
+    sums = usable.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(terms[i] * terms[j]) for i, j in pairs]).alias("_gram"), F.array(*[F.sum(t * y) for t in terms]).alias("_moment")
+    )
+    rows, columns = np.array(pairs).T
+
+    def solve(cells: np.ndarray) -> tuple[np.ndarray]:
+        gram = np.zeros((len(cells), d, d))
+        gram[:, rows, columns] = gram[:, columns, rows] = cells[:, : len(pairs)]
+        # Scaled to a unit diagonal, so that what counts as dependent does not turn on the units.
+        size = np.sqrt(np.maximum(np.einsum("nii->ni", gram), 1e-300))
+        inverse = np.linalg.pinv(gram / size[:, :, None] / size[:, None, :], rcond=1e-12, hermitian=True)
+        return (np.einsum("nij,nj->ni", inverse, cells[:, len(pairs) :] / size) / size,)
+
+    fitted = with_matrix(sums.withColumn("_cells", F.concat("_gram", "_moment")), "_cells", "coefficients array<double>", solve)
+    return fitted.select(*keys, "n", "coefficients")
+
+
+def predict_lag_regression(fitted: DataFrame, features: DataFrame, keys: Sequence[str], value: str, window: int) -> DataFrame:
+    """``<value>_pred`` by the model of the row's series, null where it has none."""
+    joined = attach(features, fitted, keys, ["coefficients"])
+    total = F.col("coefficients")[0]
+    for i in range(1, window):
+        total = total + F.col("coefficients")[i] * F.col(f"lag_{i}")
+    return joined.withColumn(f"{value}_pred", total).drop("coefficients")
 
 
 def prediction_error(pairs: Sequence[tuple[str, str]]) -> Column:

@@ -11,9 +11,10 @@ from pulsegrid.operators import reconstruct as R
 from pulsegrid.operators import scoring as S
 from pulsegrid.operators import splits as P
 from pulsegrid.operators.metrics import finite_or_zero
+from pulsegrid.operators.oneclass import margin_scores
 from pulsegrid.operators.windows import sliding_windows
 from pulsegrid.plans.base import (
-    EV, HOURLY, INTERVALS, MARKS, WINDOW, events, hourly, query, r6, rows_in, sql, table,
+    EV, HOURLY, INTERVALS, MARKS, WINDOW, events, hourly, query, r6, recursive_sql, rows_in, sql, table,
 )
 from pulsegrid.plans.labels import WINDOW_LABELS, labelled_windows
 from pulsegrid.storage import durable
@@ -46,15 +47,34 @@ def standard_scaling(spark, sf):
     )
 
 
+def _flagged(scaled, components, rows):
+    errors = durable(R.reconstruction_errors(scaled, components), "errors")
+    flagged = R.flag_above(errors, R.quantile_threshold(errors.where("label = 0"), group_rows=rows))
+    return flagged.select("vec_id", "label", F.round("mae", 6).alias("mae"), F.round("mse", 6).alias("mse"), "alarm")
+
+
 @query("reconstruct_errors")
 def reconstruct_errors(spark, sf):
     """Vectors projected on four components of the normal ones; alarm above the 99 % quantile of their error."""
     scaled = durable(_scaled(spark, sf).select("vec_id", "label", "scaled"), "scaled")
-    normal = scaled.where("label = 0")
-    model = R.fit_components(normal)
-    threshold = R.quantile_threshold(R.reconstruction_errors(normal, model), group_rows=rows_in(spark, sf, "embeddings"))
-    flagged = R.flag_above(R.reconstruction_errors(scaled, model), threshold)
-    return flagged.select("vec_id", "label", F.round("mae", 6).alias("mae"), "alarm")
+    return _flagged(scaled, R.fit_components(scaled.where("label = 0")), rows_in(spark, sf, "embeddings")).drop("mse")
+
+
+@query(
+    "reconstruct_given",
+    f"""WITH v AS (SELECT vec_id, CASE WHEN label = 0 THEN 1 ELSE 0 END AS label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+s AS (SELECT i, avg(x) AS m, stddev_pop(x) AS sd FROM v WHERE label = 0 GROUP BY i),
+z AS (SELECT vec_id, label, i, (x - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END AS z FROM v JOIN s USING (i)),
+c AS (SELECT i, j, sqrt(2.0::DOUBLE / {DIMENSIONS}) * cos(pi() * (i - 0.5) * j / {DIMENSIONS}) AS c FROM range(1, {DIMENSIONS + 1}) a(i), range(1, {R.COMPONENTS + 1}) b(j)),
+p AS (SELECT vec_id, j, sum(z * c) AS p FROM z JOIN c USING (i) GROUP BY vec_id, j),
+r AS (SELECT vec_id, i, sum(p * c) AS r FROM p JOIN c USING (j) GROUP BY vec_id, i),
+e AS (SELECT vec_id, label, avg(abs(z - r)) AS mae, avg((z - r) * (z - r)) AS mse FROM z JOIN r USING (vec_id, i) GROUP BY vec_id, label)
+SELECT vec_id, label, round(mae, 6) AS mae, round(mse, 6) AS mse, CAST(mae > (SELECT quantile_cont(mae, 0.99) FROM e WHERE label = 0) AS INT) AS alarm FROM e""",
+)
+def reconstruct_given(spark, sf):
+    """The same on components that are given: four waves over the dimensions."""
+    scaled = durable(_scaled(spark, sf).select("vec_id", "label", "scaled"), "scaled")
+    return _flagged(scaled, R.cosine_components(DIMENSIONS), rows_in(spark, sf, "embeddings"))
 
 
 @query("window_reconstruct_errors")
@@ -69,12 +89,31 @@ def window_reconstruct_errors(spark, sf):
     return S.error_summary(errors, "mse").select("n", *[F.round(c, 6).alias(c) for c in ("mean_error", "std_error", "threshold")], "anomalies")
 
 
-@query("lag_regression")
+LAGS = WINDOW - 1
+TERMS = LAGS + 1
+
+#: The normal equations of every metric as rows of lists, cleared column by column.
+LAG_SQL = f"""f AS (SELECT * FROM (SELECT metric, ts, value AS y, list_prepend(1.0::DOUBLE, list_reverse(list(value) OVER w)) AS x, count(value) OVER w AS n FROM hourly
+  WINDOW w AS (PARTITION BY metric ORDER BY ts ROWS BETWEEN {LAGS} PRECEDING AND 1 PRECEDING)) WHERE n = {LAGS} AND y IS NOT NULL),
+ij AS (SELECT i, j FROM range(1, {TERMS + 1}) a(i), range(1, {TERMS + 2}) b(j)),
+cells AS (SELECT metric, i, j, sum(x[i] * CASE WHEN j > {TERMS} THEN y ELSE x[j] END) AS v FROM f, ij GROUP BY metric, i, j),
+system AS (SELECT metric, list(r ORDER BY i) AS m FROM (SELECT metric, i, list(v ORDER BY j) AS r FROM cells GROUP BY metric, i) GROUP BY metric),
+solved AS (SELECT metric, 1 AS k, m FROM system UNION ALL
+  SELECT metric, k + 1, list_transform(range(1, {TERMS + 1}), lambda i: list_transform(range(1, {TERMS + 2}), lambda j:
+    CASE WHEN i = k THEN m[k][j] / m[k][k] ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END)) FROM solved WHERE k <= {TERMS}),
+model AS (SELECT metric, list_transform(m, lambda r: r[{TERMS + 1}]) AS b FROM solved WHERE k = {TERMS + 1})"""
+
+
+@query(
+    "lag_regression",
+    recursive_sql(EV, HOURLY, LAG_SQL, body="SELECT metric, round(avg(pow(y - list_sum(list_transform(list_zip(b, x), lambda p: p[1] * p[2])), 2)), 4) AS mse FROM f JOIN model USING (metric) GROUP BY metric"),
+)
 def lag_regression(spark, sf):
-    """Next hourly value from the nine before it by linear regression; squared error per metric."""
+    """Next hourly value from the nine before it by a linear model per metric; squared error per metric."""
     features = S.lag_features(hourly(spark, sf), ["metric"], ["ts"], "value", WINDOW, rows_in(spark, sf, "events"))
     features = durable(features, "features")
-    predicted = S.predict_lag_regression(S.fit_lag_regression(features, "value", WINDOW), features, WINDOW)
+    fitted = durable(S.fit_lag_regression(features, ["metric"], "value", WINDOW), "fitted")
+    predicted = S.predict_lag_regression(fitted, features, ["metric"], "value", WINDOW).where("value is not null")
     return S.group_loss(predicted, "metric", "value", "value_pred").withColumn("mse", F.round("mse", 4))
 
 
@@ -93,11 +132,36 @@ def _register(name):
         return averages.withColumns({c: r6(c) for c in averages.columns if c not in ("model", "support")})
 
 
+CONTRACT = ("decision_tree", "gaussian_nb", "complement_nb", "linear_svc", "kernel_svc")
 SUITE = ("decision_tree", "random_forest", "gaussian_nb", "complement_nb", "mlp", "linear_svc", "sampled_svc")
-for _name in SUITE:
+for _name in (*SUITE, "kernel_svc"):
     _register(_name)
 
 
+@query(
+    "classifier_contract",
+    f"""WITH v AS (SELECT CASE WHEN label = 0 THEN 1 ELSE 0 END AS label FROM embeddings)
+SELECT m AS model, (SELECT count(*) FROM v) AS rows, (SELECT count(*) FROM v) AS ids, {FOLDS} AS folds, (SELECT sum(label)::BIGINT FROM v) AS anomalies, true AS of_known_classes
+FROM (VALUES {", ".join(f"('{m}')" for m in CONTRACT)}) a(m)""",
+)
+def classifier_contract(spark, sf):
+    """What holds for every classifier over folds: each row is predicted once, out of its fold, as one of the classes."""
+    predictions = C.cross_predictions(
+        _vectors(spark, sf), ["vec_id"], "embedding", DIMENSIONS, list(CONTRACT), FOLDS, 2, rows_in(spark, sf, "embeddings")
+    )
+    return predictions.groupBy("model").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("vec_id").alias("ids"), F.countDistinct("fold").cast("int").alias("folds"),
+        F.sum("label").alias("anomalies"), F.every(F.col("prediction").isin(0, 1)).alias("of_known_classes"),
+    )
+
+
+@query("one_class_margin")
+def one_class_margin(spark, sf):
+    """The one-class hinge margin on random features per fold; 5 % of the training rows outside."""
+    rated, _ = margin_scores(_vectors(spark, sf), ["vec_id"], "embedding", DIMENSIONS, FOLDS, group_rows=rows_in(spark, sf, "embeddings"))
+    return rated.withColumns({c: r6(c) for c in ("precision", "recall", "f1")})
+
+
 @query("classifier_mean_accuracy")
 def classifier_mean_accuracy(spark, sf):
     return E.mean_reported(_suite(spark, sf, list(SUITE))).withColumn("mean_accuracy", r6("mean_accuracy"))
