@@ -91,11 +91,12 @@ def _label_by_sweep(points: DataFrame, intervals: DataFrame, ts: str, group_rows
         .select(F.col("label").alias("_kind"), F.explode(F.array(edge("start_ts", 0, 1), edge("end_ts", 2, -1))).alias("_e"))
         .select("_kind", "_e.*")
     )
-    line = probes.unionByName(edges, allowMissingColumns=True)
+    # Rows of one instant and turn may come in any order, so a tie-breaker lets a busy instant be split between runs.
+    line = probes.unionByName(edges, allowMissingColumns=True).withColumn("_tie", F.monotonically_increasing_id())
     swept = running_sums(
         line,
         [],
-        ["_at", "_turn"],
+        ["_at", "_turn", "_tie"],
         {
             "_faults": F.when(F.col("_kind") == ANOMALOUS, F.col("_step")).otherwise(0),
             "_normals": F.when(F.col("_kind") == NORMAL, F.col("_step")).otherwise(0),
@@ -225,12 +226,13 @@ def overlap_counts(windows: DataFrame, intervals: DataFrame, group_rows: int | N
     probes = windows.select(
         "window_id", F.explode(F.array(mark("window_start", 1, 1), mark("window_end", 2, 2))).alias("e")
     ).select("window_id", "e.*", F.lit(0).alias("fault"), F.lit(0).alias("normal"))
-    line = probes.unionByName(edges, allowMissingColumns=True)
+    # A probe reads sums of the other kind of edge only, so rows of one instant and turn may come in any order and be split.
+    line = probes.unionByName(edges, allowMissingColumns=True).withColumn("tie", F.monotonically_increasing_id())
     opened, closed = F.col("side") + F.col("turn") == 0, (F.col("side") == 0) & (F.col("turn") == 2)
     swept = running_sums(
         line,
         [],
-        ["at", "turn"],
+        ["at", "turn", "tie"],
         {
             "_f0": F.when(opened, F.col("fault")).otherwise(0),
             "_f1": F.when(closed, F.col("fault")).otherwise(0),

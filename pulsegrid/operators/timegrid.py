@@ -158,7 +158,8 @@ def time_gaps(
     def step(rows, w):
         return rows.withColumn("_step", F.round(seconds - F.lag(seconds).over(w), 6))
 
-    stepped = row_frames(df.select(*keys, ts), keys, [ts], 1, 0, step, group_rows)
+    rows = df.select(*keys, ts, F.monotonically_increasing_id().alias("_tie"))  # rows of one instant may be split
+    stepped = row_frames(rows, keys, [ts, "_tie"], 1, 0, step, group_rows)
     long_step = F.when(F.col("_step") > longer_than_seconds, F.col("_step"))
     return stepped.groupBy(*keys).agg(
         F.count(long_step).alias("gap_count"),

@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.logtext import iso_millis
+from pulsegrid.functions.timeparse import parse_start, session_ranges
 from pulsegrid.operators import logs as G
+from pulsegrid.operators.experiments import ledger_rows
+from pulsegrid.operators.metrics import MetricSpec, group_columns
 from pulsegrid.operators.ordered import positions
-from pulsegrid.plans.base import EV, INTERVALS, LINES, PARSED, TEMPLATED, event_lines, events, intervals, query, r6, rows_in, sql
+from pulsegrid.plans.base import EV, INTERVALS, LINES, METRICS, PARSED, TEMPLATED, event_lines, events, intervals, query, r6, rows_in, sql, table
 from pulsegrid.plans.logs import TRACE, _numbered, _trace
 from pulsegrid.sources import readers as R
 from pulsegrid.sources import sinks as K
-from pulsegrid.storage import new_table_path
+from pulsegrid.storage import durable, new_table_path
 
 
 #: Records of a file that is written as one row of text.
@@ -195,3 +198,93 @@ def processed_logs_export(spark, sf):
     K.write_processed_logs(counts, G.numbers_per_interval(numbered, "1 hour").withColumn("ts", F.col("ts").cast("timestamp")), path)
     found = spark.read.schema("ts timestamp, numbers array<int>").json(f"{path}/intervals")
     return found.select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.size("numbers").cast("bigint").alias("records"), F.array_join(F.col("numbers").cast("array<string>"), ",").alias("numbers"))
+
+
+@query("metric_time_counts", sql(EV, body="SELECT date_trunc('hour', ts) AS ts, count(*) AS n FROM ev GROUP BY 1"))
+def metric_time_counts(spark, sf):
+    """Only the instants of metric files, per hour."""
+    path = new_table_path(spark, "metrics")
+    rows = events(spark, sf).select(F.floor(_micros("ts") / 1000).alias("_time"), F.col("metric").alias("_measurement"), F.lit("value").alias("_field"), F.col("value").alias("_value"))
+    rows.write.option("header", True).csv(path)
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")
+    return R.metric_times(spark, path).select(hour).groupBy("ts").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "log_directory_scan",
+    sql(EV, LINES, PARSED, body="SELECT log_level, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM parsed GROUP BY 1"),
+)
+def log_directory_scan(spark, sf):
+    """The log files of a folder by pattern of their names; files of other names are left alone."""
+    path = new_table_path(spark, "folder")
+    K.write_log_lines(event_lines(spark, sf), path)
+    table_of_others = spark.range(3).select(F.lit("2025-01-01T00:01:00.002Z INFO 1 --- [t] app : x").alias("value"))
+    table_of_others.write.mode("append").option("compression", "gzip").text(path)
+    found = R.read_log_directory(spark, path, "part-*.txt").groupBy("log_level")
+    return found.agg(F.count(F.lit(1)).alias("n"), *[f("ts").cast("timestamp_ntz").alias(n) for f, n in ((F.min, "first_ts"), (F.max, "last_ts"))])
+
+
+FIRST_MINUTES = 30
+
+
+@query(
+    "session_time_ranges",
+    sql(EV, f"""sessions AS (SELECT date_trunc('day', ts) AS day, min(ts) AS a, CASE WHEN day(min(ts)) % 5 <> 0 THEN max(ts) END AS b FROM ev GROUP BY 1),
+now AS (SELECT max(ts) - INTERVAL 3600 SECOND AS t FROM ev),
+whole AS (SELECT day, 'whole' AS part, CASE WHEN a <= t THEN a - INTERVAL 120 SECOND END AS lo, CASE WHEN a <= t THEN b + INTERVAL 120 SECOND END AS hi FROM sessions, now),
+early AS (SELECT day, 'first' AS part, CASE WHEN a <= t THEN a - INTERVAL 120 SECOND END AS lo, CASE WHEN a <= t THEN least(a + INTERVAL {FIRST_MINUTES} MINUTE, t) + INTERVAL 120 SECOND END AS hi FROM sessions, now),
+ranges AS (SELECT * FROM whole UNION ALL SELECT * FROM early)""",
+        body="SELECT r.day, part, any_value(lo) AS range_start, any_value(hi) AS range_stop, count(e.event_id) AS rows FROM ranges r LEFT JOIN ev e ON e.ts >= lo AND e.ts < hi GROUP BY r.day, part"),
+)
+def session_time_ranges(spark, sf):
+    """Collection ranges of sessions, one a day, every fifth without an end; seen an hour before the last row, whole or for the first minutes."""
+    rows = durable(events(spark, sf).select("event_id", F.col("ts").cast("timestamp").alias("ts")), "rows")
+    now = parse_start("-3600s", rows.agg(F.max("ts")).first()[0] or datetime(2024, 1, 1))
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    day = F.date_trunc("day", "ts").alias("day")
+    ended = F.when(F.dayofmonth(F.min("ts")) % 5 != 0, iso(F.max("ts")))
+    sessions = durable(rows.groupBy(day).agg(iso(F.min("ts")).alias("session_start"), ended.alias("session_end")), "sessions")
+    parts = [session_ranges(sessions, F.lit(now), m).select("day", F.lit(p).alias("part"), "range_start", "range_stop") for p, m in (("whole", 0), ("first", FIRST_MINUTES))]
+    ranges = durable(parts[0].unionByName(parts[1]), "ranges")
+    # A range starts on the evening before or on its day, so the days that it touches are few.
+    touched = F.explode(F.sequence(F.date_trunc("day", "range_start"), F.date_trunc("day", "range_stop"), F.expr("interval 1 day")))
+    spread = ranges.where("range_stop is not null").withColumn("on", touched)
+    inside = rows.withColumn("on", F.date_trunc("day", "ts")).join(spread, "on").where("ts >= range_start and ts < range_stop")
+    counts = durable(inside.groupBy("day", "part").agg(F.count(F.lit(1)).alias("rows")), "counts")
+    plain = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("day", "range_start", "range_stop")]
+    return ranges.join(counts, ["day", "part"], "left").select(*plain, "part", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+@query(
+    "ledger_summary",
+    """SELECT 'sources' AS experiment, source AS run, lang, round(avg(n_chars), 6) AS mean_chars, count(*)::DOUBLE AS documents FROM documents GROUP BY source, lang""",
+)
+def ledger_summary(spark, sf):
+    """A ledger of one run per source and language as the summary file has it, and what is read from there."""
+    path = new_table_path(spark, "summary")
+    rated = table(spark, sf, "documents").groupBy("source", "lang").agg(F.avg("n_chars").alias("mean_chars"), F.count(F.lit(1)).alias("documents"))
+    K.write_summary(ledger_rows(rated, "sources", F.col("source"), ["lang"], ["mean_chars", "documents"]), path)
+    text = spark.read.option("header", True).csv(path)
+    metrics = F.from_json("metrics", "map<string,double>")
+    return text.select(
+        "experiment", "run", F.get_json_object("params", "$.lang").alias("lang"), r6(F.element_at(metrics, "mean_chars")).alias("mean_chars"), F.element_at(metrics, "documents").alias("documents")
+    )
+
+
+GROUPS = {"load": ("error", "view"), "traffic": ("click", "refund", "purchase")}
+
+
+@query(
+    "grouped_columns",
+    sql(EV, "wide AS (SELECT date_trunc('hour', ts) AS ts, " + ", ".join(f"avg(value) FILTER (WHERE metric = '{m}') AS {m}" for m in METRICS) + " FROM ev GROUP BY 1)",
+        body=""" SELECT ts, 'load' AS "group", 2 AS columns, round(coalesce(error, 0) + coalesce("view", 0), 6) AS total FROM wide
+UNION ALL SELECT ts, 'traffic', 2, round(coalesce(click, 0) + coalesce(purchase, 0), 6) FROM wide"""),
+)
+def grouped_columns(spark, sf):
+    """The columns of each group of the catalogue that a wide frame has; one is missing."""
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts")
+    wide = durable(events(spark, sf).groupBy(hour).pivot("metric", list(METRICS)).agg(F.avg("value")), "wide")
+    specs = [MetricSpec(group, m, m, "value") for group, names in GROUPS.items() for m in names]
+    found = group_columns(specs, wide.columns)
+    parts = [F.struct(F.lit(g).alias("group"), F.lit(len(c)).alias("columns"), r6(sum(F.coalesce(n, F.lit(0.0)) for n in c)).alias("total")) for g, c in found.items()]
+    return wide.select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.inline(F.array(*parts)))

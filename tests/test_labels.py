@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import evaluate as E
 from pulsegrid.operators import labels as L
+from pulsegrid.operators import ordered, timegrid
 from pulsegrid.operators.windows import sliding_windows, window_label
 from pulsegrid.sources import readers
 
@@ -149,3 +150,39 @@ def test_session_record(spark, folder):
     assert sorted(r["label"] for r in got.collect()) == [0, 1]
     with pytest.raises(Exception, match="normal_windows"):
         readers.session_intervals(readers.read_session(spark, f"{folder}/bad.json")).collect()
+
+
+@pytest.mark.parametrize("sweep", ["points", "windows", "gaps"])
+def test_a_busy_instant_is_split(spark, monkeypatch, sweep):
+    """15,000 rows of one instant: no run of any sweep holds more than the limit, and labels are those of the instant."""
+    busy = spark.range(15_000).select(F.lit(1_000).alias("sec"), "id").unionByName(spark.range(500).select((F.col("id") * 4).alias("sec"), (F.col("id") + 20_000).alias("id")))
+    points = busy.select("id", F.timestamp_seconds("sec").alias("ts"))
+    intervals = spark.createDataFrame([(900, 1_000, 1), (1_000, 1_100, 0), (100, 200, 0)], "a long, b long, label int").select(
+        F.timestamp_seconds("a").alias("start_ts"), F.timestamp_seconds("b").alias("end_ts"), "label"
+    )
+    largest = []
+
+    def watched(df, keys, order, group_rows=None, sizes=None, real=ordered.split_runs):
+        runs = real(df, keys, order, group_rows, sizes)
+        if runs is not None:
+            largest.append(runs.groupBy(ordered.RUN).count().agg(F.max("count")).first()[0])
+        return runs
+
+    monkeypatch.setattr(ordered, "split_runs", watched)
+    spark.conf.set("spark.pulsegrid.maxGroupRows", "2000")
+    spark.conf.set(L.BROADCAST_INTERVALS, "1")
+    try:
+        if sweep == "points":
+            labels = {r["label"]: r["count"] for r in L.label_points(points, intervals).groupBy("label").count().collect()}
+            assert labels == {1: 15_000 + 26, 0: 25 + 26, -1: 500 - 77}
+        elif sweep == "windows":
+            windows = points.select(F.col("id").alias("window_id"), F.col("ts").alias("window_start"), F.col("ts").alias("window_end"))
+            got = L.overlap_counts(windows, intervals).groupBy("faults", "normals").count().collect()
+            assert {(r[0], r[1]): r[2] for r in got} == {(1, 1): 15_001, (1, 0): 25, (0, 1): 51, (0, 0): 423}
+        else:
+            got = timegrid.time_gaps(points.withColumn("metric", F.lit("m"))).first()
+            assert (got["gap_count"], got["max_gap"]) == (499, 4.0)
+    finally:
+        spark.conf.unset("spark.pulsegrid.maxGroupRows")
+        spark.conf.unset(L.BROADCAST_INTERVALS)
+    assert largest and max(largest) <= 2_000
