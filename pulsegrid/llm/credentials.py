@@ -2,9 +2,11 @@
 
 Base spans (an assigned secret, an access identifier, a long hexadecimal run) are always reported. Weak candidates are parts: identifiers
 (``user=``), secrets (``pwd:``, or an assigned value that the base leaves out or cuts short) and endpoints (a URL, ``host=``, an address with a port). Parts
-are joined by interval: two of them co-occur if they lie in one scope, the lines between two blank lines, at most ``REACH`` code points
-apart. An identifier is reported beside a secret, a secret beside an identifier or an endpoint, an endpoint beside both; base spans count as
-complements too. The join is a sweep over the sorted spans of a text, so many parts in one text do not make pairs.
+are joined by interval: two of them co-occur if they lie in one scope, the lines between two blank lines, however far apart. An identifier is
+reported beside a secret, a secret beside an identifier or an endpoint, an endpoint beside both; base spans count as complements too. The join
+places spans among the ends of the scopes and looks at the parts that a scope has, so many parts in one text do not make pairs.
+
+Every pattern takes time in proportion to the text: what may repeat is tried from the beginning of a run only.
 
 Positions are code points, the end exclusive. Null and empty texts have no spans; rows are neither dropped nor joined.
 """
@@ -13,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +25,6 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.textbatch import filled, over_batches, per_batch, pieces
 
-REACH = 300
 MIN_ASSIGNED, MIN_ACCESS, MIN_HEX, MIN_WEAK = 12, 18, 16, 4
 #: Kinds in the order in which spans with one start are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "id", "secret", "endpoint")
@@ -39,7 +40,7 @@ _NAME = r"(?<![A-Za-z0-9])(?ai:{})[\"']?\x20*[:=]\x20*[\"']?([^\s\"',;<>]{{{},}}
 IDENTIFIER = re.compile(_NAME.format(r"user(?:_?name|_?id)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?", 3))
 SECRET = re.compile(_NAME.format(r"pass(?:phrase)?|pwd|credentials?|auth|private_?key", MIN_WEAK))
 ENDPOINT = re.compile(
-    rf"""(?ai:https?|ftp|jdbc:[a-z0-9]+|[a-z]+sql|mongodb|redis|amqp)://[^\s"'<>]+|{_NAME.format("host(?:_?name)?|endpoint|server|url", 3)}|(?<![0-9.])[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}:[0-9]{{2,5}}"""
+    rf"""(?<![A-Za-z0-9])(?ai:https?|ftp|jdbc:[a-z0-9]+|[a-z]+sql|mongodb|redis|amqp)://[^\s"'<>]+|{_NAME.format("host(?:_?name)?|endpoint|server|url", 3)}|(?<![0-9.])[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}:[0-9]{{2,5}}"""
 )
 SCOPE_END = re.compile(r"\n[ \t\r]*\n")
 
@@ -74,46 +75,19 @@ def base_spans(text: str, tried: set[str] = frozenset(KINDS)) -> tuple[list[Span
     return found, short
 
 
-class _Near:
-    """Spans of one part in one scope; ``near`` says whether one of them is within reach."""
-
-    def __init__(self, spans: list[Span]):
-        spans = sorted(spans)
-        self.starts = [s for s, _, _ in spans]
-        self.latest = []
-        for _, end, _ in spans:
-            self.latest.append(max(end, self.latest[-1]) if self.latest else end)
-
-    def near(self, start: int, end: int) -> bool:
-        after = bisect_right(self.starts, start)
-        if after and self.latest[after - 1] >= start - REACH:
-            return True
-        return after < len(self.starts) and self.starts[after] <= end + REACH
+#: What makes a part known in a scope.
+_PART = {"access": "id", "id": "id", "assign": "secret", "hex": "secret", "secret": "secret", "endpoint": "endpoint"}
+#: Parts of which one must be in the scope of a weak span, by its kind; all of the groups must be met.
+_BESIDE = {"id": [{"secret"}], "secret": [{"id", "endpoint"}], "endpoint": [{"id"}, {"secret"}]}
 
 
 def linked(base: list[Span], weak: list[Span], scope_ends: list[int]) -> list[Span]:
-    """The weak spans whose complements co-occur in their scope within reach."""
-    scopes: dict[int, tuple[list[Span], list[Span]]] = {}
-    for part, spans in enumerate((base, weak)):
-        for span in spans:
-            scopes.setdefault(bisect_left(scope_ends, span[0] + 1), ([], []))[part].append(span)
-    found = []
-    for strong, candidates in scopes.values():
-        every = strong + candidates
-        ids = _Near([s for s in every if s[2] in ("access", "id")])
-        secrets = _Near([s for s in every if s[2] in ("assign", "hex", "secret")])
-        endpoints = _Near([s for s in candidates if s[2] == "endpoint"])
-        for span in candidates:
-            start, end, kind = span
-            if kind == "id":
-                told = secrets.near(start, end)
-            elif kind == "secret":
-                told = ids.near(start, end) or endpoints.near(start, end)
-            else:
-                told = ids.near(start, end) and secrets.near(start, end)
-            if told:
-                found.append(span)
-    return found
+    """The weak spans whose complements co-occur in their scope; a span lies in the scope that it begins in."""
+    scope = lambda span: bisect_right(scope_ends, span[0])
+    parts: dict[int, set[str]] = {}
+    for span in [*base, *weak]:
+        parts.setdefault(scope(span), set()).add(_PART[span[2]])
+    return [span for span in weak if all(parts[scope(span)] & group for group in _BESIDE[span[2]])]
 
 
 def _ordered(spans: list[Span]) -> list[Span]:

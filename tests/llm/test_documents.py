@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -147,13 +148,50 @@ def test_weak_parts_need_complements(spark):
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("doc_id", "text", "7 as n_chars", "'s' as spans")
     found = {r.doc_id: r.spans for r in credentials.digests(table).collect()}
     assert found[0] == "endpoint:0:20,id:21:31,secret:32:43"
-    assert not any(found[i] for i in range(1, 8))
+    assert not any(found[i] for i in (1, 2, 3, 4, 6, 7))
+    assert found[5] == "id:0:8,secret:408:419"  # one scope, however far apart
     clean = {r.doc_id: r for r in credentials.redact(table).collect()}
     assert clean[0].text == "[endpoint]\n[id]\n[secret]" and clean[0].n_chars == len(clean[0].text)
     assert clean[6].text is None and clean[1].text == "user=alice"
     assert [len(r.base) for r in credentials.find(table, ["doc_id"]).collect()] == [0] * 9
 
 
+def test_linking_equals_brute_force():
+    """Scopes cut out of the text one by one, parts told by their own patterns in each."""
+    draw = random.Random(5)
+    bits = ["user=alice", "login: bob7", "pwd=hunter2", "token=abcd", "password=P@ss1!x", "secret=abcdefgh12345678", "AKIA" + "Q" * 16, "0123456789abcdef0", "https://h.example/x",
+            "host=db1", "10.0.0.1:5432", "word", "x" * 400]
+    for _ in range(2000):
+        scopes = [" ".join(draw.choices(bits, k=draw.randint(0, 4))) for _ in range(draw.randint(1, 4))]
+        want, at = set(), 0
+        for scope in scopes:
+            weak = [(m.start(), m.end(), "id") for m in credentials.IDENTIFIER.finditer(scope)] + [(m.start(), m.end(), "endpoint") for m in credentials.ENDPOINT.finditer(scope)]
+            base, short = credentials.base_spans(scope)
+            weak += short + [(m.start(), m.end(), "secret") for m in credentials.SECRET.finditer(scope)]
+            has_id = any(k in ("id", "access") for *_, k in base + weak)
+            has_secret = any(k in ("secret", "assign", "hex") for *_, k in base + weak)
+            has_end = any(k == "endpoint" for *_, k in weak)
+            told = {"id": has_secret, "secret": has_id or has_end, "endpoint": has_id and has_secret}
+            want |= {(s + at, e + at, k) for s, e, k in weak if told[k]} | {(s + at, e + at, k) for s, e, k in base}
+            at += len(scope) + 2
+        assert set(credentials.all_spans("\n\n".join(scopes))[1]) == want
+
+
+def test_patterns_take_time_in_proportion():
+    """A megabyte of any one class of characters, after what lets the patterns be tried."""
+    head = "x://y user=alice password= host=a 0123456789abcdef AKIA "
+    for unit in ("a", "A", "f", "0", " ", "\n", "\n ", "=", "user", "user ", "token:", "a.", "1.", "https:", "jdbc:a", "sql", "é", "password = ", "'", "AKIA"):
+        text = head + unit * (1_000_000 // len(unit))
+        began = time.process_time()
+        credentials.all_spans(text)
+        assert time.process_time() - began < 10, unit
+    for pattern in (credentials.ASSIGN, credentials.WIDE, credentials.ACCESS, credentials.HEX, credentials.IDENTIFIER, credentials.SECRET, credentials.ENDPOINT, credentials.SCOPE_END):
+        for unit in ("a", "Z", "7", " ", "\n", "\t", ".", "é"):
+            text, began = unit * 1_000_000, time.process_time()
+            sum(1 for _ in pattern.finditer(text))
+            assert time.process_time() - began < 1.5, (pattern.pattern, unit)
+
+
 def test_base_counts_by_hand():
     draw = random.Random(6)
     rows = ["", "a", "a b a b a b", "x y z x y z", "# $ é| <b>\nx\n\nx\n \nx", "l\nl\nl"] + [
