@@ -46,6 +46,11 @@ HINTS = _NAMES(
     " comment comments commentlist disqus respond replies reply discussion share sharing social related recommended recommendations pagination pager toolbar"
     " widget widgets copyright legal disclaimer search skip"
 )
+#: Those of them that an article may have as names of its own parts: there, the ratios of their paths decide.
+SOFT = _NAMES(
+    "menu submenu breadcrumb breadcrumbs sidebar masthead topbar banner promo promotion consent notice notices alert discussion related recommended recommendations"
+    " toolbar widget widgets legal disclaimer copyright search share sharing social"
+)
 NO_HINT_AFTER = _NAMES("with has no without is not")
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？；：\"'()«»“”„-]")
 
@@ -55,6 +60,8 @@ _PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 
 KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 SPREAD = 0.25
+#: Share of an article's mean ratio that a softly hinted part of it must reach.
+PROSE = 0.5
 #: Elements nested deeper than this become siblings, as in browsers.
 DEEPEST = 500
 MOST = 0.9
@@ -62,13 +69,14 @@ MOST = 0.9
 
 @dataclass
 class Node:
-    """An element: its tag, its parent, whether its text is left out, and whether it is in an article or holds one."""
+    """An element: its tag, its parent, whether its text is left out, whether its path decides that, and whether it is in an article or holds one."""
 
     tag: str
     parent: Node | None
     path: int
     out: bool = False
     hinted: bool = False
+    soft: bool = False
     article: bool = False
     holds: bool = False
     children: list = field(default_factory=list)
@@ -87,12 +95,14 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(raw)}
 
 
-def _hinted(attributes: dict[str, str]) -> bool:
+def _hinted(attributes: dict[str, str]) -> frozenset[str]:
+    """The hints in class and id."""
+    found = frozenset()
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         parts = [p.lower() for p in _PARTS.findall(name)]
-        if HINTS.intersection(parts) and not NO_HINT_AFTER.intersection(parts):
-            return True
-    return False
+        if not NO_HINT_AFTER.intersection(parts):
+            found |= HINTS.intersection(parts)
+    return found
 
 
 def _hidden(attributes: dict[str, str]) -> bool:
@@ -170,9 +180,11 @@ class Page:
         node = Node(name, parent, path)
         node.article = parent.article or name in ("article", "main")
         node.out = name in NEVER or name == "header" and not parent.article or name not in ROOTS and _hidden(attributes)
-        node.hinted = name not in ROOTS and not node.out and _hinted(attributes)
+        hints = _hinted(attributes) if name not in ROOTS and not node.out else frozenset()
+        node.hinted = bool(hints)
+        node.soft = parent.article and bool(hints) and hints <= SOFT
         if parent.article and node.hinted and name in ("header", "div", "section", "hgroup") and "header" in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower():
-            node.hinted = False
+            node.hinted = node.soft = False
         parent.children.append(node)
         self.open.append(node)
         if name in ("article", "main") and not (node.out or node.hinted):
@@ -190,7 +202,8 @@ class Page:
 
 
 def _left_in(page: Page) -> list[Leaf]:
-    """The leaves outside of what is never article text; a class or id alone does not rule out what an article is in."""
+    """The leaves outside of what is never article text; a class or id alone does not rule out what an article is in or what stands in one."""
+    prose = _prose(page)
     out = {}
 
     def is_out(node: Node) -> bool:
@@ -200,12 +213,44 @@ def _left_in(page: Page) -> list[Leaf]:
             node = node.parent
         verdict = out[id(node)] if node is not None else False
         for one in reversed(chain):
-            verdict = out[id(one)] = verdict or one.out or one.hinted and not one.holds
+            verdict = out[id(one)] = verdict or one.out or one.hinted and not one.holds and id(one) not in prose
         return verdict
 
     return [leaf for leaf in page.leaves if not is_out(leaf.node)]
 
 
+def _prose(page: Page) -> set[int]:
+    """Softly hinted elements of an article whose paths are as rich in text and punctuation as those of its other parts."""
+    parts: dict[int, list[int]] = {}
+    own: dict[int, list[int]] = {}
+    for at, leaf in enumerate(page.leaves):
+        node, soft = leaf.node, None
+        while node is not None and not node.out:
+            soft = node if node.soft else soft
+            node = node.parent
+        if node is None and soft is not None:
+            parts.setdefault(id(soft), []).append(at)
+        elif node is None and leaf.node.article and not leaf.text.isspace():
+            own.setdefault(0, []).append(at)
+    if not parts:
+        return set()
+    ratios = path_ratios(page.leaves)
+    usual = np.mean([ratios[at] for at in own.get(0, ())] or [0.0])
+    return {node for node, leaves in parts.items() if max(ratios[at] for at in leaves) >= PROSE * usual}
+
+
+def path_ratios(leaves: list[Leaf]) -> np.ndarray:
+    """The geometric mean of the text and punctuation ratios of every leaf's path; 0 for blank leaves."""
+    length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
+    for leaf in leaves:
+        if not leaf.text.isspace():
+            length[leaf.node.path] += len(leaf.text.strip())
+            marks[leaf.node.path] += len(PUNCTUATION.findall(leaf.text))
+            count[leaf.node.path] += 1
+    ratio = {p: np.sqrt(length[p] / n * (1 + marks[p] / n)) for p, n in count.items()}
+    return np.array([0.0 if leaf.text.isspace() else ratio[leaf.node.path] for leaf in leaves])
+
+
 def path_scores(leaves: list[Leaf]) -> np.ndarray:
     """The fused, smoothed ratio of every leaf's path; 0 for blank leaves."""
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)

@@ -29,6 +29,17 @@ def test_no_selected_text_is_lost_without_an_article():
         assert got.startswith("Title\n") and sorted(got.split("\n")[1:]) == sorted([lead.strip(), body.strip()])
 
 
+def test_parts_of_an_article_are_not_dropped_for_a_name():
+    """What path ratios tell apart: long prose under a class that pages also use for their frame, and a line of links under the same."""
+    prose = "Earlier authors, as is known, found the same, in a larger set. " * 4
+    for part in ('<div class="related-work"><p>{}</p></div>', '<section id="legal"><p>{}</p><p>{}</p></section>', '<div class="search-results">{}</div>'):
+        inner = part.replace("{}", prose)
+        got = main_text(PAGE.format(body=f"<article><h1>Title</h1><p>{prose}</p>{inner}<p>{prose}</p></article>"))
+        assert got.split("\n") == ["Title", *[prose.strip()] * (2 + max(1, inner.count("<p>")))]
+        links = part.replace("{}", "<a href='/x'>More</a>")
+        assert main_text(PAGE.format(body=f"<article><p>{prose}</p>{links}<p>{prose}</p></article>")) == "\n".join([prose.strip()] * 2)
+
+
 def test_odd_pages():
     assert [main_text(x) for x in (None, "", "<p>", "<", "plain text", "a<b", "<script>x")] == ["", "", "", "<", "plain text", "a", ""]
     assert main_text("<div>" * 3000 + "deep, deep text") == "deep, deep text"
