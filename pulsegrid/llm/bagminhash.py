@@ -24,16 +24,18 @@ shares no bucket with a probability of 4e-6.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsegrid.llm.components import components
 from pulsegrid.llm.textbatch import Texts, lowered, mixed, per_batch, pieces, row_hashes, shingles, span_hashes, word_hashes
-from pulsegrid.storage import durable
+from pulsegrid.storage import durable, new_table_path
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -110,7 +112,7 @@ def _keys(pairs: np.ndarray) -> pa.Array:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``row_id`` and ``text_hash`` (the row's identity), ``key`` of the words, and ``bands`` (none without a word)."""
-    types = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_id bigint, text_hash bigint, key binary, bands array<bigint>"
+    types = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_id {_row_id_type(docs)}, text_hash bigint, key binary, bands array<bigint>"
 
     def step(batch: pa.RecordBatch):
         for texts in pieces(lowered(batch.column(3))):
@@ -124,7 +126,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*ids, _keys(keys), lists], names=["doc_id", "row_id", "text_hash", "key", "bands"])
 
     names = ["doc_id", "row_id", "text_hash", "text"]
-    return per_batch(docs.select("doc_id", *_identity(), "text"), names, types, step)
+    return per_batch(docs.select("doc_id", *_identity(docs), "text"), names, types, step)
 
 
 def _bag_table(docs: DataFrame) -> DataFrame:
@@ -153,11 +155,21 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(together) - both)
 
 
-def similarities(pairs: DataFrame, bag_table: DataFrame) -> DataFrame:
-    """``a, b, similar`` of pairs of nodes; both joins are plain, so that Spark can split a pivot with very many partners."""
-    left = bag_table.select(F.col("id").alias("a"), F.col("bag").alias("bag_a"))
-    right = bag_table.select(F.col("id").alias("b"), F.col("bag").alias("bag_b"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b")
+def _bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` written in buckets of a column, so that later joins on it move the other side only."""
+    spark = df.sparkSession
+    path, buckets = new_table_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, column).sortBy(column).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def similarities(pairs: DataFrame, active: DataFrame, bag_table: DataFrame) -> DataFrame:
+    """``a, b, similar`` of pairs of nodes; one bag of a pair is sent to the other. Joins are plain, so Spark can split a pivot with many partners."""
+    ends = [active.select(F.col("id").alias(c), F.col("key").alias(f"key_{c}")) for c in ("a", "b")]
+    keyed = pairs.select("a", "b").join(ends[0], "a").join(ends[1], "b")
+    left, right = (bag_table.select(F.col("key").alias(f"key_{c}"), F.col("bag").alias(f"bag_{c}")) for c in ("a", "b"))
+    joined = keyed.join(left, "key_a").drop("key_a").join(right, "key_b").select("a", "b", "bag_a", "bag_b")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,10 +199,10 @@ def _own_shingles(bag_table: DataFrame) -> DataFrame:
     filled = F.map_from_entries(F.collect_list(F.struct("cell", F.col("n").cast("int"))))
     sketch = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda k: F.coalesce(F.try_element_at("cells", k), F.lit(0)))
     found = cells.groupBy("id").agg(filled.alias("cells"), F.sum("n").alias("others")).select("id", "others", sketch.alias("sketch"))
-    return bag_table.select("id", (F.octet_length("bag") / 8).alias("total")).join(found, "id")
+    return bag_table.select("id", "total").join(found, "id")
 
 
-def _between_classes(member: DataFrame, near: DataFrame, labels: DataFrame, bag_table: DataFrame) -> DataFrame:
+def _between_classes(member: DataFrame, near: DataFrame, labels: DataFrame, active: DataFrame, bag_table: DataFrame) -> DataFrame:
     """Pairs of one bucket and two classes that the comparison with the pivot has left open and that may be links."""
     known = member.join(labels, member["id"] == labels["node"], "left").select("bucket", "id", "pivot", F.coalesce("label", "id").alias("label"))
     known = known.join(near.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "similar"), ["id", "pivot"], "left")
@@ -199,7 +211,8 @@ def _between_classes(member: DataFrame, near: DataFrame, labels: DataFrame, bag_
     main = per_class.groupBy("bucket").agg(F.count("*").alias("classes"), F.max_by("label", F.struct("n", "label")).alias("main"))
     rows = durable(known.where("id <> pivot").join(main.where("classes > 1"), "bucket").select("bucket", "id", "label", "main", "far"), "open")
 
-    sizes = _own_shingles(bag_table.join(rows.select("id", "label").distinct(), "id"))
+    wanted = durable(rows.select("id", "label").distinct().join(active.select("id", "key"), "id"), "wanted")
+    sizes = _own_shingles(bag_table.join(wanted, "key"))
     possible = sizes.where(F.col("others") >= SIMILAR * F.col("total"))
     rows = durable(rows.join(possible, "id"), "possible")
     width = 1 - SIMILAR
@@ -228,15 +241,15 @@ def _classes_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     member = durable(member.select("bucket", "id").join(pivot, "bucket"), "members")
 
     active = durable(nodes.join(central.select("id"), "id", "left_semi").select("id", "key", "row_id"), "active")
-    texts = docs.select("text", *_identity()).select("text", "row_id").join(active.select("row_id"), "row_id", "left_semi")
-    found = _bag_table(texts).join(active.select("id", "key"), "key")
-    bag_table = durable(found.groupBy("id").agg(F.first("bag").alias("bag")), "bags")
+    texts = docs.select("text", *_identity(docs)).select("text", "row_id").join(active.select("row_id"), "row_id", "left_semi")
+    found = _bag_table(texts).groupBy("key").agg(F.first("bag").alias("bag"))
+    bag_table = _bucketed(found.withColumn("total", F.octet_length("bag") / 8), "key", "bags")
 
     starred = member.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    near = durable(similarities(starred, bag_table), "similar")
+    near = durable(similarities(starred, active, bag_table), "similar")
     labels = durable(components(near.where(F.col("similar") >= SIMILAR)), "labels")
 
-    rest = similarities(_between_classes(member, near, labels, bag_table), bag_table).where(F.col("similar") >= SIMILAR)
+    rest = similarities(_between_classes(member, near, labels, active, bag_table), active, bag_table).where(F.col("similar") >= SIMILAR)
     rest = durable(rest.select("a", "b"), "links")
     if rest.isEmpty():
         return labels
@@ -249,9 +262,21 @@ def _classes_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return every.join(merged, "label", "left").select("node", F.coalesce("merged", "label").alias("label"))
 
 
-def _identity():
-    """A row's id (the least long for null) and a hash of its text: rows that share both are the same row repeated."""
-    return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("row_id"), F.xxhash64("text").alias("text_hash")]
+def _identity(docs: DataFrame, names: tuple[str, str] = ("row_id", "text_hash")) -> list[Column]:
+    """A row's id and a hash of its text: rows that share both are the same row repeated.
+
+    A null id becomes the least one; ids other than whole numbers are taken as text, with a mark before it that null lacks.
+    """
+    doc_id = docs["doc_id"]
+    if _row_id_type(docs) == "bigint":
+        row_id = F.coalesce(doc_id.cast("bigint"), F.lit(-(2**63)))
+    else:
+        row_id = F.when(doc_id.isNull(), "").otherwise(F.concat(F.lit("="), doc_id.cast("string")))
+    return [row_id.alias(names[0]), F.xxhash64(docs["text"]).alias(names[1])]
+
+
+def _row_id_type(docs: DataFrame) -> str:
+    return "bigint" if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) else "string"
 
 
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -279,9 +304,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     firsts = named.groupBy("label").agg(F.min("first").alias("first")).select("first.row_id", "first.text_hash")
     copies = rows.join(firsts, ["row_id", "text_hash"], "left_semi").groupBy("row_id", "text_hash").agg(F.count("*").alias("n"))
     copies = durable(copies, "kept")
-    names = ["_row_id", "_text_hash"]
-    marked = docs.withColumns(dict(zip(names, _identity())))
-    once, more = (copies.where(c).select(F.col("row_id").alias("_row_id"), F.col("text_hash").alias("_text_hash")) for c in ("n = 1", "n > 1"))
+    mark = "_" * (1 + max(len(c) for c in docs.columns))  # longer than any column's name, so that none is hidden
+    names = [f"{mark}row_id", f"{mark}text_hash"]
+    marked = docs.select("*", *_identity(docs, tuple(names)))
+    once, more = (copies.where(c).select(*[F.col(a).alias(b) for a, b in zip(("row_id", "text_hash"), names)]) for c in ("n = 1", "n > 1"))
     kept = marked.join(once, names, "left_semi")
     if not more.isEmpty():
         kept = kept.unionByName(marked.join(more, names, "left_semi").dropDuplicates(names))
