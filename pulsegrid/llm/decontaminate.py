@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pulsegrid.llm.textbatch import lowered, over_batches, per_batch, pieces, shingles, word_hashes
 
@@ -141,7 +142,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, n_shingles, n_shared, containment`` of every item that a document contains."""
     types = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}"
     names = ["doc_id", "item_id", "n_shingles", "n_shared"]
-    item_type = pa.int64() if "bigint" in types.rpartition(" ")[2] else None
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
 
     def of_block(rows: list) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(_read_items(rows))

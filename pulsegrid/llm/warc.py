@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MIN_REVISIT = 100
 SALTS = 32
@@ -190,8 +191,8 @@ def read_records(index: DataFrame, target: str) -> DataFrame:
     return spread.mapInArrow(step, "record_id string, record_type string, payload_bytes bigint, payload_digest string, refers_to_id string")
 
 
-def _page_of(c: str) -> Column:
-    return F.nullif(F.regexp_extract(c, "<urn:page:(.*)>", 1), F.lit("none")).cast("bigint")
+def _page_of(c: str, kind: T.DataType) -> Column:
+    return F.nullif(F.regexp_extract(c, "<urn:page:(.*)>", 1), F.lit("none")).cast(kind)
 
 
 def roundtrip(pages: DataFrame, folder: str) -> DataFrame:
@@ -199,4 +200,5 @@ def roundtrip(pages: DataFrame, folder: str) -> DataFrame:
     write_archives(with_types(pages), f"{folder}/whole")
     index = normalise(pages.sparkSession, f"{folder}/whole", f"{folder}/records")
     found = read_records(index, f"{folder}/records")
-    return found.select(_page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", _page_of("refers_to_id").alias("refers_to"))
+    kind = pages.schema["page_id"].dataType
+    return found.select(_page_of("record_id", kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", _page_of("refers_to_id", kind).alias("refers_to"))
