@@ -85,6 +85,29 @@ def test_repeated_and_null_ids(spark):
     assert bagminhash.classes(table.where("false")).count() == 0
 
 
+def test_ids_of_text_and_names_that_clash(spark):
+    draw = random.Random(9)
+    base = words(draw, 200)
+    near = [*base[:150], "another", *base[151:]]
+    rows = [("b", " ".join(base)), ("a", " ".join(near)), (None, " ".join(base)), ("", "some other text that stands alone here"), ("c", None), ("b", " ".join(base))]
+    table = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", "77 as _row_id", "78 as row_id", "'x' as _text_hash", "79 as key", "80 as label")
+    got = sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in bagminhash.classes(table).collect())
+    assert got == sorted([("b", "a", 4), ("a", "a", 4), ("None", "a", 4), ("b", "a", 4), ("", "", 1), ("c", "c", 1)])
+    kept = bagminhash.one_of_each(table)
+    assert kept.columns == table.columns
+    assert sorted([tuple(r) for r in kept.collect()], key=str) == sorted([(i, t, 77, 78, "x", 79, 80) for i, t in [("a", " ".join(near)), rows[3], rows[4]]], key=str)
+    as_int = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near))], "doc_id int, text string")
+    assert [r.class_id for r in bagminhash.classes(as_int).collect()] == [1, 1]
+
+
+def test_items_of_any_type_of_id(spark):
+    text = " ".join(words(random.Random(3), 30))
+    docs = spark.createDataFrame([("d1", f"before it {text} after it"), ("d2", "nothing of the kind")], "doc_id string, text string")
+    for kind, item in (("int", 5), ("bigint", 5), ("string", "five"), ("smallint", 5)):
+        bench = spark.createDataFrame([(item, text)], f"item_id {kind}, text string")
+        assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()] == [("d1", item)]
+
+
 def test_registers_estimate_weighted_similarity():
     draw, errors = np.random.default_rng(0), []
     for _ in range(150):

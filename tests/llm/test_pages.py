@@ -80,3 +80,9 @@ def test_no_pages_and_repeated_ids(spark, folder):
     rows = [(1, "u", "p" * 200), (1, "u", "p" * 200), (None, "u", "p" * 200)]
     got = warc.roundtrip(spark.createDataFrame(rows, none.schema), f"{folder}/same").collect()
     assert sorted((r.page_id or 0, r.record_type) for r in got) == [(0, "revisit"), (1, "response"), (1, "response")]
+
+
+def test_archives_of_text_ids(spark, folder):
+    rows = [("b", "u", "copy " * 40), ("a", "u", "copy " * 40), ("c", "u", None)]
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.roundtrip(spark.createDataFrame(rows, "page_id string, url string, html string"), folder).collect()}
+    assert got == {"a": ("response", None), "b": ("revisit", "a"), "c": ("response", None)}
