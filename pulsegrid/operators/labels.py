@@ -255,7 +255,7 @@ def overlap_counts(windows: DataFrame, intervals: DataFrame, group_rows: int | N
 def window_truth(
     windows: DataFrame, intervals: DataFrame, session: DataFrame | None = None, group_rows: int | None = None
 ) -> DataFrame:
-    """Ground truth per window: covered, has_anomaly, is_normal, number of faults.
+    """Ground truth per window: covered, has_anomaly, normal_overlap, is_normal, number of faults.
 
     ``session`` has one row (session_start, session_end); an open session has no end.
     """
@@ -274,6 +274,7 @@ def window_truth(
         {
             "faults": F.when(seen, F.col("faults")).otherwise(0),
             "has_anomaly": seen & (F.col("faults") > 0),
+            "normal_overlap": seen & (F.col("normals") > 0),
             "is_normal": seen & (F.col("normals") > 0) & (F.col("faults") == 0),
         }
     )
@@ -302,6 +303,18 @@ def overlapping_faults(windows: DataFrame, intervals: DataFrame, bin_seconds: in
     )
 
 
+def fault_details(windows: DataFrame, faults: DataFrame, bin_seconds: int = 600) -> DataFrame:
+    """What overlaps each window, by kind and target of fault: number, first start, last end, and seconds inside the window.
+
+    ``faults`` (start_ts, end_ts, fault_type, target_service) are counted as they meet; a missing kind or target is ``?``.
+    """
+    named = faults.select("start_ts", "end_ts", F.lit(ANOMALOUS).alias("label"), *[F.coalesce(c, F.lit("?")).alias(c) for c in ("fault_type", "target_service")])
+    inside = (F.least(_micros("end_ts"), _micros("window_end")) - F.greatest(_micros("start_ts"), _micros("window_start"))) / 1_000_000
+    return overlapping_faults(windows, named, bin_seconds).groupBy("window_id", "window_start", "window_end", "fault_type", "target_service").agg(
+        F.count(F.lit(1)).alias("faults"), F.min("start_ts").alias("first_start"), F.max("end_ts").alias("last_end"), F.sum(inside).alias("seconds")
+    )
+
+
 def verdicts(truth: DataFrame, flagged: str = "flagged") -> DataFrame:
     """TP / TN / FP / FN per covered window from its number of flagged sequences."""
     predicted, actual = F.col(flagged) > 0, F.col("has_anomaly")

@@ -9,7 +9,7 @@ from pulsegrid.operators import sessions as S
 from pulsegrid.operators.timegrid import floor_time
 from pulsegrid.operators.windows import sliding_windows, window_label
 from pulsegrid.plans.base import (
-    EV, HOURLY, INTERVALS, MARKS, WINDOW, day, events, hour_marks, hourly, intervals, query, r6, rows_in, sql,
+    EV, FAULT_VALUE, HOURLY, INTERVALS, MARKS, WINDOW, day, events, hour_marks, hourly, intervals, query, r6, rows_in, sql,
 )
 
 LABELLED = """labelled AS (
@@ -157,6 +157,25 @@ def overlapping_faults(spark, sf):
     return pairs.select("window_start", "start_ts", "end_ts")
 
 
+@query(
+    "window_fault_details",
+    sql(EV, PREDICTION_WINDOWS, body=f"""SELECT w.window_start, coalesce(CASE f.k % 4 WHEN 0 THEN 'cpu' WHEN 1 THEN 'memory' WHEN 2 THEN 'network' END, '?') AS fault_type, 'service-' || (f.user_id % 5) AS target_service,
+  count(*) AS faults, min(f.ts) AS first_start, max(f.ts + to_minutes(10 + f.k)) AS last_end,
+  round(sum(epoch_us(least(f.ts + to_minutes(10 + f.k), w.window_end)) - epoch_us(greatest(f.ts, w.window_start))) / 1000000, 6) AS seconds
+FROM windows w JOIN ev f ON f.metric = 'error' AND f.value > {FAULT_VALUE} AND f.ts <= w.window_end AND f.ts + to_minutes(10 + f.k) >= w.window_start GROUP BY ALL"""),
+)
+def window_fault_details(spark, sf):
+    """Kinds and targets of the faults of every prediction window."""
+    k = F.col("k")
+    kind = F.when(k % 4 == 0, "cpu").when(k % 4 == 1, "memory").when(k % 4 == 2, "network")
+    faults = events(spark, sf).where((F.col("metric") == "error") & (F.col("value") > FAULT_VALUE)).select(
+        F.col("ts").alias("start_ts"), (F.col("ts") + F.make_interval(mins=k + 10)).alias("end_ts"), kind.alias("fault_type"),
+        F.concat(F.lit("service-"), (F.col("user_id") % 5).cast("string")).alias("target_service"),
+    )
+    found = L.fault_details(_prediction_windows(spark, sf), faults, bin_seconds=3600)
+    return found.select("window_start", "fault_type", "target_service", "faults", "first_start", "last_end", r6("seconds").alias("seconds"))
+
+
 FAULTS = """faults AS (SELECT CASE k % 4 WHEN 0 THEN 'cpu' WHEN 1 THEN 'memory' WHEN 2 THEN 'network' END AS fault_type,
   'service-' || (user_id % 40) AS target_service, CAST(10 + k AS DOUBLE) * 60 AS duration_s FROM ev WHERE metric = 'error')"""
 
