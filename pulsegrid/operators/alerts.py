@@ -68,10 +68,28 @@ def step(crossed: bool, active: int, cooldown: int, persistence: int, pause: int
 
 
 def fire(crossed: np.ndarray, active: int, cooldown: int, persistence: int, pause: int) -> tuple[np.ndarray, int, int]:
-    """Which rows fire, and the state after the last one."""
+    """Which rows fire, and the state after the last one.
+
+    A run of crossings uses up what is left of the cooldown, fires once its count is full, and then again after every pause and count;
+    so a step is taken per run, not per row.
+    """
     fired = np.zeros(crossed.size, dtype=bool)
-    for i, c in enumerate(crossed.tolist()):
-        active, cooldown, fired[i] = step(c, active, cooldown, persistence, pause)
+    need = max(persistence, 1)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], crossed, [False]]).astype(np.int8)))
+    for begin, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        if begin:
+            active = 0
+        first = begin + cooldown + max(need - active, 1) - 1
+        if first >= end:
+            counted = max(end - begin - cooldown, 0)
+            active, cooldown = active + counted, max(cooldown - (end - begin), 0)
+            continue
+        hits = np.arange(first, end, pause + need)
+        fired[hits] = True
+        after = end - 1 - int(hits[-1])
+        active, cooldown = max(after - pause, 0), max(pause - after, 0)
+    if crossed.size and not crossed[-1]:
+        active = 0
     return fired, active, cooldown
 
 

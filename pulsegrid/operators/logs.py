@@ -14,6 +14,10 @@ from pulsegrid.operators.windows import pad_list, sliding_windows
 from pulsegrid.storage import durable
 
 
+#: Numbers of an interval in one row of the export.
+LIST_NUMBERS = 10_000
+
+
 def parse_logs(lines: DataFrame, line: str = "value") -> DataFrame:
     """Fields of every line in log format, white space at its ends apart; other lines are dropped."""
     text = stripped(F.col(line))
@@ -58,9 +62,12 @@ def templates_per_interval(numbered: DataFrame, every: str = "1 second", ts: str
     )
 
 
-def numbers_per_interval(numbered: DataFrame, every: str = "1 second", ts: str = "ts") -> DataFrame:
-    """Sorted template numbers of every interval, as the export lists them; an interval's list is one row by its format."""
-    return numbered.groupBy(floor_time(F.col(ts), every).alias(ts)).agg(F.sort_array(F.collect_list("number")).alias("numbers"))
+def numbers_per_interval(numbered: DataFrame, every: str = "1 second", ts: str = "ts", limit: int = LIST_NUMBERS, group_rows: int | None = None) -> DataFrame:
+    """Sorted template numbers of every interval, as the export lists them: lists of at most ``limit`` numbers, ``part`` after part."""
+    rows = numbered.select(floor_time(F.col(ts), every).alias(ts), "number").withColumn("_tie", F.monotonically_increasing_id())
+    placed = positions(rows, [ts], ["number", "_tie"], "_at", group_rows)
+    part = F.floor(F.col("_at") / limit).alias("part")
+    return placed.groupBy(ts, part).agg(F.sort_array(F.collect_list("number")).alias("numbers"))
 
 
 def interval_size_summary(per_interval: DataFrame) -> DataFrame:

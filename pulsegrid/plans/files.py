@@ -188,16 +188,18 @@ def result_json(spark, sf):
 
 @query(
     "processed_logs_export",
-    sql(EV, LINES, PARSED, TEMPLATED, body="""SELECT date_trunc('hour', ts) AS ts, count(*) AS records, string_agg(number, ',' ORDER BY number) AS numbers
-FROM templated JOIN numbered USING (template) GROUP BY 1"""),
+    sql(EV, LINES, PARSED, TEMPLATED, body=f"""SELECT ts, part, count(*) AS records, string_agg(number, ',' ORDER BY number) AS numbers
+FROM (SELECT date_trunc('hour', ts) AS ts, number, (row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY number) - 1) // {G.LIST_NUMBERS} AS part
+  FROM templated JOIN numbered USING (template)) GROUP BY 1, 2"""),
 )
 def processed_logs_export(spark, sf):
-    """Templates, and the list of template numbers of every hour, as JSON tables."""
+    """Templates, and the lists of template numbers of every hour, as JSON tables."""
     path = new_table_path(spark, "processed")
     numbered, counts = _numbered(spark, sf)
-    K.write_processed_logs(counts, G.numbers_per_interval(numbered, "1 hour").withColumn("ts", F.col("ts").cast("timestamp")), path)
-    found = spark.read.schema("ts timestamp, numbers array<int>").json(f"{path}/intervals")
-    return found.select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.size("numbers").cast("bigint").alias("records"), F.array_join(F.col("numbers").cast("array<string>"), ",").alias("numbers"))
+    lists = G.numbers_per_interval(numbered, "1 hour", group_rows=rows_in(spark, sf, "events"))
+    K.write_processed_logs(counts, lists.withColumn("ts", F.col("ts").cast("timestamp")), path)
+    found = spark.read.schema("ts timestamp, part bigint, numbers array<int>").json(f"{path}/intervals")
+    return found.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "part", F.size("numbers").cast("bigint").alias("records"), F.array_join(F.col("numbers").cast("array<string>"), ",").alias("numbers"))
 
 
 @query("metric_time_counts", sql(EV, body="SELECT date_trunc('hour', ts) AS ts, count(*) AS n FROM ev GROUP BY 1"))

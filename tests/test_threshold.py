@@ -210,3 +210,18 @@ def test_drift_jumps_equal_row_by_row(depth, cuts, update_with_alarm):
     assert np.concatenate([g[0] for g in got]).tolist() == want[0] and {0, 1, 2} <= set(want[0])
     assert np.allclose(np.concatenate([g[1] for g in got]), want[1], rtol=1e-9)
     assert np.allclose(state.recent, want[2]) and state.accepted == want_state.accepted and state.total == want_state.total
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_firing_by_runs_equals_row_by_row(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(60):
+        persistence, pause = int(rng.integers(0, 5)), int(rng.integers(0, 5))
+        crossed = rng.uniform(size=int(rng.integers(0, 40))) < rng.choice([0.2, 0.6, 0.95])
+        for active, cooldown in A._all_states(persistence, pause):
+            state, want = (active, cooldown), []
+            for c in crossed.tolist():
+                *state, hit = A.step(c, *state, persistence, pause)
+                want.append(hit)
+            got, *after = A.fire(crossed, active, cooldown, persistence, pause)
+            assert got.tolist() == want and after == list(state)
