@@ -125,17 +125,44 @@ def _suite(spark, sf, names):
     return E.report_averages(report, ["model"])
 
 
-def _register(name):
-    @query(f"classify_{name}")
+BAYES_SQL = f"""WITH v AS (SELECT vec_id, embedding, CASE WHEN label = 0 THEN 1 ELSE 0 END AS label FROM embeddings),
+o AS (SELECT vec_id, label, (row_number() OVER (PARTITION BY label ORDER BY md5('{SEED}:' || vec_id), vec_id) - 1) % {FOLDS} AS own FROM v),
+x AS (SELECT vec_id, own, label, x::DOUBLE AS x, i FROM o JOIN (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM v) USING (vec_id)),
+k AS (SELECT unnest(range({FOLDS})) AS fold),
+{{scored}},
+p AS (SELECT label, arg_max(class, score) AS guess FROM scored GROUP BY vec_id, label),
+sides AS (SELECT label AS class, 1 AS support, 0 AS guessed, CASE WHEN guess = label THEN 1 ELSE 0 END AS hit FROM p UNION ALL SELECT guess, 0, 1, 0 FROM p),
+r AS (SELECT class, coalesce(sum(hit) / nullif(sum(guessed), 0), 0) AS p, coalesce(sum(hit) / nullif(sum(support), 0), 0) AS r, sum(support) AS s FROM sides GROUP BY class),
+f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM r)
+SELECT '{{model}}' AS model, CAST(sum(s) AS BIGINT) AS support, round(sum(r * s) / sum(s), 6) AS accuracy, round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall,
+  round(avg(f1), 6) AS macro_f1, round(sum(p * s) / sum(s), 6) AS weighted_precision, round(sum(r * s) / sum(s), 6) AS weighted_recall, round(sum(f1 * s) / sum(s), 6) AS weighted_f1 FROM f"""
+
+#: Normal densities per class and dimension; the spread is widened by a billionth of the greatest one.
+GAUSSIAN_SQL = BAYES_SQL.replace("{model}", "gaussian_nb").replace("{scored}", """m AS (SELECT fold, label AS class, i, count(*) AS n, avg(x) AS mu, avg(x * x) - avg(x) * avg(x) AS s FROM x JOIN k ON own <> fold GROUP BY ALL),
+e AS (SELECT fold, 1e-9 * max(s) AS e FROM (SELECT fold, i, var_samp(x) AS s FROM x JOIN k ON own <> fold GROUP BY ALL) GROUP BY fold),
+scored AS (SELECT x.vec_id, x.label, m.class, max(ln(n)) - 0.5 * sum(ln(2 * pi() * (s + e)) + (x - mu) * (x - mu) / (s + e)) AS score
+  FROM x JOIN m ON m.fold = x.own AND m.i = x.i JOIN e ON e.fold = x.own GROUP BY ALL)""")
+
+#: What the other classes have of each dimension, shifted to start from 0: a row goes where the others fit worst.
+COMPLEMENT_SQL = BAYES_SQL.replace("{model}", "complement_nb").replace("{scored}", """low AS (SELECT fold, min(x) AS low FROM x JOIN k ON own <> fold GROUP BY fold),
+t AS (SELECT fold, label, i, sum(x - low) AS t FROM x JOIN low ON own <> fold GROUP BY ALL),
+c AS (SELECT a.fold, a.label AS class, a.i, sum(b.t) AS t FROM t a JOIN t b ON a.fold = b.fold AND a.i = b.i AND a.label <> b.label GROUP BY ALL),
+w AS (SELECT fold, class, i, ln(t + 1) - ln(sum(t + 1) OVER (PARTITION BY fold, class)) AS w FROM c),
+scored AS (SELECT x.vec_id, x.label, w.class, -sum(greatest(x - low, 0) * w) AS score FROM x JOIN low ON low.fold = x.own JOIN w ON w.fold = x.own AND w.i = x.i GROUP BY ALL)""")
+
+
+def _register(name, sql_twin=None):
+    @query(f"classify_{name}", sql_twin)
     def run(spark, sf):
         averages = _suite(spark, sf, [name])
         return averages.withColumns({c: r6(c) for c in averages.columns if c not in ("model", "support")})
 
 
-CONTRACT = ("decision_tree", "gaussian_nb", "complement_nb", "linear_svc", "kernel_svc")
+CONTRACT = ("decision_tree", "linear_svc", "kernel_svc")
 SUITE = ("decision_tree", "random_forest", "gaussian_nb", "complement_nb", "mlp", "linear_svc", "sampled_svc")
+TWINS = {"gaussian_nb": GAUSSIAN_SQL, "complement_nb": COMPLEMENT_SQL}
 for _name in (*SUITE, "kernel_svc"):
-    _register(_name)
+    _register(_name, TWINS.get(_name))
 
 
 @query(
