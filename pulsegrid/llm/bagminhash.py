@@ -43,6 +43,8 @@ BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 #: Cells of the counts that bound an overlap.
 CELLS = 128
+#: Pairs of one node that go to one task.
+PARTNERS = 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -164,12 +166,39 @@ def _bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
     return spark.table(table)
 
 
+def _with_bag(rows: DataFrame, end: str, many: DataFrame | None, active: DataFrame, bag_table: DataFrame) -> DataFrame:
+    """``rows`` with ``bag_<end>``, the bag of the node in that column.
+
+    Rows are sent to the buckets of the bags. Nodes of ``many`` (the end and its number ``_n`` of pairs) would fill one task each: their rows are
+    dealt to as many groups as it takes, each with a copy of the one bag.
+    """
+    key, bag = f"key_{end}", f"bag_{end}"
+    keys = active.select(F.col("id").alias(end), F.col("key").alias(key))
+    bags_ = bag_table.select(F.col("key").alias(key), F.col("bag").alias(bag))
+    if many is None:
+        return rows.join(keys, end).join(bags_, key).drop(key)
+    groups = F.expr(f"_n div {PARTNERS} + 1")
+    copies = many.join(keys, end).join(bags_, key).select(end, bag, F.explode(F.sequence(F.lit(1).cast("bigint"), groups)).alias("_group"))
+    other = "b" if end == "a" else "a"
+    dealt = rows.join(many, end).withColumn("_group", F.pmod(F.xxhash64(other), groups) + 1).drop("_n")
+    return dealt.join(copies, [end, "_group"]).drop("_group")
+
+
 def similarities(pairs: DataFrame, active: DataFrame, bag_table: DataFrame) -> DataFrame:
-    """``a, b, similar`` of pairs of nodes; one bag of a pair is sent to the other. Joins are plain, so Spark can split a pivot with many partners."""
-    ends = [active.select(F.col("id").alias(c), F.col("key").alias(f"key_{c}")) for c in ("a", "b")]
-    keyed = pairs.select("a", "b").join(ends[0], "a").join(ends[1], "b")
-    left, right = (bag_table.select(F.col("key").alias(f"key_{c}"), F.col("bag").alias(f"bag_{c}")) for c in ("a", "b"))
-    joined = keyed.join(left, "key_a").drop("key_a").join(right, "key_b").select("a", "b", "bag_a", "bag_b")
+    """``a, b, similar`` of pairs of nodes; one bag of a pair is sent to the other."""
+    pairs = durable(pairs.select("a", "b"), "pairs")
+    parts: list[tuple[DataFrame, dict[str, DataFrame]]] = [(pairs, {})]
+    for end in ("a", "b"):
+        many = durable(pairs.groupBy(end).agg(F.count("*").alias("_n")).where(F.col("_n") > PARTNERS), "many")
+        if not many.isEmpty():
+            split = [[(rows.join(many, end, "left_anti"), known), (rows.join(many, end, "left_semi"), known | {end: many})] for rows, known in parts]
+            parts = [part for both in split for part in both]
+    joined = None
+    for rows, known in parts:
+        for end in ("a", "b"):
+            rows = _with_bag(rows, end, known.get(end), active, bag_table)
+        rows = rows.select("a", "b", "bag_a", "bag_b")
+        joined = rows if joined is None else joined.unionByName(rows)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
