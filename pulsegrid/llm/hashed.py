@@ -24,12 +24,27 @@ def bucket(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def byte_grams(data: np.ndarray, words: Words, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order: (position of the word in ``words``, bucket) of its n-grams of bytes, with a mark before and after the word."""
-    lengths = words.end - words.begin
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 bytes, and for every byte the number of the character that it is part of."""
+    first = (data & 0xC0) != 0x80
+    at = np.flatnonzero(first)
+    lead = data[at].astype(np.uint32)
+    length = 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
+    value = lead & np.array([0, 0x7F, 0x1F, 0x0F, 0x07], dtype=np.uint32)[length]
+    for k in range(1, 4):
+        longer = np.flatnonzero(length > k)
+        value[longer] = value[longer] << np.uint32(6) | data[at[longer] + k] & np.uint32(0x3F)
+    return value, np.cumsum(first) - 1
+
+
+def character_grams(data: np.ndarray, words: Words, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order: (position of the word in ``words``, bucket) of its n-grams of characters, with a mark before and after the word."""
+    points, number = code_points(data)
+    begin, last = (number[x] if len(x) else x for x in (words.begin, words.end - 1))
+    lengths = last + 1 - begin
     at = np.cumsum(lengths + 1) - lengths  # the word's place in a copy with one mark between words
     padded = np.full(int(lengths.sum()) + len(lengths) + 1, MARK, dtype=np.uint32)
-    padded[expand(at, lengths)] = data[expand(words.begin, lengths)]
+    padded[expand(at, lengths)] = points[expand(begin, lengths)]
     for order in orders:
         hashes = np.zeros(max(0, len(padded) - order + 1), dtype=np.uint32)
         for k in range(order):

@@ -1,7 +1,7 @@
 """Quality: logistic regression on hashed word and character n-grams, calibrated, scored in Arrow batches against fixed thresholds.
 
 Words are runs of anything but the six ASCII blanks, in their own case. A text is described by two averages: over its words, word pairs and
-over the byte n-grams of its words. The regression is fitted on at most ``FIT_ROWS`` labelled rows of each label; a fifth of them is kept
+over the character n-grams of its words. The regression is fitted on at most ``FIT_ROWS`` labelled rows of each label; a fifth of them is kept
 back to fit the slope and offset that turn its output into probabilities (as if both labels were equally frequent).
 
 The base counts are exact up to collisions of 64-bit hashes of word triples within one text. A text fails them with fewer than 50 words, or
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pulsegrid.llm.hashed import BITS, Adam, bucket, byte_grams, labelled_sample, sigmoid
+from pulsegrid.llm.hashed import BITS, Adam, bucket, character_grams, labelled_sample, sigmoid
 from pulsegrid.llm.textbatch import NOT_BLANK, Texts, Words, filled, over_batches, per_batch, pieces, runs, shingles, span_hashes
 
 MIN_WORDS = 50
@@ -34,7 +34,7 @@ SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
 @dataclass(frozen=True)
 class Model:
-    """Weights per bucket of words and of byte n-grams, and what turns their averages into a log-odds."""
+    """Weights per bucket of words and of character n-grams, and what turns their averages into a log-odds."""
 
     words: np.ndarray
     grams: np.ndarray
@@ -47,7 +47,7 @@ def _features(texts: Texts) -> tuple[Words, list[list[tuple[np.ndarray, np.ndarr
     words = runs(NOT_BLANK[texts.data], texts.starts)
     hashes = span_hashes(texts.data, words.begin, words.end)
     pair_row, pair = shingles(words, hashes, 2, texts.n)
-    grams = [(words.row[position], b) for position, b in byte_grams(texts.data, words)]
+    grams = [(words.row[position], b) for position, b in character_grams(texts.data, words)]
     return words, [[(words.row, bucket(hashes)), (pair_row, bucket(pair))], grams]
 
 

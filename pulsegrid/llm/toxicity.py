@@ -1,6 +1,6 @@
 """Toxicity: embeddings of hashed subwords, averaged over short windows of words, into a linear softmax.
 
-A word's vector is the mean of the embeddings of its byte n-grams and of the whole word, so an unseen misspelling or ending shares most of its
+A word's vector is the mean of the embeddings of its character n-grams and of the whole word, so an unseen misspelling or ending shares most of its
 vector with words that were seen. The vectors of eight words in a row are averaged, and the softmax scores that window; a text is as toxic as
 its worst window, so that a few words count in a long text as in a short one. Embeddings and softmax are trained jointly in numpy, through a
 smooth maximum over the windows that is sharpened in training. Since all of this is linear up to the maximum, a score needs one number per
@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.hashed import BITS, Adam, bucket, byte_grams, labelled_sample, sigmoid
+from pulsegrid.llm.hashed import BITS, Adam, bucket, character_grams, labelled_sample, sigmoid
 from pulsegrid.llm.textbatch import WORD, Texts, Words, lowered, per_batch, pieces, word_hashes
 
 WINDOW = 8
 WIDTH = 8
 STEPS = 160
+#: A form in fewer texts of the sample is not fitted on, and embeddings shrink by this share of the gradient: both against learning by heart.
+LEAST_TEXTS, DECAY = 5, 1e-3
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -45,7 +47,14 @@ def _windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _word_features(texts: Texts) -> tuple[Words, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     words, hashes = word_hashes(texts, WORD)
-    return words, hashes, [(np.arange(len(hashes)), bucket(hashes)), *byte_grams(texts.data, words)]
+    return words, hashes, [(np.arange(len(hashes)), bucket(hashes)), *character_grams(texts.data, words)]
+
+
+def _known_forms(words_of: np.ndarray, sizes: np.ndarray, docs: np.ndarray, n_forms: int) -> np.ndarray:
+    """Whether a form is in ``LEAST_TEXTS`` of the texts: what is in fewer could only be learnt by heart."""
+    n_docs = int(docs.max()) + 1 if len(docs) else 1
+    pairs = np.unique(words_of.astype(np.int64) * n_docs + np.repeat(docs, sizes))
+    return np.bincount(pairs // n_docs, minlength=n_forms) >= LEAST_TEXTS
 
 
 def fit(pairs: list[tuple[str, int]], seed: int = 1) -> Model:
@@ -73,7 +82,10 @@ def fit(pairs: list[tuple[str, int]], seed: int = 1) -> Model:
         docs.append(row + texts.first)
     words_of, sizes, docs = map(np.concatenate, (words_of, sizes, docs))
     owner, buckets = np.concatenate(owner), np.concatenate(buckets)
-    per_form = np.bincount(owner, minlength=n_forms).astype(np.float32)
+    known = _known_forms(words_of, sizes, docs, n_forms)
+    keep = known[owner]
+    owner, buckets = owner[keep], buckets[keep]
+    per_form = np.maximum(np.bincount(owner, minlength=n_forms), 1).astype(np.float32)
     starts = np.cumsum(sizes) - sizes
     first_window = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.zeros(0, np.int64)
     if not len(docs):
@@ -100,7 +112,7 @@ def fit(pairs: list[tuple[str, int]], seed: int = 1) -> Model:
         to_form = np.bincount(words_of, weights=np.repeat(to_window, sizes), minlength=n_forms) / per_form
         to_bucket = np.bincount(buckets, weights=to_form[owner], minlength=1 << BITS).astype(np.float32)
         adam.step(
-            embeddings=(embeddings, to_bucket[:, None] * softmax[None, :] + 1e-5 * embeddings),
+            embeddings=(embeddings, to_bucket[:, None] * softmax[None, :] + DECAY * embeddings),
             softmax=(softmax, to_bucket @ embeddings),
             bias=(bias, np.array([error.sum()], np.float32)),
         )
