@@ -10,9 +10,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pulsegrid.llm import bagminhash, credentials, decontaminate, quality, toxicity
+from pulsegrid.llm import bagminhash, credentials, decontaminate, hashed, quality, toxicity
 from pulsegrid.llm.components import components
-from pulsegrid.llm.textbatch import pieces
+from pulsegrid.llm.textbatch import lowered, pieces, word_hashes
 
 WORD = re.compile("[a-z0-9\x80-\U0010ffff]+")
 
@@ -272,3 +272,73 @@ def test_quality_verdicts(labelled):
     kept = quality.keep_good(docs.selectExpr("doc_id", "text", "1 as kept", "2 as n_words"), labels)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(k for k, v in got.items() if v)
     assert kept.columns == ["doc_id", "text", "kept", "n_words"]
+
+
+def test_code_points_of_any_text():
+    text = "".join(map(chr, [1, 0x41, 0x7F, 0x80, 0x7FF, 0x800, 0xFFFF, 0x10000, 0x10FFFF])) + "aé漢😀"
+    values, number = hashed.code_points(np.frombuffer(text.encode(), np.uint8))
+    assert values.tolist() == [ord(c) for c in text]
+    assert number.tolist() == [i for i, c in enumerate(text) for _ in c.encode()]
+
+
+def plain_grams(word):
+    """Buckets of the character n-grams of a word, one by one."""
+    marked, out = [1, *map(ord, word), 1], []
+    for order in hashed.ORDERS:
+        for i in range(len(marked) - order + 1):
+            h = 0
+            for c in marked[i : i + order]:
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ c
+            h = (h ^ h >> 15) * (0x9E3779B1 + 2 * order) & 0xFFFFFFFF
+            out.append(h >> 32 - hashed.BITS)
+    return out
+
+
+def test_toxicity_scores_follow_from_the_model():
+    draw = np.random.default_rng(3)
+    model = toxicity.Model(draw.normal(size=1 << hashed.BITS).astype(np.float32), -0.3)
+    texts = ["", "one", "Ünïcode wörds, 漢字 and 😀 of-all kinds; again and again: nine ten eleven twelve", "a b c d e f g h i j k l m n o p q " * 40, "...", "x" * 3000]
+    got = np.concatenate([toxicity.scores(model, t) for t in pieces(lowered(pa.array(texts)))])
+    for text, score in zip(texts, got):
+        found = re.findall("[a-z0-9\x80-\U0010ffff]+", text.lower())
+        vectors = []
+        for word in found:
+            (piece,) = pieces(pa.array([word]))
+            buckets = [*hashed.bucket(word_hashes(piece)[1]).tolist(), *plain_grams(word)]
+            vectors.append(np.mean([model.weights[b] for b in buckets]))
+        windows = [np.mean(vectors[i : i + toxicity.WINDOW]) * toxicity.WINDOW for i in range(0, len(vectors), toxicity.WINDOW)]
+        assert abs(score - 1 / (1 + np.exp(-(max(windows, default=0.0) + model.bias)))) < 1e-5
+
+
+def test_quality_of_rows_that_were_not_fitted_on(spark, labelled):
+    docs, labels = labelled
+    truth = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    fitted = labels.where("doc_id % 3 <> 0 or doc_id is null")
+    rows = [r for r in quality.judge(docs, fitted).collect() if r.doc_id is not None and r.doc_id in truth and r.doc_id % 3 == 0]
+    assert len(rows) > 250 and np.mean([truth[r.doc_id] == r.kept for r in rows]) > 0.95
+
+
+def test_long_and_repeated_texts(spark, labelled):
+    docs, labels = labelled
+    long = (" ".join(words(random.Random(8), 200)) + " ") * 1_000
+    more = docs.unionByName(spark.createDataFrame([(6000, long), (6001, long + " nastyer nastyest nastyoid"), (6002, "same"), (6002, "same")], "doc_id bigint, text string"))
+    found = {}
+    for r in toxicity.toxicity(more, labels).where("doc_id >= 6000").collect():
+        found.setdefault(r.doc_id, []).append(r.score)
+    assert len(found[6002]) == 2 and len(set(found[6002])) == 1
+    assert found[6000][0] < 0.5 < found[6001][0]
+    judged = quality.judge(more, labels).where("doc_id >= 6000").collect()
+    assert sorted(r.n_words for r in judged) == [1, 1, 200_000, 200_003]
+
+
+def test_nodes_with_many_partners_are_dealt_out(spark, docs, monkeypatch):
+    want = partition(_class_lists(docs))
+    monkeypatch.setattr(bagminhash, "PARTNERS", 2)
+    assert partition(_class_lists(docs)) == want
+
+
+def _class_lists(docs):
+    found = {}
+    for r in bagminhash.classes(docs).collect():
+        found.setdefault(r.class_id, []).append(r.doc_id)
+    return found
