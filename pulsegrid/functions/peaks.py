@@ -10,12 +10,7 @@ from pulsegrid.operators import threshold as T
 
 NORMAL, ABNORMAL, ALARM = 0, 1, 2
 
-GRID = np.concatenate(
-    [
-        -T.GRID_START * T.GRID_STEP_NEGATIVE ** np.arange(T.GRID_NEGATIVE - 1, -1, -1.0),
-        T.GRID_START * T.GRID_STEP_POSITIVE ** np.arange(0.0, T.GRID_POSITIVE),
-    ]
-)
+GRID = T.grid_points()
 
 
 def _zeros() -> np.ndarray:

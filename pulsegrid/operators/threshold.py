@@ -11,10 +11,13 @@ streaming detector, which therefore does not grow with the number of peaks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsegrid.operators.ordered import attach, order_statistics
 from pulsegrid.storage import durable
@@ -63,18 +66,52 @@ def capped(threshold: Column, init: Column) -> Column:
     return F.least(threshold, init + CAP_SHARE * F.abs(init))
 
 
+def grid_points() -> np.ndarray:
+    """The grid as an array."""
+    negative = -GRID_START * GRID_STEP_NEGATIVE ** np.arange(GRID_NEGATIVE - 1, -1, -1.0)
+    return np.concatenate([negative, GRID_START * GRID_STEP_POSITIVE ** np.arange(0.0, GRID_POSITIVE)])
+
+
 def excess_sums(peaks: DataFrame, keys: Sequence[str], excess: str = "y", scale: str = "scale") -> DataFrame:
-    """Per key: for every grid point the sums over its peaks, null where a peak lies outside the support."""
-    points = peaks.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(GRID_SIZE - 1))))
-    s = 1 + grid_value(F.col("k")) / F.col(scale) * F.col(excess)
-    inside = F.when(s > 0, s)
-    return points.groupBy(*keys, "k").agg(
-        F.count(F.lit(1)).alias("_c"),
-        F.count(inside).alias("_ok"),
-        F.sum(F.ln(inside)).alias("_log"),
-        F.sum(1 / inside).alias("_inv"),
-        F.max("sum_excess").alias("sum_excess"),
-        F.max(scale).alias(scale),
+    """Per key: for every grid point the sums over its peaks, null where a peak lies outside the support.
+
+    A task adds up the grid of every key of an Arrow batch, so what is shuffled is a row per batch, key and grid point, not one per peak.
+    """
+    rows = peaks.select(*keys, F.col(excess).alias("_y"), F.col(scale).alias("_scale"), "sum_excess")
+    sums = ["k", "_c", "_ok", "_log", "_inv", "sum_excess", "_scale"]
+    types = "k int, _c long, _ok long, _log double, _inv double, sum_excess double, _scale double"
+    schema = T.StructType([*[rows.schema[k] for k in keys], *T.StructType.fromDDL(types).fields])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid = grid_points()
+        at = pa.array(np.arange(GRID_SIZE), pa.int32())
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            named = batch.select(list(keys))
+            codes = np.zeros(batch.num_rows, dtype=np.int64)
+            for column in named.columns:
+                encoded = column.dictionary_encode(null_encoding="encode")
+                codes = codes * (len(encoded.dictionary) + 1) + encoded.indices.to_numpy(zero_copy_only=False)
+            y, scales, totals = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_y", "_scale", "sum_excess"))
+            for code in np.unique(codes):
+                own = np.flatnonzero(codes == code)
+                with np.errstate(all="ignore"):
+                    s = 1 + grid / scales[own[0]] * y[own, None]
+                    inside = s > 0
+                    s[~inside] = 1.0
+                first = named.take(pa.array(np.full(GRID_SIZE, own[0])))
+                same = lambda v, kind: pa.array(np.full(GRID_SIZE, v), kind)
+                found = [
+                    at, same(own.size, pa.int64()), pa.array(inside.sum(axis=0), pa.int64()), pa.array(np.log(s).sum(axis=0)),
+                    pa.array(np.where(inside, 1 / s, 0.0).sum(axis=0)), same(totals[own[0]], pa.float64()), same(scales[own[0]], pa.float64()),
+                ]
+                yield pa.RecordBatch.from_arrays([*first.columns, *found], names=[*keys, *sums])
+
+    parts = rows.mapInArrow(work, schema)
+    return parts.groupBy(*keys, "k").agg(
+        F.sum("_c").alias("_c"), F.sum("_ok").alias("_ok"), F.sum("_log").alias("_log"), F.sum("_inv").alias("_inv"),
+        F.max("sum_excess").alias("sum_excess"), F.max("_scale").alias(scale),
     ).select(
         *keys, "k", "sum_excess", scale, F.col("_c").alias("peaks"),
         F.when(F.col("_ok") == F.col("_c"), F.col("_log")).alias("log_sum"),
