@@ -34,6 +34,12 @@ def _micros(c):
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
+def _narrowed(sums: DataFrame, name: str) -> DataFrame:
+    """Whole-number sums as long if all of them fit, else as the decimals that they are: some thousand instants in microseconds pass a long."""
+    fit = F.col(name).between(-(2**63), 2**63 - 1)
+    return sums.withColumn(name, F.col(name).cast("long")) if sums.where(~fit).isEmpty() else sums
+
+
 @query(
     "metric_csv_roundtrip",
     sql(EV, body="SELECT epoch_us(ts) // 1000 AS _time, metric AS _measurement, 'value' AS _field, value FROM ev"),
@@ -68,7 +74,7 @@ def label_csv_units(spark, sf):
         events(spark, sf).select(time.alias("_time"), (F.col("k") % 2).alias("anomaly_label")).write.option("header", True).csv(path)
         part = R.read_labels_csv(spark, path, unit=unit).withColumn("unit", F.lit(unit))
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("unit", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.unix_micros("ts")).alias("sum_us"))
+    return _narrowed(durable(out.groupBy("unit", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.unix_micros("ts").cast("decimal(20,0)")).alias("sum_us")), "sums"), "sum_us")
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import timeparse
 from pulsegrid.operators import experiments as X
 from pulsegrid.operators import logs, metrics, splits, traces
+from pulsegrid.plans.registry import registered
 from pulsegrid.sources import readers, sinks
 from pulsegrid.storage import new_table_path
 
@@ -69,6 +70,21 @@ def test_label_csv_units(spark, folder, unit, text):
     assert (r["label"], r["ts"]) == (1, datetime(2023, 11, 14, 22, 13, 20))
 
 
+def test_label_csv_sums_beyond_a_long(spark, folder):
+    rows = spark.range(12_000).select(
+        F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-01' + make_interval(0,0,0,0,0,0,cast(id as int))").alias("ts"),
+        F.col("id").alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 4}').alias("props"),
+    )
+    rows.write.parquet(f"{folder}/events.parquet")
+    first = int(datetime(2024, 1, 1, tzinfo=timezone.utc).timestamp())
+    got = registered()["label_csv_units"].run(spark, folder).collect()
+    want = sum(first + i for i in range(12_000)) * 1_000_000
+    assert want > 2**63 and {(r["unit"], r["label"], r["n"], int(r["sum_us"])) for r in got} == {(u, 0, 12_000, want) for u in ("s", "ms", "us", "ns", "iso")}
+    few = f"{folder}/few"
+    rows.limit(10).write.parquet(f"{few}/events.parquet")
+    assert dict(registered()["label_csv_units"].run(spark, few).dtypes)["sum_us"] == "bigint"
+
+
 def test_trace_dictionary_and_matrix(spark, folder):
     trace = readers.read_trace(spark, write(f"{folder}/t.dat", "1.5 x open y\n2.5 x read\n\n3.5 x open\n"))
     assert [(r["timestamp"], r["system_call"]) for r in trace.orderBy("timestamp").collect()] == [(1.5, "open"), (2.5, "read"), (3.5, "open")]
