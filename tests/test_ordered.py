@@ -82,3 +82,21 @@ def test_order_statistic_with_one_heavy_value(spark, small_groups):
     values = np.sort([r[0] for r in df.collect()])
     for q in (0.1, 0.34, 0.9):
         assert O.order_statistic(df, [], "v", q, "x").first()["x"] == values[int(q * 900)]
+
+
+def most_in_a_task(df):
+    return df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+
+
+def test_tasks_stay_small_when_many_keys_are(spark):
+    """Adaptive execution would join the partitions of all keys, or runs, as they are a few kilobytes."""
+    spark.conf.set(O.MAX_GROUP_ROWS, "400")
+    try:
+        keys = spark.range(2_400).select((F.col("id") % 24).alias("key"), F.col("id").alias("at"))
+        placed = O.positions(keys, ["key"], ["at"])
+        assert most_in_a_task(placed) <= 800 and placed.agg(F.sum("pos")).first()[0] == 24 * sum(range(100))
+        one = spark.range(2_400).select(F.lit(0).alias("key"), F.col("id").alias("at"))
+        for rows in (O.positions(one, ["key"], ["at"]), O.running_sums(one, ["key"], ["at"], {"pos": F.lit(1)}), O.last_known(one, ["key"], ["at"], {"pos": F.col("at")})):
+            assert most_in_a_task(rows) <= 1_400 and rows.count() == 2_400
+    finally:
+        spark.conf.unset(O.MAX_GROUP_ROWS)
