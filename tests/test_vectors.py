@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrid.operators import classify as C
+from pulsegrid.operators import oneclass
 from pulsegrid.operators import reconstruct as R
 from pulsegrid.operators import scoring as S
 from pulsegrid.operators import vectors as V
@@ -51,6 +53,42 @@ def test_kernel_margin_parts_rings_that_a_line_cannot(spark):
     assert found["kernel_svc"] > 0.97 and found["linear_svc"] < 0.7
 
 
+class Asked:
+    """Takes the place of an estimator: keeps how many rows each task of a pass over its table reads, and predicts the label."""
+
+    seen = []
+
+    def fit(self, rows):
+        Asked.seen.append([r["n"] for r in rows.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()])
+        return self
+
+    def transform(self, rows):
+        return rows.withColumn("prediction", F.col("label"))
+
+
+def test_fits_read_their_rows_in_several_tasks(spark, monkeypatch):
+    """Folds come out of a window, which leaves a small table in one file."""
+    x = np.random.default_rng(4).normal(size=(4_000, 2))
+    monkeypatch.setattr(C, "models", lambda features, classes: {"asked": (Asked(), "raw")})
+    Asked.seen = []
+    rows = C.cross_predictions(arrays(spark, x, np.arange(4_000) % 2), ["id"], "x", 2, ["asked"], folds=4).collect()
+    assert sorted(r["id"] for r in rows) == list(range(4_000)) and {r["fold"] for r in rows} == {0, 1, 2, 3}
+    assert len(Asked.seen) == 4 and all(sum(n) == 3_000 and len(n) >= 4 and max(n) < 1_200 for n in Asked.seen)
+
+
+def test_margin_passes_read_their_rows_in_several_tasks(spark, monkeypatch):
+    x, label = rings(4_000, 3)
+    seen = []
+
+    def sums(df, array, group, size, step):
+        seen.append(df.select(F.spark_partition_id()).distinct().count())
+        return V.matrix_sums(df, array, group, size, step)
+
+    monkeypatch.setattr(oneclass, "matrix_sums", sums)
+    rated, _ = margin_scores(arrays(spark, x, label), ["id"], "x", 2, 5, features=16, steps=2)
+    assert rated.agg(F.sum("tp") + F.sum("fn")).first()[0] == 5 * 2_000 and min(seen) >= 4
+
+
 @pytest.mark.parametrize("nu", [NU, 0.2])
 def test_share_outside_the_margin_is_nu(spark, nu):
     """Normal rows on a ring; the odd ones lie in its middle, where a distance from the centre would be least."""
