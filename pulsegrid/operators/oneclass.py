@@ -17,7 +17,7 @@ from pulsegrid.functions.statistics import safe_ratio
 from pulsegrid.operators.evaluate import f1
 from pulsegrid.operators.splits import plain_folds
 from pulsegrid.operators.vectors import SEED, Fourier, matrix_sums
-from pulsegrid.storage import durable
+from pulsegrid.storage import dealt, durable
 
 # Fixed value: share of normal rows left outside.
 NU = 0.05
@@ -34,9 +34,9 @@ def margin_scores(
     Each fold tests its held-out normal rows and all anomalies. Scaling and margin come from the other normal rows.
     """
     is_normal = F.col("label") == normal
-    held = plain_folds(df.where(is_normal), ids, folds, SEED, group_rows).select(F.col("fold").cast("int").alias("own"), array)
-    odd = df.where(~is_normal).select(F.lit(_ODD).alias("own"), array)
-    rows = durable(held.unionByName(odd), "rows")
+    held = plain_folds(df.where(is_normal), ids, folds, SEED, group_rows).select(*ids, F.col("fold").cast("int").alias("own"), array)
+    odd = df.where(~is_normal).select(*ids, F.lit(_ODD).alias("own"), array)
+    rows = durable(dealt(held.unionByName(odd), ids, df.count()).select("own", array), "rows")
 
     def moments(own: np.ndarray, x: np.ndarray) -> np.ndarray:
         out = np.zeros((folds, 1 + 2 * length))
