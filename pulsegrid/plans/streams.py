@@ -22,6 +22,9 @@ from pulsegrid.streaming.scoring import read_stream, score_stream
 
 BATCHES, FILES, BATCH_ROWS, SMALL = 4, 8, 400_000, 1_000
 
+#: Rows of a micro-batch whose rows meet by id only, so that no task holds what a series has of it.
+ID_BATCH_ROWS = 2_000_000
+
 
 def _drain(stream: DataFrame) -> DataFrame:
     """Run the stream over all that is available now; its sink as a table."""
@@ -35,15 +38,15 @@ def _drain(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def _stream_of(df: DataFrame, arrival: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+def _stream_of(df: DataFrame, arrival: tuple[str, ...] = ("ts", "event_id"), batch_rows: int = BATCH_ROWS) -> DataFrame:
     """A stream in several micro-batches over a table that is laid out in order of ``arrival`` first, as a replay arrives.
 
-    The table is cut in that order into spans of about ``BATCH_ROWS`` rows, ``BATCHES`` of them at least, so a micro-batch and what it holds
+    The table is cut in that order into spans of about ``batch_rows`` rows, ``BATCHES`` of them at least, so a micro-batch and what it holds
     of a key stay as large as they are when the table grows. Each is written as some files after the one before, and a micro-batch takes that many.
     """
     spark, rows = df.sparkSession, df.count()
     placed, path = new_table_path(spark, "spans"), new_table_path(spark, "source")
-    spans = max(BATCHES, math.ceil(rows / BATCH_ROWS))
+    spans = max(BATCHES, math.ceil(rows / batch_rows))
     files = FILES if rows >= SMALL * spans else 1  # few rows may not fill every file
     df.repartitionByRange(spans, *arrival).withColumn("_span", F.spark_partition_id()).write.partitionBy("_span").parquet(placed)
     filled = spark.read.schema("_span int").parquet(placed).distinct().orderBy("_span").collect()
@@ -145,7 +148,7 @@ def stream_dedup(spark, sf):
     rows = events(spark, sf).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "metric", "value", "k")
     days = F.when(F.col("k") % 3 == 0, F.array(F.lit(0), F.lit(1))).when(F.col("k") % 3 == 1, F.array(F.lit(0), F.lit(0))).otherwise(F.array(F.lit(0), F.lit(10)))
     sent = rows.withColumn("_days", F.explode(days)).withColumn("arrived", F.col("ts") + F.make_dt_interval(F.col("_days"))).drop("_days", "k")
-    once = _drain(align.deduplicated(_stream_of(sent, ("arrived", "event_id")), ["event_id"], watermark="2 days"))
+    once = _drain(align.deduplicated(_stream_of(sent, ("arrived", "event_id"), ID_BATCH_ROWS), ["event_id"], watermark="2 days"))
     return once.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "metric", "value")
 
 

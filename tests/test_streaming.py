@@ -8,6 +8,8 @@ from pulsegrid.operators import spot
 from pulsegrid.operators.labels import unlabelled_periods as batch_periods
 from pulsegrid.operators.metrics import fit_scaler
 from pulsegrid.operators.timegrid import resample
+from pulsegrid.plans import streams
+from pulsegrid.plans.registry import registered
 from pulsegrid.storage import durable
 from pulsegrid.streaming import align, detect, landing, scoring
 from pulsegrid.streaming.alerts import alerts_stream
@@ -199,3 +201,25 @@ def test_expiring_alert_stream_equals_batch(spark, folder):
     stream = A.crossings(as_timed_stream(spark, data, folder), rules)
     fired = drain(alerts_stream(stream, ["service", "metric"], ["idx"], 600_000), spark, folder, "alerts")
     assert rows(fired.select("idx"), "idx") == batch and len(batch) != plain
+
+
+def test_rows_that_meet_by_id_come_in_larger_batches(spark, folder, monkeypatch):
+    """What a micro-batch costs besides its rows must not outgrow the table: batches of the repeated rows are larger than those of series."""
+    base = spark.range(6_000).select(
+        F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-01' + make_interval(0,0,0,0,0,cast(id as int) * 10,0)").alias("ts"),
+        F.lit(1).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.format_string('{"k": %d}', F.col("id") % 3).alias("props"),
+    )
+    base.write.parquet(f"{folder}/events.parquet")
+    batches = []
+
+    def drained(stream, real=streams._drain):
+        out = real(stream)
+        batches.append(len(spark.read.text(out.inputFiles()[0].rsplit("/rows/", 1)[0] + "/checkpoint/commits").select("_metadata.file_name").distinct().collect()))
+        return out
+
+    monkeypatch.setattr(streams, "_drain", drained)
+    monkeypatch.setattr(streams, "BATCH_ROWS", 1_000)
+    monkeypatch.setattr(streams, "ID_BATCH_ROWS", 2_000)
+    got = registered()["stream_dedup"].run(spark, folder)
+    assert sorted(r[0] for r in got.select("event_id").collect()) == list(range(6_000))
+    assert 6 <= batches[0] <= 8
