@@ -38,15 +38,15 @@ def _drain(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def _stream_of(df: DataFrame, arrival: tuple[str, ...] = ("ts", "event_id"), batch_rows: int = BATCH_ROWS) -> DataFrame:
+def _stream_of(df: DataFrame, arrival: tuple[str, ...] = ("ts", "event_id"), batch_rows: int | None = None) -> DataFrame:
     """A stream in several micro-batches over a table that is laid out in order of ``arrival`` first, as a replay arrives.
 
-    The table is cut in that order into spans of about ``batch_rows`` rows, ``BATCHES`` of them at least, so a micro-batch and what it holds
+    The table is cut in that order into spans of about ``batch_rows`` (``BATCH_ROWS``) rows, ``BATCHES`` of them at least, so a micro-batch and what it holds
     of a key stay as large as they are when the table grows. Each is written as some files after the one before, and a micro-batch takes that many.
     """
     spark, rows = df.sparkSession, df.count()
     placed, path = new_table_path(spark, "spans"), new_table_path(spark, "source")
-    spans = max(BATCHES, math.ceil(rows / batch_rows))
+    spans = max(BATCHES, math.ceil(rows / (batch_rows or BATCH_ROWS)))
     files = FILES if rows >= SMALL * spans else 1  # few rows may not fill every file
     df.repartitionByRange(spans, *arrival).withColumn("_span", F.spark_partition_id()).write.partitionBy("_span").parquet(placed)
     filled = spark.read.schema("_span int").parquet(placed).distinct().orderBy("_span").collect()
